@@ -29,3 +29,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points: event_id, lng, lat, event_type, value, ts, props, user_id."""
     return table(spark, sf_dir, "events").select("event_id", F.expr(LNG).alias("lng"), F.expr(LAT).alias("lat"), "event_type", "value", "ts", "props", "user_id")
+
+
+def px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of 8x8 chunks: label, vec_id, r, c, v."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("pos", "e"))
+    return rows.select("label", "vec_id", F.expr("pos div 8").alias("r"), (F.col("pos") % 8).cast("long").alias("c"), F.col("e").cast("double").alias("v"))
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks side by side, ACROSS to a row: row, col, v."""
+    return px(spark, sf_dir).select(F.expr(f"8 * (vec_id div {ACROSS}) + r").alias("row"), F.expr(f"8 * (vec_id % {ACROSS}) + c").alias("col"), "v")
+
+
+def mosaic_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Width and height of the mosaic."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return 8 * ACROSS, 8 * (-(-n // ACROSS))
+
+
+def bands3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three chunks as the bands of one: chunk, band, r, c, v."""
+    n = table(spark, sf_dir, "embeddings").count()
+    return px(spark, sf_dir).select(F.expr("vec_id div 3").alias("chunk"), F.expr("cast(vec_id % 3 + 1 as int)").alias("band"), "r", "c", "v").where(F.col("chunk") < n // 3)
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, xmin, ymin, xmax, ymax."""
+    side = F.expr("cast((event_id*31)%100 as double)/cast(100 as double)")
+    return pts(spark, sf_dir).select("event_id", F.col("lng").alias("xmin"), F.col("lat").alias("ymin"), (F.col("lng") + side).alias("xmax"), (F.col("lat") + side).alias("ymax"))
+
+
+def reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile requests: event_id, ts, layer, z, x, y."""
+    from quadrel.functions import grid
+
+    z = (F.col("event_id") % 12).cast("int")
+    x, y = grid.tile_index(F.col("lng"), F.col("lat"), z)
+    return pts(spark, sf_dir).select("event_id", "ts", F.col("event_type").alias("layer"), z.alias("z"), x.alias("x"), y.alias("y"))
+
+
+def srcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources: name, ext, kind, p_partkey."""
+    from quadrel.functions import paths
+
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    named = table(spark, sf_dir, "part").select(F.concat(F.lit("src_"), F.col("p_partkey").cast("string"), F.lit("."), ext).alias("name"), "p_partkey")
+    return named.select("name", paths.extension(F.col("name")).alias("ext"), paths.kind(paths.extension(F.col("name"))).alias("kind"), "p_partkey")
+
+
+#: Raster layers with an extent: the raster sources of `srcs`.
+_LAYER = "cast({n}%{m} as double)/cast(10 as double)"
+W_EXPR = _LAYER.format(n="(p_partkey*37)", m=3400) + "-cast(180 as double)"
+S_EXPR = _LAYER.format(n="(p_partkey*53)", m=1500) + "-cast(80 as double)"
+W_SIDE = _LAYER.format(n="(p_partkey*7)", m=97) + "+cast(0.5 as double)"
+SQL_LAYERS = f"select name, kind, ext, w, s, w+side as e, s+side/cast(2 as double) as n, cast(p_partkey%23 as int) as max_zoom from (select name, kind, ext, p_partkey, {W_EXPR} as w, {S_EXPR} as s, {W_SIDE} as side from ({SQL_SRCS})) where kind is not null"
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue rows: name, kind, ext, w, s, e, n (degrees), max_zoom."""
+    side = F.expr(W_SIDE)
+    rows = srcs(spark, sf_dir).where("kind is not null").select("name", "kind", "ext", "p_partkey", F.expr(W_EXPR).alias("w"), F.expr(S_EXPR).alias("s"), side.alias("side"))
+    return rows.select("name", "kind", "ext", "w", "s", (F.col("w") + F.col("side")).alias("e"), (F.col("s") + F.col("side") / F.lit(2.0)).alias("n"), (F.col("p_partkey") % 23).cast("int").alias("max_zoom"))
