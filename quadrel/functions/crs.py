@@ -133,13 +133,20 @@ def corners(gt: Column, width: Column, height: Column) -> list[tuple[Column, Col
     return [(x0, y0), (x1, y0), (x0, y1), (x1, y1)]
 
 
-def extent(points: list[tuple[Column, Column]]) -> Column:
-    """[min x, min y, max x, max y], null if a coordinate is missing."""
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    some = xs[0].isNotNull()
-    for c in [*xs[1:], *ys]:
-        some = some & c.isNotNull()
-    return F.when(some, F.array(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)))
+def let(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def extent(points: Column) -> Column:
+    """[min x, min y, max x, max y] of an array of (x, y), null if a coordinate is missing."""
+
+    def bounds(p: Column) -> Column:
+        xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
+        gone = F.exists(p, lambda q: q["x"].isNull() | q["y"].isNull())
+        return F.when(~gone, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+
+    return let(points, bounds)
 
 
 def guess(points: list[tuple[Column, Column]]) -> Column:
@@ -155,4 +162,13 @@ def raster_extent(gt: Column, width: Column, height: Column, code: Column) -> Co
     """Extent in degrees by the declared code, else by the guess."""
     points = corners(gt, width, height)
     use = F.coalesce(F.when(known(code), code), guess(points))
-    return extent([to_wgs84(x, y, use) for x, y in points])
+
+    def moved(p: Column) -> Column:
+        x, y = to_wgs84(p["x"], p["y"], p["code"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def every(code: Column) -> Column:
+        rows = F.array(*(F.struct(x.alias("x"), y.alias("y"), code.alias("code")) for x, y in points))
+        return extent(F.transform(rows, moved))
+
+    return let(use, every)
