@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -76,6 +77,14 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 # ---------------------------------------------------------------- batches
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
 def rebatch(batches: Iterable[pa.RecordBatch], cols: list[str], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Merge small batches and cut large ones so that each holds about max_bytes of cols.
 
@@ -101,8 +110,11 @@ def rebatch(batches: Iterable[pa.RecordBatch], cols: list[str], max_bytes: int)
             if start < rb.num_rows or size >= max_bytes:
                 yield _join(held)
                 held, size = [], 0
+                trim()
     if held:
         yield _join(held)
+        held = []
+        trim()
 
 
 def _join(held: list[pa.RecordBatch]) -> pa.RecordBatch:

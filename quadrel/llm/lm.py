@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Text of a chunk. Its n-grams take some thirty times this in a Python worker.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Text for each shard; its requests take about as much.
 SHARD_BYTES = 16 << 20
 #: Strength of the unigram in the smoothed bigram, in counts.
@@ -153,6 +153,8 @@ def _answer(table: pa.Table) -> pa.Table:
         out.append((len(h), zipped(h), pack(totals[inverse[a : a + len(h)]])))
         a += len(h)
     n = len(out)
+    del hashes, counts, keys, inverse, totals
+    common.trim()
     once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())  # noqa: E731  the shard's own figures stand in one of its rows
     return pa.table(
         {
@@ -236,10 +238,11 @@ def _score(n: int, v: int, mu: float):
                 raise RuntimeError("the documents changed between two reads; store them first")
             totals.append(np.concatenate([t for _, t in got[level]]).astype(np.float64))
         words, pairs = totals
+        del got, rows, blob
         before, after = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         before[c.pair], after[c.pair] = c.before, c.word
         auto = Automaton(words, pairs, before, after, n, v, mu)
-        return pa.table(
+        out = pa.table(
             {
                 "doc_id": rb.column("doc_id"),
                 "held_out": rb.column("held_out"),
@@ -250,6 +253,9 @@ def _score(n: int, v: int, mu: float):
                 "score": pa.array(common.segment_sums(auto.traverse(c.before, c.word, c.pair), c.starts)),
             }
         )
+        del c, auto, words, pairs, totals, before, after
+        common.trim()
+        return out
 
     return run
 
