@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, embeddings, hyperminhash, langid, licenses, linededup, lm, mixing, sharding, warc
+from . import common, decontam, embeddings, hyperminhash, langid, licenses, linededup, lm, mixing, oracles, sharding, warc
 
 #: Shares of the domains and, within each, of the languages; sources of a language share alike.
 WEIGHTS: dict[tuple[str, ...], float] = {("web",): 0.4, ("news",): 0.3, ("books",): 0.2, ("code",): 0.1}
@@ -82,6 +82,11 @@ def op10_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: SQL with the same rows; the other operators are held against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_revisits": oracles.OP1,
+    "op3_mix_sources": oracles.op3(WEIGHTS, BUDGET_SHARE, MAX_EPOCHS, SEED),
+    "op8_embedding_dedup": oracles.OP8,
+    "op10_hyperminhash": oracles.OP10,
+}
 
 QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_line_dedup, op3_mix_sources, op4_decontaminate, op5_shard_bytes, op6_language_id, op7_license_scan, op8_embedding_dedup, op9_lm_score, op10_hyperminhash)}
