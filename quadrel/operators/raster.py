@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid, paths
+from quadrel.functions import crs, grid, paths
 
 #: Pixels of a region read beyond which the nearest mode skips rows and columns.
 MAX_READ = 1024 * 1024
@@ -80,14 +80,13 @@ def overview(px: DataFrame, by: list[str]) -> DataFrame:
 def downsample(px: DataFrame, by: list[str], width: int, height: int) -> tuple[DataFrame, int, int]:
     """Half the size of an image of any size by bilinear samples; returns the image and its size."""
     w, h = max(1, width // 2), max(1, height // 2)
-    rows = []
-    for name, size, to in (("row", height, h), ("col", width, w)):
-        at = (F.col(f"o_{name}") + F.lit(0.5)) * F.lit(size / to) - F.lit(0.5)
-        rows.append((name, size, to, at))
-    out = px.sparkSession.range(h).select(F.col("id").alias("o_row")).crossJoin(px.sparkSession.range(w).select(F.col("id").alias("o_col")))
-    grid_ = out.select("o_row", "o_col", *(F.greatest(at, F.lit(0.0)).alias(name) for name, _, _, at in rows))
-    keys = px.select(*by).distinct()
-    return resample(px, keys.crossJoin(grid_) if by else grid_, by, [*by, "o_row", "o_col"], "bilinear", width, height).withColumnsRenamed({"o_row": "row", "o_col": "col"}), w, h
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    at = lambda c, size, to: F.greatest((F.col(c) + F.lit(0.5)) * F.lit(size / to) - F.lit(0.5), F.lit(0.0))
+    images = px.select(*by).distinct() if by else px.sparkSession.range(1).select()
+    targets = images.select("*", each(h).alias("o_row")).select("*", each(w).alias("o_col"))
+    targets = targets.withColumns({"row": at("o_row", height, h), "col": at("o_col", width, w)})
+    out = resample(px, targets, by, [*by, "o_row", "o_col"], "bilinear", width, height)
+    return out.withColumnsRenamed({"o_row": "row", "o_col": "col"}), w, h
 
 
 def pyramid(px: DataFrame, by: list[str], width: int, height: int, smallest: int = 256, most: int = 8) -> list[tuple[DataFrame, int, int]]:
@@ -223,17 +222,24 @@ def locate(points: DataFrame, corners: tuple[float, float, float, float], width:
     return points.withColumn("col", u * F.lit(width - 1.0)).withColumn("row", (F.lit(1.0) - v) * F.lit(height - 1.0))
 
 
-def window(tiles: DataFrame, corners: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
-    """Adds the window of image pixels that tiles (z, x, y) can touch, and the step to read it with."""
+def window(tiles: DataFrame, corners: tuple[float, float, float, float], width: int, height: int, code: int = 4326) -> DataFrame:
+    """Adds the window of image pixels that tiles (z, x, y) can touch, and the step to read it with.
+
+    corners: west, south, east, north in the CRS `code`; the tile's corners are moved there.
+    """
     x0, y0, x1, y1 = grid.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     w, s, e, n = corners
-    col = lambda x: F.round((grid.merc_lng(x) - w) / (e - w) * (width - 1.0)).cast("long")
-    row = lambda y: F.round((1.0 - (grid.merc_lat(y) - s) / (n - s)) * (height - 1.0)).cast("long")
-    zero = F.lit(0)
-    c0, r0 = F.greatest(col(x0), zero), F.greatest(row(y1), zero)
-    out = tiles.withColumn("col_off", F.least(F.greatest(c0 - PADDING, zero), F.lit(width - 1))).withColumn("row_off", F.least(F.greatest(r0 - PADDING, zero), F.lit(height - 1)))
-    out = out.withColumn("src_w", F.least(F.greatest(col(x1) - c0 + 2 * PADDING, F.lit(1)), F.lit(width) - F.col("col_off")))
-    out = out.withColumn("src_h", F.least(F.greatest(row(y0) - r0 + 2 * PADDING, F.lit(1)), F.lit(height) - F.col("row_off")))
+    out = tiles.withColumns({"_x0": grid.merc_lng(x0), "_y0": grid.merc_lat(y0), "_x1": grid.merc_lng(x1), "_y1": grid.merc_lat(y1)})
+    points = {f"_p{i}": F.struct(*crs.from_wgs84(F.col(x), F.col(y), F.lit(code))) for i, (x, y) in enumerate((("_x0", "_y1"), ("_x1", "_y1"), ("_x0", "_y0"), ("_x1", "_y0")))}
+    out = out.withColumns(points)
+    cols = [F.round((F.col(f"_p{i}.col1") - w) / (e - w) * (width - 1.0)).cast("long") for i in range(4)]
+    rows = [F.round((1.0 - (F.col(f"_p{i}.col2") - s) / (n - s)) * (height - 1.0)).cast("long") for i in range(4)]
+    zero = F.lit(0).cast("long")
+    out = out.withColumns({"_c0": F.greatest(F.least(*cols), zero), "_c1": F.greatest(*cols), "_r0": F.greatest(F.least(*rows), zero), "_r1": F.greatest(*rows)})
+    out = out.withColumn("col_off", F.least(F.greatest(F.col("_c0") - PADDING, zero), F.lit(width - 1))).withColumn("row_off", F.least(F.greatest(F.col("_r0") - PADDING, zero), F.lit(height - 1)))
+    out = out.withColumn("src_w", F.least(F.greatest(F.col("_c1") - F.col("_c0") + 2 * PADDING, F.lit(1)), F.lit(width) - F.col("col_off")))
+    out = out.withColumn("src_h", F.least(F.greatest(F.col("_r1") - F.col("_r0") + 2 * PADDING, F.lit(1)), F.lit(height) - F.col("row_off")))
+    out = out.drop("_x0", "_y0", "_x1", "_y1", *points, "_c0", "_c1", "_r0", "_r1")
     return out.withColumn("step", decimation(F.col("src_w") * F.col("src_h")))
 
 

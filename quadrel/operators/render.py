@@ -15,14 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid
+from quadrel.functions import grid, projection
 from quadrel.operators import raster
 from quadrel.sources import png
 
 
 @dataclass
 class Image:
-    """Where an image lies (west, south, east, north), its size, and lo and hi of each band's stretch."""
+    """Where an image lies, its size, and lo and hi of each band's stretch.
+
+    corners: west, south, east, north in the CRS `code`. affine: map a tile of a projected
+    image by three of its corners instead of each pixel.
+    """
 
     corners: tuple[float, float, float, float]
     width: int
@@ -30,6 +34,14 @@ class Image:
     limits: list[tuple[float, float]]
     sentinel: float | None = None
     bands: list[int] = field(default_factory=lambda: [1, 2, 3])
+    code: int = 4326
+    affine: bool = False
+
+    def place(self, lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fractional rows and columns of points."""
+        x, y = projection.forward(lng, lat, self.code)
+        west, south, east, north = self.corners
+        return (1.0 - (y - south) / (north - south)) * (self.height - 1.0), (x - west) / (east - west) * (self.width - 1.0)
 
 
 def chunks(px: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -48,7 +60,7 @@ def batch(jobs: DataFrame, chunk_table: DataFrame, image: Image, chunk_size: int
 
     A job that fails does not stop the others.
     """
-    w = raster.window(jobs.select("i", "z", "x", "y"), image.corners, image.width, image.height)
+    w = raster.window(jobs.select("i", "z", "x", "y"), image.corners, image.width, image.height, image.code)
     span = lambda off, n: F.sequence(F.expr(f"cast({off} div {chunk_size} as int)"), F.expr(f"cast(({off} + {n} - 1) div {chunk_size} as int)"))
     asked = w.withColumn("chunk_row", F.explode(span("row_off", "src_h"))).withColumn("chunk_col", F.explode(span("col_off", "src_w")))
     rows = asked.join(chunk_table, ["chunk_row", "chunk_col"], "left").select("i", "z", "x", "y", "row_off", "col_off", "src_h", "src_w", "step", "band", "chunk_row", "chunk_col", "pixels")
@@ -75,9 +87,15 @@ def _render(image: Image, chunk_size: int, mode: str, size: int, raw: bool):
 
 def _draw(table: pa.Table, image: Image, chunk_size: int, mode: str, size: int) -> np.ndarray:
     first = {c: table.column(c)[0].as_py() for c in ("z", "x", "y", "row_off", "col_off", "src_h", "src_w", "step")}
-    row0, col0, step = first["row_off"], first["col_off"], first["step"] if mode == "nearest" else 1
+    win = (first["row_off"], first["col_off"], first["src_h"], first["src_w"], first["step"] if mode == "nearest" else 1)
+    return paint(table, image, chunk_size, mode, win, *_positions(image, first["z"], first["x"], first["y"], size))
+
+
+def paint(table: pa.Table, image: Image, chunk_size: int, mode: str, window: tuple[int, int, int, int, int], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """RGBA at the image's fractional rows and columns, from the chunks of a window (row, column, height, width, step)."""
+    row0, col0, src_h, src_w, step = window
     bands = sorted({b for b in table.column("band").to_pylist() if b is not None})
-    win = {b: np.full((-(-first["src_h"] // step), -(-first["src_w"] // step)), np.nan) for b in bands}
+    win = {b: np.full((-(-src_h // step), -(-src_w // step)), np.nan) for b in bands}
     for i in range(table.num_rows):
         pixels = table.column("pixels")[i].values
         if pixels is None:
@@ -85,18 +103,10 @@ def _draw(table: pa.Table, image: Image, chunk_size: int, mode: str, size: int)
         p = pixels.field("p").to_numpy()
         r = table.column("chunk_row")[i].as_py() * chunk_size + p // chunk_size - row0
         c = table.column("chunk_col")[i].as_py() * chunk_size + p % chunk_size - col0
-        ok = (r >= 0) & (c >= 0) & (r < first["src_h"]) & (c < first["src_w"]) & (r % step == 0) & (c % step == 0)
+        ok = (r >= 0) & (c >= 0) & (r < src_h) & (c < src_w) & (r % step == 0) & (c % step == 0)
         win[table.column("band")[i].as_py()][r[ok] // step, c[ok] // step] = pixels.field("v").to_numpy(zero_copy_only=False)[ok]
-    z, x, y = first["z"], first["x"], first["y"]
-    side = 2 * grid.HALF / 2**z
-    at = (np.arange(size) + 0.5) / size
-    lng = (-grid.HALF + x * side + at * side) * 180 / grid.HALF
-    lat = np.degrees(2 * (np.arctan(np.exp((grid.HALF - y * side - at * side) / grid.RADIUS)) - math.pi / 4))
-    west, south, east, north = image.corners
-    col = (lng - west) / (east - west) * (image.width - 1.0)
-    row = (1.0 - (lat - south) / (north - south)) * (image.height - 1.0)
-    inside = ((row >= 0) & (row < image.height))[:, None] & ((col >= 0) & (col < image.width))[None, :]
-    out = np.zeros((size, size, 4), np.uint8)
+    inside = (row >= 0) & (row < image.height) & (col >= 0) & (col < image.width)
+    out = np.zeros((*row.shape, 4), np.uint8)
     if not bands:
         return out
     asked = [1] if max(bands) < 3 else image.bands[:3]
@@ -105,7 +115,7 @@ def _draw(table: pa.Table, image: Image, chunk_size: int, mode: str, size: int)
     seen = inside.copy()
     for k, b in enumerate(asked):
         if b not in win:
-            return np.zeros((size, size, 4), np.uint8)
+            return np.zeros_like(out)
         v = sample(win[b], (row - row0) / step, (col - col0) / step, mode)
         data = np.isfinite(v)
         if image.sentinel is not None and math.isfinite(image.sentinel):
@@ -120,20 +130,64 @@ def _draw(table: pa.Table, image: Image, chunk_size: int, mode: str, size: int)
     return out
 
 
+def map_image(chunk_table: DataFrame, image: Image, chunk_size: int, bbox: tuple[float, float, float, float], width: int, height: int, transparent: bool = True, raw: bool = False) -> DataFrame:
+    """A map of a box in Mercator metres: data and rendered, in one row. Nearest pixel by rounding."""
+    x0, y0, x1, y1 = bbox
+    wx = x0 + (np.arange(width) + 0.5) / width * (x1 - x0)
+    wy = y1 - (np.arange(height) + 0.5) / height * (y1 - y0)
+    lng, lat = projection.inverse(*np.broadcast_arrays(wx[None, :], wy[:, None]), 3857)
+    row, col = (np.sign(v) * np.floor(np.abs(v) + 0.5) for v in image.place(lng, lat))
+    ok = (row >= 0) & (row < image.height) & (col >= 0) & (col < image.width)
+    r, c = (v[ok].astype(int) if ok.any() else np.zeros(1, int) for v in (row, col))
+    h, w = int(r.max() - r.min()) + 1, int(c.max() - c.min()) + 1
+    step = max(1, math.ceil(math.sqrt(h * w / raster.MAX_READ)))
+    window = (int(r.min()), int(c.min()), h, w, step)
+    near = chunk_table.where(F.col("chunk_row").between(window[0] // chunk_size, int(r.max()) // chunk_size) & F.col("chunk_col").between(window[1] // chunk_size, int(c.max()) // chunk_size))
+
+    def run(table: pa.Table) -> pa.Table:
+        rgba = paint(table, image, chunk_size, "nearest", window, row, col)
+        n = int((rgba[:, :, 3] > 0).sum())
+        if not transparent:
+            rgba[rgba[:, :, 3] == 0] = 255
+        return pa.table({"data": pa.array([rgba.tobytes() if raw else png.encode(rgba)], pa.binary()), "rendered": pa.array([n], pa.int32())})
+
+    # An image without chunks there still gives a map: a row without pixels stands for it.
+    none = chunk_table.sparkSession.range(1).select(F.lit(None).cast("int").alias("band"), F.lit(0).alias("chunk_row"), F.lit(0).alias("chunk_col"), F.lit(None).cast(chunk_table.schema["pixels"].dataType).alias("pixels"))
+    return near.select("band", "chunk_row", "chunk_col", "pixels").unionByName(none).groupBy(F.lit(0).alias("one")).applyInArrow(run, "data binary, rendered int")
+
+
+def _positions(image: Image, z: int, x: int, y: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fractional row and column of each pixel of a tile."""
+    side = 2 * grid.HALF / 2**z
+    x0, y1 = -grid.HALF + x * side, grid.HALF - y * side
+
+    def place(mx: np.ndarray, my: np.ndarray):
+        lat = np.degrees(2 * (np.arctan(np.exp(my / grid.RADIUS)) - math.pi / 4))
+        return image.place(mx * 180 / grid.HALF, lat)
+
+    if image.affine and image.code != 4326:
+        # North-west, north-east and south-west corners are the outermost pixels.
+        r, c = place(np.array([x0, x0 + side, x0]), np.array([y1, y1, y1 - side]))
+        step = np.arange(size) / (size - 1)
+        return tuple(v[0] + (v[1] - v[0]) * step[None, :] + (v[2] - v[0]) * step[:, None] for v in (r, c))
+    at = (np.arange(size) + 0.5) / size
+    return place(*np.broadcast_arrays((x0 + at * side)[None, :], (y1 - at * side)[:, None]))
+
+
 def sample(win: np.ndarray, row: np.ndarray, col: np.ndarray, mode: str) -> np.ndarray:
-    """Values at the crossings of fractional rows and columns; nan outside the window."""
+    """Values at fractional rows and columns (arrays of one shape); nan outside the window."""
     h, w = win.shape
-    ok = ((row >= 0) & (row < h))[:, None] & ((col >= 0) & (col < w))[None, :]
+    ok = (row >= 0) & (row < h) & (col >= 0) & (col < w)
     r, c = np.clip(np.floor(row), 0, h - 1).astype(int), np.clip(np.floor(col), 0, w - 1).astype(int)
     if mode == "nearest":
-        return np.where(ok, win[np.ix_(r, c)], np.nan)
-    total, weights = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)))
+        return np.where(ok, win[r, c], np.nan)
+    total, weights = np.zeros(row.shape), np.zeros(row.shape)
     for dy, wy in _weights(row - r, mode):
         for dx, wx in _weights(col - c, mode):
-            rr, cc, wt = r + dy, c + dx, wy[:, None] * wx[None, :]
+            rr, cc, wt = r + dy, c + dx, wy * wx
             if mode == "lanczos3":
-                wt = wt * ((rr >= 0) & (rr < h))[:, None] * ((cc >= 0) & (cc < w))[None, :]
-            total += wt * win[np.ix_(np.clip(rr, 0, h - 1), np.clip(cc, 0, w - 1))]
+                wt = wt * ((rr >= 0) & (rr < h) & (cc >= 0) & (cc < w))
+            total += wt * win[np.clip(rr, 0, h - 1), np.clip(cc, 0, w - 1)]
             weights += wt
     if mode == "lanczos3":
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid, paths
+from quadrel.functions import paths
 from quadrel.operators import raster, render
 from quadrel.plans.registry import query
 from quadrel.plans.grid_queries import C, LAT, rect_sql
@@ -106,11 +106,10 @@ _OUT = "select t.row as orow, t.col as ocol, t.row/cast({s} as double)+cast({dy}
 
 
 def _targets(spark, w, h, scale, dy, dx):
-    rows = spark.range(scale * h).select(F.col("id").alias("orow"))
-    cols = spark.range(scale * w).select(F.col("id").alias("ocol"))
+    """A target for each pixel of the output grid."""
+    rows = spark.range(scale * h).select(F.col("id").alias("orow"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(scale * w - 1).cast("long"))).alias("ocol"))
     at = lambda c, d: F.col(c) / F.lit(float(scale)) + F.lit(float(d))
-    # The output grid is stated: each pixel is a target.
-    return rows.withColumn("ocol", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(scale * w - 1).cast("long")))).select("orow", "ocol", at("orow", dy).alias("row"), at("ocol", dx).alias("col")) if cols else rows
+    return rows.select("orow", "ocol", at("orow", dy).alias("row"), at("ocol", dx).alias("col"))
 
 
 def _sampled(spark, sf_dir, mode, scale, dy, dx):

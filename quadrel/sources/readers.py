@@ -15,11 +15,12 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions import crs, geometry, grid
+from quadrel.functions import crs, geometry, grid, projection
 from quadrel.sources import shapefile, tiff
 
 
@@ -234,23 +235,14 @@ def _to_degrees(rows: DataFrame, name: str) -> DataFrame:
     return plain.select(*_NAMES).unionByName(moved)
 
 
-def inverse(code: int) -> Callable[[float, float], tuple[float, float] | None]:
-    """Longitude and latitude of a point in a known CRS, in Python; the column form is `crs.to_wgs84`."""
-    import math
+def inverse(code: int) -> Callable[[float, float], tuple[float, float]]:
+    """Longitude and latitude of a point in a known CRS."""
 
-    def mercator(x: float, y: float):
-        return x * 180 / grid.HALF, math.degrees(2 * (math.atan(math.exp(y / grid.RADIUS)) - math.pi / 4))
+    def f(x: float, y: float) -> tuple[float, float]:
+        lng, lat = projection.inverse(np.float64(x), np.float64(y), code)
+        return float(lng), float(lat)
 
-    def utm(x: float, y: float):
-        k = crs.UTM_SCALE * crs.RECTIFYING
-        xi, eta = (y - (crs.FALSE_NORTH if code > 32700 else 0)) / k, (x - crs.FALSE_EAST) / k
-        xi1 = xi - sum(b * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, b in enumerate(crs.BETA, 1))
-        eta1 = eta - sum(b * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, b in enumerate(crs.BETA, 1))
-        chi = math.asin(math.sin(xi1) / math.cosh(eta1))
-        lat = chi + sum(d * math.sin(2 * j * chi) for j, d in enumerate(crs.DELTA, 1))
-        return code % 100 * 6 - 183 + math.degrees(math.atan2(math.sinh(eta1), math.cos(xi1))), math.degrees(lat)
-
-    return (lambda x, y: (x, y)) if code == 4326 else mercator if code == 3857 else utm
+    return f
 
 
 def _move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

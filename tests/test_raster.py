@@ -40,7 +40,8 @@ def test_relational_and_vectorised_samples_agree(spark, picture, mode):
     at = [(r, c, r * 1.37 + 0.21, c * 1.61 - 0.4) for r in range(30) for c in range(32)]
     df = spark.createDataFrame(at, "i long, j long, row double, col double")
     got = {(r.i, r.j): r.v for r in raster.resample(table(spark, picture), df, [], ["i", "j"], mode, w, h).collect()}
-    want = render.sample(picture, np.array([r * 1.37 + 0.21 for r in range(30)]), np.array([c * 1.61 - 0.4 for c in range(32)]), mode)
+    rows, cols = np.meshgrid(np.arange(30) * 1.37 + 0.21, np.arange(32) * 1.61 - 0.4, indexing="ij")
+    want = render.sample(picture, rows, cols, mode)
     for i, j, _, _ in at:
         if np.isnan(want[i, j]):
             assert (i, j) not in got
