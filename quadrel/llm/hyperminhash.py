@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash sketches.
 
 A document's set is its distinct word shingles. Each shingle hash falls into one
-of 128 buckets by its leading bits; a bucket keeps its smallest remainder in 16
+of 256 buckets by its leading bits; a bucket keeps its smallest remainder in 16
 bits: 6 bits for the count of leading zeros, 10 for the mantissa behind the first
 one. Empty buckets take the register of the first full bucket on a fixed probe
 path, so that two registers agree with the probability of the sets' Jaccard
@@ -11,10 +11,12 @@ rest is confirmed on the full sets.
 
 Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
-so a bucket of n gives n - 1 pairs. Pairs this star cannot decide (members of
-different components in one bucket) are looked up in rounds: each round takes, in
-each bucket, the most similar undecided pairs that would join components, until
-no such pair is left. Nothing is capped: the rounds go on until all are decided.
+so a bucket of n gives n - 1 pairs. What this star leaves open are members of
+different components in one bucket. Such a bucket goes with its texts to one task, which
+decides the hopeful pairs there, each in the first band that both share, the most
+similar first, until no pair joins two components; it returns links only, never pairs.
+Buckets above BUCKET members or BUCKET_SHINGLES are dealt anew by a second shared band (a
+pair at the threshold shares one band only in about one of 10^6 cases). Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
@@ -33,17 +35,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K_BITS = 7
+K_BITS = 8
 K = 1 << K_BITS
 MANTISSA = 10
+#: Bands of compressed registers: a pair of similarity 0.8 shares none in 5 of 10^8 cases.
 ROWS = 4
-BANDS = K // ROWS
+BANDS = 32
 #: An estimate this far (in standard deviations of K registers) below the threshold is hopeless.
-SIGMAS = 5.0
+SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
-BATCH_BYTES = 8 << 20
-#: Members of a bucket above which it is split by agreement on a second band.
+BATCH_BYTES = 4 << 20
+#: Members of a bucket, and their shingles, above which it is split by agreement on a second band.
 BUCKET = 4096
+BUCKET_SHINGLES = 4_000_000
 #: Ids up to which the filter on texts is a broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -158,89 +162,100 @@ def _estimate_rows(least: float):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, for ascending distinct hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
 def _verify_rows(k: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in common.rebatch(batches, ["ta", "tb"], BATCH_BYTES):
             n = rb.num_rows
             both = pa.concat_arrays([rb.column("ta").cast(pa.large_string()), rb.column("tb").cast(pa.large_string())])
             u, s = shingle_sets(both, k)
-            linked = np.zeros(n, bool)
-            for i in range(n):
-                x, y = u[s[i] : s[i + 1]], u[s[n + i] : s[n + i + 1]]
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                linked[i] = inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter)
-            yield pa.RecordBatch.from_arrays([rb.column("a"), rb.column("b"), pa.array(linked)], names=["a", "b", "linked"])
+            ok = pa.array([linked(u[s[i] : s[i + 1]], u[s[n + i] : s[n + i + 1]], percent) for i in range(n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rb.column("a").filter(ok), rb.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
 
-def _undecided_rows(least: float, per_pair: int):
-    """Of a bucket: the most similar pairs between components, without those that were verified.
-
-    per_pair 0: at most one pair for each merge (a spanning forest); else so many for
-    each two components.
-    """
+def _hopeful_pairs(regs: np.ndarray, size: np.ndarray, comp: np.ndarray, band: int, second: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x < y) of rows in different components, in the first band (or two) they share, the most similar first."""
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, (8 << 20) // (K * max(1, len(regs))))
+    for i in range(0, len(regs), step):
+        same = (regs[i : i + step, None, :] == regs[None, :, :]).mean(axis=2)
+        x, y = np.nonzero((same >= least) & (comp[i : i + step, None] != comp[None, :]))
+        keep = x + i < y
+        same, x, y = same[x[keep], y[keep]], x[keep] + i, y[keep]
+        if not len(x):
+            continue
+        shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+        keep = shared.argmax(axis=1) == band
+        if second >= 0:
+            shared[:, band] = False
+            keep &= shared.argmax(axis=1) == second
+        p = collision_rate(size[x], size[y])
+        est = (same - p) / (1 - p)
+        keep &= est >= least
+        found.append((x[keep], y[keep], est[keep]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y, est = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((y, x, -est))
+    return x[order], y[order]
+
+
+def _decide_rows(least: float, k: int, percent: int):
+    """Of a bucket: links that join components, by the full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-        rep, comp = (table.column(c).to_numpy()[order] for c in ("rep", "comp"))
-        size = table.column("n_shingles").to_numpy()[order].astype(float)
-        regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)[order]
-        found = []
-        step = max(1, (32 << 20) // (K * max(1, len(rep))))
-        for i in range(0, len(rep), step):
-            block = regs[i : i + step]
-            same = ((block[:, None, :] == regs[None, :, :]) & (block[:, None, :] != 0)).mean(axis=2)
-            x, y = np.nonzero((same >= least) & (comp[i : i + step, None] != comp[None, :]))
-            x += i
-            keep = x < y
-            x, y = x[keep], y[keep]
-            if len(x):
-                p = collision_rate(size[x], size[y])
-                est = (same[x - i, y] - p) / (1 - p)
-                ok = est >= least
-                found.append((est[ok], x[ok], y[ok]))
-        pairs = []
-        if found:
-            est, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            parent: dict[int, int] = {}
-            seen: dict[tuple[int, int], int] = {}
-
-            def root(c: int) -> int:
-                while parent.setdefault(c, c) != c:
-                    c = parent[c]
-                return c
-
-            for j in np.argsort(-est, kind="stable").tolist():
-                a, b = int(comp[x[j]]), int(comp[y[j]])
-                if per_pair:
-                    key = (min(a, b), max(a, b))
-                    seen[key] = seen.get(key, 0) + 1
-                    if seen[key] > per_pair:
-                        continue
-                else:
-                    a, b = root(a), root(b)
-                    if a == b:
-                        continue
-                    parent[max(a, b)] = min(a, b)
-                pairs.append((int(rep[y[j]]), int(rep[x[j]])))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+        regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
+        x, y = _hopeful_pairs(regs, table.column("n_shingles").to_numpy().astype(float), comp, table.column("band")[0].as_py(), table.column("second")[0].as_py(), least)
+        sets: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
+        if len(x):
+            need = np.unique(np.concatenate((x, y)))
+            texts = table.column("text").combine_chunks()
+            for i in range(0, len(need), 512):
+                u, s = shingle_sets(texts.take(pa.array(need[i : i + 512])), k)
+                sets.update({int(n): u[s[j] : s[j + 1]].copy() for j, n in enumerate(need[i : i + 512])})
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (p := parent.get(c, c)) != c:
+                parent[c] = parent.get(p, p)
+                c = p
+            return c
+
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and linked(sets[i], sets[j], percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(rep[j]), int(rep[i])))
+        del sets, regs, table
+        common.trim()
+        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
     return run
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, rep): a 64-bit key for each band of registers."""
-    keys = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS}))))")
-    return classes.select(keys.alias("key"), "rep")
+    """(band, key, rep): a 64-bit key for each band of registers."""
+    key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS})))")
+    return classes.select(F.posexplode(key).alias("band", "key"), "rep")
 
 
 def _split_large(bands: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows of buckets above BUCKET, dealt anew: members must agree on a second band too."""
+    """Rows of buckets above BUCKET, dealt anew: members must agree on a later band too."""
     hot = bands.join(large, "key", "left_semi")
-    other = bands.select(F.col("key").alias("second"), "rep")
-    again = hot.join(other, "rep").where("key <> second")
-    return again.select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "rep").distinct()
+    other = bands.select(F.col("band").alias("second"), F.col("key").alias("key2"), "rep")
+    again = hot.join(other, "rep").where("second > band")
+    return again.select("band", "second", F.xxhash64("key", "key2").alias("key"), "rep")
 
 
 class NearDuplicates:
@@ -254,19 +269,26 @@ class NearDuplicates:
         full = self.rows.where("n_shingles > 0 and doc_id is not null")
         by = ["fp1", "fp2", "n_shingles"]
         self.classes = common.store(full.groupBy(*by).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
+        named = self.classes.select(*by, "rep")
+        self.members = common.store(full.select("doc_id", *by).join(named, by).select("doc_id", "n_shingles", "rep"), "members")
+        # An id with several texts joins their classes.
+        several = self.members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
+        self.tied = self.members.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         self.bands = _bands(self.classes)
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of stored ids; few ids go to the texts, not the texts to the ids."""
+        return self.docs.where("doc_id is not null and text is not null").join(common.small(ids, BROADCAST_IDS), "doc_id", "left_semi")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for the pairs (a, b) of class representatives, by their full sets."""
+        """Those of the pairs (a, b) of class representatives that are linked, by their full sets."""
         pairs = common.store(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        n = ids.count()
-        texts = self.docs.where("doc_id is not null and text is not null")
-        texts = texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        ids = common.store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        texts = self.texts(ids)
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-        return common.store(both.mapInArrow(_verify_rows(self.k, self.percent), "a long, b long, linked boolean").distinct(), "verified")
+        return common.store(both.mapInArrow(_verify_rows(self.k, self.percent), "a long, b long").distinct(), "verified")
 
     def star(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest member, if the estimate allows."""
@@ -276,34 +298,29 @@ class NearDuplicates:
         two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_rows(self.least), "a long, b long").distinct()
 
-    def undecided(self, comps: DataFrame, tested: DataFrame, per_pair: int) -> DataFrame:
-        """Untested pairs of hopeful members of one bucket in different components."""
-        named = self.bands.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        named = named.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        sized = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_ = common.store(sized.where("n > 2 and lo <> hi").select("key", "n"), "open")  # of two members, the star has tested the pair
-        large = open_.where(f"n > {BUCKET}").select("key")
-        rows = named.join(open_.where(f"n <= {BUCKET}").select("key"), "key", "left_semi")
+    def undecided(self, comps: DataFrame) -> DataFrame:
+        """Links (a, b) that join components, among hopeful members of one bucket."""
+        comps = comps.select(F.col("id").alias("rep"), "component")
+        sizes = self.classes.select("rep", "n_shingles")
+        named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+        sized = named.join(sizes, "rep").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        # Of two members, the star has tested the pair.
+        open_ = common.store(sized.where("n > 2 and lo <> hi").select("key", F.expr(f"n > {BUCKET} or shingles > {BUCKET_SHINGLES}").alias("large")), "open")
+        large = open_.where("large").select("key")
+        rows = named.join(open_.where("not large").select("key"), "key", "left_semi").withColumn("second", F.lit(-1))
         if large.head(1):
-            again = _split_large(self.bands, large).join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-            rows = rows.union(again.select("key", "rep", F.coalesce("component", "rep").alias("comp")))
-        rows = rows.join(self.classes.select("rep", "sketch", "n_shingles"), "rep")
-        pairs = rows.groupBy("key").applyInArrow(_undecided_rows(self.least, per_pair), "a long, b long").distinct()
-        return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            again = _split_large(self.bands, large).join(comps, "rep", "left")
+            rows = rows.unionByName(again.select("band", "second", "key", "rep", F.coalesce("component", "rep").alias("comp")))
+        rows = common.store(rows, "members")
+        texts = self.texts(common.store(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")).withColumnRenamed("doc_id", "rep")
+        full = self.classes.select("rep", "sketch", "n_shingles").join(texts.hint("merge"), "rep")
+        return rows.join(full, "rep").groupBy("key").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
-        tested = self.verified(self.star())
-        per_pair = 0
-        while True:
-            comps = common.store(common.components(tested.where("linked").select("a", "b")), "components")
-            more = common.store(self.undecided(comps, tested, per_pair), "more")
-            if not more.head(1):
-                if per_pair:
-                    return comps
-                per_pair = 4  # a forest may have run into tested pairs only
-                continue
-            tested = tested.union(self.verified(more))
-            per_pair = max(4, per_pair * 4)
+        links = self.verified(self.star()).union(self.tied)
+        comps = common.store(common.components(links), "components")
+        more = common.store(self.undecided(comps).distinct(), "more")
+        return common.components(links.union(more)) if more.head(1) else comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -314,10 +331,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     run = NearDuplicates(docs, id_col, text_col, k, percent)
     comps = run.components().select(F.col("id").alias("rep"), "component")
-    by = ["fp1", "fp2", "n_shingles"]
-    named = run.classes.select(*by, "rep").join(comps, "rep", "left").select(*by, F.coalesce("component", "rep").alias("found"))
-    rows = run.rows.select("doc_id", *by)
-    found = rows.where("n_shingles > 0 and doc_id is not null").join(named, by, "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
-    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = run.members.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    alone = run.rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
