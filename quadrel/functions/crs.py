@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrel.functions import grid
@@ -172,3 +172,16 @@ def raster_extent(gt: Column, width: Column, height: Column, code: Column) -> Co
         return extent(F.transform(rows, moved))
 
     return let(use, every)
+
+
+def name_table(names: DataFrame) -> DataFrame:
+    """(code, name) with one name for each code, the first by `ord`; codes beyond 16 bits are left out."""
+    ok = names.where(F.col("code").between(0, 65535))
+    return ok.groupBy("code").agg(F.min_by("name", "ord").alias("name"))
+
+
+def named(rows: DataFrame, names: DataFrame, code: str = "epsg") -> DataFrame:
+    """Adds crs_name: the code's name, else EPSG:n, else unknown."""
+    joined = rows.join(names.select(F.col("code").alias(code), F.col("name").alias("_name")), code, "left")
+    text = F.coalesce(F.col("_name"), F.concat(F.lit("EPSG:"), F.col(code).cast("string")), F.lit("unknown"))
+    return joined.withColumn("crs_name", text).drop("_name")

@@ -136,6 +136,11 @@ def api_paths(layers: DataFrame) -> DataFrame:
     return rows.where(ok).select(F.replace("template", F.lit("{filename}"), F.col("name")).alias("path"), "name", paths.operation_id(base, F.col("name")).alias("operation_id"))
 
 
+def base_url(host: Column) -> Column:
+    """Address that documents name, from a request's Host header."""
+    return F.concat(F.lit("http://"), F.coalesce(F.when(F.trim(host) != "", F.trim(host)), F.lit("localhost:8080")))
+
+
 def check_map_request(params: Column) -> Column:
     """ok, or the code of what is wrong with a WMS GetMap request; params: a map of text by any-case keys."""
     p = F.transform_keys(params, lambda k, _: F.upper(k))

@@ -165,3 +165,17 @@ def max_zoom(spark, sf_dir):
 def bbox_zoom(spark, sf_dir):
     rows = fixtures.layers(spark, sf_dir).select("name", grid.lng_merc(F.col("w")).alias("x0"), grid.lng_merc(F.col("e")).alias("x1"))
     return rows.select("name", grid.bbox_zoom(F.col("x0"), F.col("x1"), F.lit(800.0)).alias("z"))
+
+
+_CODES = [(4326, "WGS 84", 0), (3857, "WGS 84 / Pseudo-Mercator", 0), (3857, "another name", 1), (32633, "WGS 84 / UTM zone 33N", 0), (900913, "too large", 0)]
+
+
+@query(
+    "crs_names",
+    f"""select p_partkey, epsg, coalesce(name, 'EPSG:' || epsg, 'unknown') as crs_name from (select p_partkey, case p_partkey % 5 when 0 then 4326 when 1 then 3857 when 2 then 32633 when 3 then 32719 end as epsg from part)
+    left join (select code, arg_min(name, ord) as name from (values {", ".join(map(str, _CODES))}) t(code, name, ord) where code <= 65535 group by code) on code = epsg""",
+)
+def crs_names(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, 4326).when(k == 1, 3857).when(k == 2, 32633).when(k == 3, 32719).alias("epsg"))
+    return crs.named(rows, crs.name_table(spark.createDataFrame(_CODES, "code int, name string, ord int")))

@@ -200,12 +200,25 @@ def tiles_of(spark, rows):
 _LIM = f"(select min(v) as lo, max(v) as hi from ({MOSAIC}))"
 
 
-def _tile_sql(rows: list[tuple[int, int, int]]) -> str:
+def _at_sql(rows: list[tuple[int, int, int]]) -> str:
+    """Fractional row and col of each pixel of tiles in the mosaic."""
     tiles = " union all ".join(f"select cast({z} as int) as z, cast({x} as bigint) as x, cast({y} as bigint) as y" for z, x, y in rows)
     lng = f"(x0+(tx+cast(0.5 as double))/256*(x1-x0))*180/cast({C} as double)"
     lat = LAT.format(y="(y1-(ty+cast(0.5 as double))/256*(y1-y0))")
     at = f"select z, x, y, ty, tx, ({lng}+10)/20*(w-1) as col, (1-({lat}+8)/16)*(h-1) as row, w, h from ({rect_sql(tiles)}), (select unnest(range(0,256)) as ty), (select unnest(range(0,256)) as tx), {SIZE}"
-    return f"select z, x, y, cast(ty as int) as ty, cast(tx as int) as tx, {BYTE} as grey from (select z, x, y, ty, tx, cast(floor(row) as bigint) as row, cast(floor(col) as bigint) as col from ({at}) where row >= 0 and col >= 0 and row < h and col < w) join ({MOSAIC}) using (row, col), {_LIM}"
+    return f"select * from ({at}) where row >= 0 and col >= 0 and row < h and col < w"
+
+
+def _tile_sql(rows: list[tuple[int, int, int]]) -> str:
+    return f"select z, x, y, cast(ty as int) as ty, cast(tx as int) as tx, {BYTE} as grey from (select z, x, y, ty, tx, cast(floor(row) as bigint) as row, cast(floor(col) as bigint) as col from ({_at_sql(rows)})) join ({MOSAIC}) using (row, col), {_LIM}"
+
+
+def _bilinear_sql(rows: list[tuple[int, int, int]]) -> str:
+    taps = "(select unnest([0,1]) as dy), (select unnest([0,1]) as dx)"
+    weight = "(case dy when 0 then 1-(row-floor(row)) else row-floor(row) end)*(case dx when 0 then 1-(col-floor(col)) else col-floor(col) end)"
+    hits = f"select z, x, y, ty, tx, {weight} as wt, least(cast(floor(row) as bigint)+dy,h-1) as row, least(cast(floor(col) as bigint)+dx,w-1) as col from ({_at_sql(rows)}), {taps}"
+    sums = f"select z, x, y, ty, tx, sum(wt*v) as v from ({hits}) join ({MOSAIC}) using (row, col) group by z, x, y, ty, tx"
+    return f"select z, x, y, cast(ty as int) as ty, cast(tx as int) as tx, {BYTE} as grey from ({sums}), {_LIM}"
 
 
 @query("raster_tile_pixels", _tile_sql([TILE]))
@@ -272,3 +285,31 @@ def batch_tiles(spark, sf_dir):
     lo, hi = (float(x) for x in fixtures.mosaic(spark, sf_dir).agg(F.min("v"), F.max("v")).first())
     done = render.batch(jobs, chunks, render.Image(PLACE, w, h, [(lo, hi)]), 64)
     return done.select("i", "z", "x", "y", F.col("rendered").cast("long").alias("rendered"))
+
+
+#: An image of this size at PLACE, for the planning of reads.
+BIG = (6000, 4800)
+
+
+def _window_sql() -> str:
+    w, h = BIG
+    lng, lat = "({v}*180/cast(" + C + " as double))", LAT.replace("{y}", "{v}")
+    col = lambda v: f"cast(round(({lng.format(v=v)}+10)/20*{w - 1}) as bigint)"
+    row = lambda v: f"cast(round((1-({lat.format(v=v)}+8)/16)*{h - 1}) as bigint)"
+    tiles = "select distinct z, x, y from (" + fixtures.SQL_REQS + ") where z between 3 and 8"
+    return f"""select z, x, y, col_off, row_off, src_w, src_h, cast(case when src_w*src_h > 1048576 then ceil(sqrt(src_w*src_h/cast(1048576 as double))) else 1 end as int) as step from (
+    select z, x, y, col_off, row_off, least(greatest(c1-c0+20,1),{w}-col_off) as src_w, least(greatest(r1-r0+20,1),{h}-row_off) as src_h from (
+    select *, least(greatest(c0-10,0),{w - 1}) as col_off, least(greatest(r0-10,0),{h - 1}) as row_off from (
+    select z, x, y, greatest({col("x0")},0) as c0, {col("x1")} as c1, greatest({row("y1")},0) as r0, {row("y0")} as r1 from ({rect_sql(tiles)}))))"""
+
+
+@query("tile_window", _window_sql())
+def tile_window(spark, sf_dir):
+    tiles = fixtures.reqs(spark, sf_dir).where("z between 3 and 8").select("z", "x", "y").distinct()
+    return raster.window(tiles, PLACE, *BIG)
+
+
+@query("raster_tile_bilinear", _bilinear_sql([TILE]))
+def raster_tile_bilinear(spark, sf_dir):
+    w, h = fixtures.mosaic_size(spark, sf_dir)
+    return raster.grey_tile(fixtures.mosaic(spark, sf_dir), tiles_of(spark, [TILE]), _limits(spark, sf_dir), PLACE, w, h, "bilinear")

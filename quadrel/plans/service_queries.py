@@ -174,3 +174,30 @@ _MIMES = ["a.png", "b.JPG", "c", "d.geojson", "e.tar.gz", "f.html", "g.svg"]
 @query("mime_type", "select path, mime from (values " + ", ".join(f"('{p}', '{paths.MIME.get(p.rsplit('.', 1)[-1].lower() if '.' in p else '', 'application/octet-stream')}')" for p in _MIMES) + ") t(path, mime)")
 def mime_type(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _MIMES], "path string").select("path", paths.mime(F.col("path")).alias("mime"))
+
+
+_REQUESTS = [("WMS", "GetMap", "a,b", "EPSG:3857", "0,0,1,1", "256"), ("wms", "getmap", "a", "EPSG:900913", " 0 , 0,1,1", "1"), ("WFS", "GetMap", "a", "EPSG:3857", "0,0,1,1", "256"), ("WMS", "GetFeature", "a", "EPSG:3857", "0,0,1,1", "256"), ("WMS", "GetMap", "", "EPSG:3857", "0,0,1,1", "256"), ("WMS", "GetMap", "a", "EPSG:4326", "0,0,1,1", "256"), ("WMS", "GetMap", "a", "EPSG:3857", "0,0,1", "256"), ("WMS", "GetMap", "a", "EPSG:3857", "0,0,1,x", "256"), ("WMS", "GetMap", "a", "EPSG:3857", "0,0,1,1", "4097"), ("WMS", "GetMap", "a", "EPSG:3857", "0,0,1,1", "wide")]
+
+
+@query(
+    "map_request_check",
+    f"""select i, case when upper(service) <> 'WMS' then 'InvalidService' when lower(request) <> 'getmap' then 'OperationNotSupported' when trim(string_split(layers, ',')[1]) = '' then 'LayerNotDefined'
+    when upper(crs) not in ('EPSG:3857','EPSG:900913') then 'InvalidCRS' when len(string_split(bbox, ',')) <> 4 or list_contains(list_transform(string_split(bbox, ','), lambda s: try_cast(trim(s) as double) is null), true) then 'InvalidBBox'
+    when coalesce(try_cast(width as int) not between 1 and 4096, true) then 'InvalidDimensionValue' else 'ok' end as verdict from (values {", ".join(str((i, *r)) for i, r in enumerate(_REQUESTS))}) t(i, service, request, layers, crs, bbox, width)""",
+)
+def map_request_check(spark, sf_dir):
+    keys = ["service", "REQUEST", "layers", "CRS", "bbox", "WIDTH"]
+    rows = spark.createDataFrame([(i, dict(zip(keys, r, strict=True)) | {"HEIGHT": r[-1]}) for i, r in enumerate(_REQUESTS)], "i int, p map<string,string>")
+    return rows.select("i", ogc.check_map_request(F.col("p")).alias("verdict"))
+
+
+@query("tile_store_size", f"select count(*) as n_files, cast(sum(size) as bigint) as bytes from ({_FILES})")
+def tile_store_size(spark, sf_dir):
+    files = fixtures.table(spark, sf_dir, "events").select((F.col("event_id") % 997 + 100).alias("size"))
+    return tilestore.size(files)
+
+
+@query("base_url", "select host, 'http://' || coalesce(nullif(trim(host), ''), 'localhost:8080') as url from (values ('tiles.example.org'), (' h:80 '), (''), (null)) t(host)")
+def base_url(spark, sf_dir):
+    rows = spark.createDataFrame([("tiles.example.org",), (" h:80 ",), ("",), (None,)], "host string")
+    return rows.select("host", ogc.base_url(F.col("host")).alias("url"))

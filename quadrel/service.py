@@ -210,6 +210,14 @@ class TileService:
             self.cache.put(key, data)
         return data
 
+    def batch(self, bases: list[str], filename: str, tiles: list[tuple[int, int, int]], options: Options | None = None) -> DataFrame:
+        """Tiles of a file below one of the bases, mounted or not: i, z, x, y, data, rendered, error, n_bytes."""
+        path = catalog.validate_path(bases, filename)
+        name = f"batch:{path}"
+        if name not in self.catalog:
+            self.catalog.mount(name, path)
+        return self.raster_tiles(name, tiles, options).withColumn("n_bytes", F.coalesce(F.octet_length("data"), F.lit(0)))
+
     def raster_tile_webp(self, *_args, **_options) -> bytes:
         raise NotImplementedError("WebP needs an encoder that is not part of this package; use PNG")
 

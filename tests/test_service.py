@@ -121,3 +121,13 @@ def test_progress_and_remount(service, tmp_path):
     assert service.raster("n.tif").code == 4326
     service.catalog.unmount("n.tif")
     assert "n.tif" not in service._rasters
+
+
+def test_batch_takes_paths_below_its_bases(service):
+    folder = service.catalog.get("rgb.tif")["path"].removeprefix("file:").rsplit("/", 1)[0]
+    rows = service.batch([folder], "rgb.tif", [tile_of(12, 48.5, 8), (0, 0, 0)]).collect()
+    assert [r.i for r in rows] == [0, 1] and rows[0].n_bytes == len(rows[0].data) and rows[0].rendered > 0
+    with pytest.raises(ValueError):
+        service.batch([folder], "../rgb.tif", [(0, 0, 0)])
+    with pytest.raises(FileNotFoundError):
+        service.batch([folder], "none.tif", [(0, 0, 0)])
