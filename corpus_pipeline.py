@@ -6,6 +6,9 @@ All but the last return the columns of docs; the last adds where a document is s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,46 +16,60 @@ from quadrel.llm import common, decontam, hyperminhash, langid, queries, shardin
 
 #: Share of the tokens that the mixture keeps; without repeated epochs, so that rows stay unique.
 BUDGET_SHARE = 0.8
+#: Scratch tables of the stage before; its result has been written when the next one starts.
+_LEFT: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, _LEFT)
+        before = common.stored()
+        out = f(spark, docs, sf_dir)
+        _LEFT.extend(common.made_since(before))
+        return out
+
+    return run_stage
 
 
+@_stage
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, from their text, the declared language and their source; others go."""
-    common.release(spark)
     model = langid.fit(docs)
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"))
     # Rows that share an id go only if all of them are rejected.
     rejected = langid.identify(rows, model).groupBy("id").agg(F.min("rejected").alias("rejected")).where("rejected and id is not null").select(F.col("id").alias("doc_id"))
-    return docs.join(common.small(common.store(rejected, "rejected"), 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(common.small(common.store(rejected, "rejected", few=True), 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    common.release(spark)
     found = hyperminhash.near_duplicates(docs, k=5, percent=80)
-    gone = common.store(found.where("not kept").select("doc_id").distinct(), "gone")
+    gone = common.store(found.where("not kept").select("doc_id").distinct(), "gone", few=True)
     return docs.join(common.small(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    common.release(spark)
     hits = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    gone = common.store(hits.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    gone = common.store(hits.select("doc_id").where("doc_id is not null").distinct(), "gone", few=True)
     return docs.join(common.small(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the token budgets of the target mixture."""
-    common.release(spark)
     taken = queries.mixed(docs, BUDGET_SHARE, 1).where("copies > 0").select("doc_id").distinct()
     left = F.col("doc_id").eqNullSafe(F.col("taken_id"))
     taken = taken.withColumnRenamed("doc_id", "taken_id")
-    return docs.join(common.small(common.store(taken, "taken"), 1_000_000), left, "left_semi").select(docs.columns)
+    return docs.join(common.small(common.store(taken, "taken", few=True), 1_000_000), left, "left_semi").select(docs.columns)
 
 
+@_stage
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document is stored: shards of near equal bytes."""
-    common.release(spark)
     rows = sharding.balance_bytes(docs, 8)
     return rows.select("doc_id", "size", "text_crc32", "shard", "slot")
 
@@ -72,9 +89,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = []
+    last: list[str] = []
     for _, stage in STAGES:
+        before = common.stored()
         docs = common.store(stage(spark, docs, sf_dir), "stage")
-        kept.append(common._STORED.pop())  # not scratch: the next stage reads it
-    common.release(spark)
+        common.release(spark, last)
+        last = common.made_since(before)
+    common.release(spark, _LEFT)
     return docs

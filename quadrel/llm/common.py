@@ -44,21 +44,38 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    few: a table of ids or counts, written as one file for each core of the cluster, not
+    for each partition that made it. A file costs its writer much more than a few rows do.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    (df.repartition(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables. Results that still read them must have been written before."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables, all or those given. Results that still read them must have been written before."""
+    paths = _STORED if paths is None else paths
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def made_since(n: int) -> list[str]:
+    """Take over the scratch tables that were stored after the first n."""
+    paths = _STORED[n:]
+    del _STORED[n:]
+    return paths
+
+
+def stored() -> int:
+    return len(_STORED)
+
+
 def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a column; used to size buckets, chunks and shards."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()
@@ -232,17 +249,17 @@ CONTRACT_EDGES = 500_000
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component = smallest id.
 
-    Alternating large-star and small-star rounds over stored edge tables; every
+    Each task contracts its edges to stars (all of them at once, if there are few); then
+    alternating large-star and small-star rounds over stored edge tables. Every
     step is a partial aggregate and a join that adaptive execution may split, so a
     component with a third of all nodes has no task of its own. Nodes without an
     edge have no row. Self-loops and repeated edges change nothing.
     """
-    cur = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    n = cur.count()
-    if n > 1:
-        cur = store(cur.repartition(max(1, n // CONTRACT_EDGES + 1)).mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tasks = cur.count() // CONTRACT_EDGES + 1
+    cur = store(cur.repartition(tasks).mapInArrow(_contract, "a long, b long"), "edges")
     seen = None
-    while True:
+    while tasks > 1:  # one task leaves stars
         sign = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if sign == seen or sign[0] < 2:
             break
@@ -254,7 +271,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        cur = store(small.where("a <> b").distinct(), "edges")
+        cur = store(small.where("a <> b").distinct(), "edges", few=True)
     ids = cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return ids.union(roots)

@@ -242,4 +242,4 @@ def _linked(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFram
     row = F.struct("vec_id", "n", "home", "h1", "h2", "visitor", "member", "embedding")
     # At most 2 * BLOCK rows, about, in a group.
     groups = both.groupBy(*key, "p", "q").agg(F.collect_list(row).alias("rows")).where("size(rows) > 1").select("rows")
-    return common.store(groups.mapInArrow(_pairs(index, threshold), _FOUND), "links")
+    return common.store(groups.mapInArrow(_pairs(index, threshold), _FOUND), "links", few=True)

@@ -270,7 +270,7 @@ class NearDuplicates:
         by = ["fp1", "fp2", "n_shingles"]
         self.classes = common.store(full.groupBy(*by).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
         named = self.classes.select(*by, "rep")
-        self.members = common.store(full.select("doc_id", *by).join(named, by).select("doc_id", "n_shingles", "rep"), "members")
+        self.members = common.store(full.select("doc_id", *by).join(named, by).select("doc_id", "n_shingles", "rep"), "members", few=True)
         # An id with several texts joins their classes.
         several = self.members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
         self.tied = self.members.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -282,13 +282,13 @@ class NearDuplicates:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of class representatives that are linked, by their full sets."""
-        pairs = common.store(pairs, "pairs")
-        ids = common.store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        pairs = common.store(pairs, "pairs", few=True)
+        ids = common.store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", few=True)
         texts = self.texts(ids)
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
-        return common.store(both.mapInArrow(_verify_rows(self.k, self.percent), "a long, b long").distinct(), "verified")
+        return common.store(both.mapInArrow(_verify_rows(self.k, self.percent), "a long, b long").distinct(), "verified", few=True)
 
     def star(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest member, if the estimate allows."""
@@ -305,21 +305,21 @@ class NearDuplicates:
         named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
         sized = named.join(sizes, "rep").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         # Of two members, the star has tested the pair.
-        open_ = common.store(sized.where("n > 2 and lo <> hi").select("key", F.expr(f"n > {BUCKET} or shingles > {BUCKET_SHINGLES}").alias("large")), "open")
+        open_ = common.store(sized.where("n > 2 and lo <> hi").select("key", F.expr(f"n > {BUCKET} or shingles > {BUCKET_SHINGLES}").alias("large")), "open", few=True)
         large = open_.where("large").select("key")
         rows = named.join(open_.where("not large").select("key"), "key", "left_semi").withColumn("second", F.lit(-1))
         if large.head(1):
             again = _split_large(self.bands, large).join(comps, "rep", "left")
             rows = rows.unionByName(again.select("band", "second", "key", "rep", F.coalesce("component", "rep").alias("comp")))
-        rows = common.store(rows, "members")
-        texts = self.texts(common.store(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")).withColumnRenamed("doc_id", "rep")
+        rows = common.store(rows, "members", few=True)
+        texts = self.texts(common.store(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids", few=True)).withColumnRenamed("doc_id", "rep")
         full = self.classes.select("rep", "sketch", "n_shingles").join(texts.hint("merge"), "rep")
         return rows.join(full, "rep").groupBy("key").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
 
     def components(self) -> DataFrame:
         links = self.verified(self.star()).union(self.tied)
-        comps = common.store(common.components(links), "components")
-        more = common.store(self.undecided(comps).distinct(), "more")
+        comps = common.store(common.components(links), "components", few=True)
+        more = common.store(self.undecided(comps).distinct(), "more", few=True)
         return common.components(links.union(more)) if more.head(1) else comps
 
 

@@ -163,7 +163,7 @@ def identify(rows: DataFrame, model: Model, min_posterior: float = MIN_POSTERIOR
 
     def sums(key: str) -> DataFrame:
         out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.sum(f"q{i}").alias(f"{key}{i}") for i in ids))
-        return common.small(common.store(out, key))
+        return common.small(common.store(out, key, few=True))
 
     for key in ("host", "domain", "suffix", "declared"):
         rows = rows.join(sums(key), key, "left")

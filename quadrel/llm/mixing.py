@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents of one slice of a leaf's hash range, about.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -102,7 +102,7 @@ def mix(
     rows = docs.select(doc_id.alias("doc_id"), *(F.coalesce(e.cast("string"), F.lit("")).alias(c) for c, e in path.items()), count_words(F.col(text_col).cast("string")).alias("n_tokens"))
     rows = common.store(rows, "leaves")
     leaves = rows.groupBy(*cols).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
-    leaves = common.store(leaves, "leafs")
+    leaves = common.store(leaves, "leafs", few=True)
     whole = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     budgets = leaf_budgets(leaves, cols, weights, F.lit(float(whole) * budget_share), max_epochs)
     # Whole epochs, and what is left for a prefix of the next; the cut to 1e-6 hides rounding only.
@@ -110,7 +110,7 @@ def mix(
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("leaf_budget") / F.col("tokens"))).otherwise(0).cast("long")
     budgets = budgets.withColumn("epochs", epochs).withColumn("rest", F.col("leaf_budget") - F.col("epochs") * F.col("tokens"))
     budgets = budgets.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / slice_rows)).cast("long"))
-    budgets = common.store(budgets.select(*cols, "tokens", "leaf_budget", "epochs", "rest", "slices"), "budgets")
+    budgets = common.store(budgets.select(*cols, "tokens", "leaf_budget", "epochs", "rest", "slices"), "budgets", few=True)
 
     placed = rows.join(common.small(budgets), cols)
     placed = placed.withColumn("place", _place(seed, F.col("epochs"), F.col("doc_id")))
@@ -118,7 +118,7 @@ def mix(
     by = ", ".join(cols)
     sums = placed.groupBy(*cols, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
     sums = sums.withColumn("slice_start", F.expr(f"sum(slice_tokens) over (partition by {by} order by slice) - slice_tokens"))
-    placed = placed.join(common.small(common.store(sums, "slices")), [*cols, "slice"])
+    placed = placed.join(common.small(common.store(sums, "slices", few=True)), [*cols, "slice"])
     ends = F.expr("slice_start < rest and slice_start + slice_tokens >= rest")
     whole_slice = placed.where(~ends).withColumn("taken", F.expr("slice_start < rest"))
     # Rows of one place (repeated ids) share the tokens before them.

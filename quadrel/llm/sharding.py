@@ -93,13 +93,13 @@ def assign_groups(groups: DataFrame, shards: int, fan_in: int = FAN_IN) -> DataF
     n = groups.count()
     buckets = max(1, -(-n // fan_in))
     rows = groups.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    done = common.store(rows.groupBy("bucket").applyInArrow(_leaves(shards), "bucket long, key string, col int, sums array<long>"), "leaves")
+    done = common.store(rows.groupBy("bucket").applyInArrow(_leaves(shards), "bucket long, key string, col int, sums array<long>"), "leaves", few=True)
     sums = done.where("sums is not null").select(F.col("bucket").alias("node"), "sums")
     # Each level maps a node's columns to those of its parent; the last one's are the shards.
     path = sums.select("node", F.col("node").alias("up"), F.expr(f"transform(sequence(0, {shards - 1}), i -> cast(i as long))").alias("cols"))
     while buckets > 1:
         buckets = -(-buckets // fan_in)
-        step = common.store(sums.withColumn("bucket", F.pmod("node", F.lit(buckets))).groupBy("bucket").applyInArrow(_inner, "bucket long, node long, perm array<long>, sums array<long>"), "inner")
+        step = common.store(sums.withColumn("bucket", F.pmod("node", F.lit(buckets))).groupBy("bucket").applyInArrow(_inner, "bucket long, node long, perm array<long>, sums array<long>"), "inner", few=True)
         path = path.join(step.select(F.col("node").alias("up"), "bucket", "perm"), "up").select("node", F.col("bucket").alias("up"), F.transform("cols", lambda c: F.get("perm", c.cast("int"))).alias("cols"))
         sums = step.where("sums is not null").select(F.col("bucket").alias("node"), "sums")
     path = path.select(F.col("node").alias("bucket"), "cols")
