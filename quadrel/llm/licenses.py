@@ -1,9 +1,10 @@
 """License scans: winnowed fingerprints, an inverted index, banded alignment.
 
 Texts become words of letters, digits and inner dots. Of each window of `WINDOW`
-consecutive shingles of `SHINGLE` words the smallest hash is a fingerprint. Templates'
-fingerprints are the inverted index; a document's fingerprints find (template, place)
-hits in it. Hits near one diagonal are a candidate, which a local alignment within a
+consecutive shingles of `SHINGLE` words the smallest hash is a fingerprint, so a match of
+SHINGLE + WINDOW - 1 words has one. Templates' shingles are the inverted index; a
+document's fingerprints find (template, place) hits in it. Templates too short for that
+promise are looked up at each shingle. Hits near one diagonal are a candidate, which a local alignment within a
 band around the diagonal scores. Matches covering at least `min_coverage` of a
 template are reported with their spans; of overlapping ones the one with more
 matched words.
@@ -139,6 +140,7 @@ class Index:
             marks += [(int(h), n, i) for i, h in enumerate(hashes)]
         marks.sort()
         self.hashes = np.array([m[0] for m in marks], np.uint64)
+        self.short = np.array([m[0] for m in marks if len(self.texts[m[1]]) < SHINGLE + WINDOW - 1], np.uint64)
         self.places = [m[1:] for m in marks]
 
 
@@ -166,7 +168,7 @@ def _scan(index: Index, min_coverage: float):
                 hashes = common.windows(text.astype(np.uint64), SHINGLE)
                 foreign = known[SHINGLE:] - known[:-SHINGLE] < SHINGLE
                 hashes[foreign] = np.uint64(2**64 - 1)
-                marks = winnow(hashes)
+                marks = np.union1d(winnow(hashes), np.flatnonzero(np.isin(hashes, index.short)))
                 marks = marks[~foreign[marks]]
                 rows += [(d, *m) for m in _matches(index, text.tolist(), hashes, marks, place, min_coverage)]
             if rows:

@@ -32,6 +32,17 @@ def test_notices_and_texts(spark):
     assert (None, "GPL-3.0", 0, 12, 1.0) in got and not [g for g in got if g[0] in (4, 5, 6, 7)]
 
 
+def test_short_template_among_known_words(spark):
+    rng = random.Random(5)
+    vocab = " ".join(t[2] for t in li.TEMPLATES).split()
+    docs = []
+    for i in range(60):
+        w = [rng.choice(vocab) for _ in range(12)]
+        w[6:6] = "All rights reserved.".split()
+        docs.append(row(i, " ".join(w)))
+    assert {g[0] for g in run(spark, docs) if g[1] == "proprietary"} == set(range(60))
+
+
 def test_edited_text_is_found_with_its_coverage(spark):
     rng = random.Random(1)
     words = next(t[2] for t in li.TEMPLATES if t[1] == "text").split()
