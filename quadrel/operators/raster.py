@@ -34,19 +34,35 @@ def band_stats(px: DataFrame, by: list[str], sentinel: Column | None = None) ->
     return px.groupBy(*by).agg(F.count(v).alias("n"), F.coalesce(F.min(v), zero).alias("min_v"), F.coalesce(F.max(v), zero).alias("max_v"), F.coalesce(F.avg(v), zero).alias("mean_v"), F.coalesce(F.stddev_pop(v), zero).alias("std_v"))
 
 
+#: Equal parts of a band's value range; only the parts that hold a percentile are ranked.
+PARTS = 1024
+
+
 def percentiles(px: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98, sample_cap: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Exact lower and upper percentile of each band: the element floor(p * (n - 1)) of its sorted values.
 
-    Values are counted before they are ranked, so an image of 256 or 65,536 grey levels
-    ranks that many rows. sample_cap: only the first so many values of a band, in `order`.
+    Values are counted first, so grey levels are few rows. The counts are summed up for equal
+    parts of the band's range; values are ranked only in the two parts that hold a
+    percentile, so no task sorts a band. sample_cap: only the first so many values of a
+    band, in `order`. Values that are not finite are left out.
     """
     keys = ", ".join(by)
+    px = valid(px)
     if sample_cap is not None:
         px = px.withColumn("_i", F.expr(f"row_number() over (partition by {keys} order by {', '.join(order or ['row', 'col'])})")).where(F.col("_i") <= sample_cap)
     counts = px.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_n"))
-    run = counts.withColumn("_upto", F.expr(f"sum(_n) over (partition by {keys} order by v)")).withColumn("_all", F.expr(f"sum(_n) over (partition by {keys})"))
-    pick = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col("v")))
-    return run.groupBy(*by).agg(pick(low).alias("lo"), pick(high).alias("hi"))
+    bands = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("_n").alias("_all"))
+    span = F.col("_hi") - F.col("_lo")
+    part = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / span * F.lit(float(PARTS))), F.lit(PARTS - 1))).otherwise(F.lit(0))
+    parted = counts.join(bands, by).withColumn("_part", part.cast("int"))
+    sums = parted.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_all"))
+    sums = sums.withColumn("_start", F.expr(f"sum(_in) over (partition by {keys} order by _part) - _in"))
+    rank = lambda p: F.floor(F.lit(p) * (F.col("_all") - 1))
+    holds = lambda p: (F.col("_start") <= rank(p)) & (rank(p) < F.col("_start") + F.col("_in"))
+    near = parted.select(*by, "_part", "v", "_n").join(sums.where(holds(low) | holds(high)), [*by, "_part"])
+    near = near.withColumn("_upto", F.col("_start") + F.expr(f"sum(_n) over (partition by {keys}, _part order by v)"))
+    pick = lambda p: F.min(F.when(holds(p) & (F.col("_upto") > rank(p)), F.col("v")))
+    return near.groupBy(*by).agg(pick(low).alias("lo"), pick(high).alias("hi"))
 
 
 def bounds(stats: DataFrame, by: list[str], method: str = "minmax", factor: float = 2.0, percentile: DataFrame | None = None) -> DataFrame:

@@ -153,8 +153,8 @@ def decimated_read(spark, sf_dir):
 
 @query(
     "block_grid",
-    """select k, r as block_row, c as block_col, c*64 as col_off, r*64 as row_off, least(64, width-c*64) as w, least(64, height-r*64) as h, greatest(0,c*64-2) as halo_col, greatest(0,r*64-2) as halo_row
-    from (select p_partkey as k, p_size*7 as width, p_size*5 as height from part) i, (select unnest(range(0,40)) as r), (select unnest(range(0,40)) as c) where c*64 < width and r*64 < height""",
+    """select k, r as block_row, c as block_col, cast(c*64 as int) as col_off, cast(r*64 as int) as row_off, cast(least(64, width-c*64) as int) as w, cast(least(64, height-r*64) as int) as h, cast(greatest(0,c*64-2) as int) as halo_col, cast(greatest(0,r*64-2) as int) as halo_row
+    from (select p_partkey as k, p_size*7 as width, p_size*5 as height from part) i, (select cast(unnest(range(0,40)) as int) as r), (select cast(unnest(range(0,40)) as int) as c) where c*64 < width and r*64 < height""",
 )
 def block_grid(spark, sf_dir):
     images = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") * 7).alias("width"), (F.col("p_size") * 5).alias("height"))
