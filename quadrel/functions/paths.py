@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 RASTER = ["tif", "tiff"]
 VECTOR = ["geojson", "json", "shp", "wkt", "kml", "kmz"]
 MIME = {
-    "html": "text/html; charset=utf-8",
-    "htm": "text/html; charset=utf-8",
-    "css": "text/css; charset=utf-8",
-    "js": "application/javascript; charset=utf-8",
-    "json": "application/json; charset=utf-8",
-    "geojson": "application/geo+json",
+    "html": "text/html",
+    "js": "application/javascript",
+    "css": "text/css",
     "png": "image/png",
     "jpg": "image/jpeg",
     "jpeg": "image/jpeg",
     "gif": "image/gif",
     "svg": "image/svg+xml",
+    "json": "application/json",
+    "xml": "application/xml",
+    "tif": "image/tiff",
+    "tiff": "image/tiff",
+    "geojson": "application/geo+json",
     "webp": "image/webp",
     "ico": "image/x-icon",
-    "txt": "text/plain; charset=utf-8",
-    "xml": "application/xml; charset=utf-8",
-    "wasm": "application/wasm",
+    "woff2": "font/woff2",
 }
+# Names of modes in requests; anything else is nearest or minmax.
+RESAMPLING = {"nearest": "nearest", "nearest-neighbor": "nearest", "bilinear": "bilinear", "bicubic": "bicubic", "lanczos": "lanczos3", "lanczos3": "lanczos3"}
+STRETCH = {"percentile": "percentile", "stddev": "stddev", "standard-deviation": "stddev"}
+
+
+def _lookup(table: dict[str, str], key: Column, other: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
 
 
 def extension(path: Column) -> Column:
@@ -47,8 +54,7 @@ def kind(ext: Column) -> Column:
 
 
 def mime(path: Column) -> Column:
-    found = F.element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), extension(path))
-    return F.coalesce(found, F.lit("application/octet-stream"))
+    return _lookup(MIME, extension(path), "application/octet-stream")
 
 
 def hidden(path: Column) -> Column:
@@ -73,13 +79,11 @@ def band_list(text: Column) -> Column:
 
 
 def resampling(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("bilinear", "linear"), "bilinear").when(t.isin("bicubic", "cubic"), "bicubic").when(t.isin("lanczos", "lanczos3"), "lanczos3").otherwise("nearest")
+    return _lookup(RESAMPLING, F.lower(text), "nearest")
 
 
 def stretch(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("percentile", "percent"), "percentile").when(t.isin("stddev", "std_dev", "std"), "stddev").otherwise("minmax")
+    return _lookup(STRETCH, F.lower(text), "minmax")
 
 
 def nodata(text: Column) -> Column:

@@ -79,13 +79,13 @@ def band_list_parse(spark, sf_dir):
     return rows.select("raw", F.array_join(paths.band_list(F.col("raw")), "|").alias("bands"))
 
 
-_MODES = ["nearest", "Bilinear", "CUBIC", "lanczos", "linear", "stddev", "percentile", "minmax", "", "other"]
+_MODES = ["nearest", "Nearest-Neighbor", "Bilinear", "BICUBIC", "lanczos", "lanczos3", "linear", "stddev", "standard-deviation", "Percentile", "minmax", "", "other"]
 
 
 @query(
     "mode_parse",
-    f"""select raw, case when m in ('bilinear','linear') then 'bilinear' when m in ('bicubic','cubic') then 'bicubic' when m in ('lanczos','lanczos3') then 'lanczos3' else 'nearest' end as resampling,
-    case when m in ('percentile','percent') then 'percentile' when m in ('stddev','std_dev','std') then 'stddev' else 'minmax' end as stretch from (select raw, lower(trim(raw)) as m from (select unnest({_MODES!r}) as raw))""",
+    f"""select raw, case when m = 'bilinear' then 'bilinear' when m = 'bicubic' then 'bicubic' when m in ('lanczos','lanczos3') then 'lanczos3' else 'nearest' end as resampling,
+    case when m = 'percentile' then 'percentile' when m in ('stddev','standard-deviation') then 'stddev' else 'minmax' end as stretch from (select raw, lower(raw) as m from (select unnest({_MODES!r}) as raw))""",
 )
 def mode_parse(spark, sf_dir):
     rows = spark.createDataFrame([(x,) for x in _MODES], "raw string")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid, paths
+from quadrel.functions import grid, paths, projection
 from quadrel.operators import catalog, ogc, raster, render, tilestore, vector
 from quadrel.sources import readers
 
@@ -30,6 +31,10 @@ class Options:
     max_percent: float = 98.0
     affine: bool = False
 
+    def __post_init__(self) -> None:
+        self.resampling = paths.RESAMPLING.get(self.resampling.lower(), "nearest")
+        self.stretch = paths.STRETCH.get(self.stretch.lower(), "minmax")
+
 
 @dataclass
 class Raster:
@@ -244,11 +249,27 @@ class TileService:
         """GeoJSON of each tile: z, x, y, geojson, n_features. Whole geometries that meet the tile, exactly."""
         asked = self.spark.createDataFrame(tiles, "z int, x long, y long")
         hits = vector.exact_join(self.features(name), asked)
-        hits = hits.withColumn("feature", vector.feature_json(F.col("geometry"), F.when(F.col("id").isNotNull(), F.to_json(F.struct("id")).substr(F.lit(7), F.length(F.to_json(F.struct("id"))) - 7)), F.col("props")))
+        hits = hits.withColumn("feature", self._feature())
         done = vector.collections(hits, ["z", "x", "y"], "ord")
         empty = F.lit('{"type":"FeatureCollection","features":[]}')
         return asked.join(done, ["z", "x", "y"], "left").select("z", "x", "y", F.coalesce("geojson", empty).alias("geojson"), F.coalesce("n_features", F.lit(0)).alias("n_features"))
 
+    def vector_map(self, name: str, bbox: tuple[float, float, float, float]) -> str:
+        """GeoJSON of the features that meet a box in Mercator metres."""
+        (w, e), (s, n) = projection.inverse(np.array([bbox[0], bbox[2]]), np.array([bbox[1], bbox[3]]), 3857)
+        near = self.features(name).where((F.col("xmin") <= float(e)) & (F.col("xmax") >= float(w)) & (F.col("ymin") <= float(n)) & (F.col("ymax") >= float(s)))
+        rect = {k: F.lit(float(v)) for k, v in (("west", w), ("south", s), ("east", e), ("north", n))}
+        near = near.withColumns(rect)
+        hits = near.mapInArrow(vector.meets(), near.schema).withColumn("feature", self._feature())
+        row = vector.collections(hits.withColumn("one", F.lit(0)), ["one"], "ord").first()
+        return row.geojson if row else '{"type":"FeatureCollection","features":[]}'
+
+    @staticmethod
+    def _feature():
+        """Text of a feature; ids are texts."""
+        id_ = F.to_json(F.struct("id"))  # {"id":"..."}
+        return vector.feature_json(F.col("geometry"), F.when(F.col("id").isNotNull(), id_.substr(F.lit(7), F.length(id_) - 7)), F.col("props"))
+
     # ------------------------------------------------------------ documents
 
     def wms_capabilities(self) -> str:

@@ -159,16 +159,22 @@ def _external(data: bytes) -> list[Level | None]:
     return out
 
 
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def _transform(t: dict[int, list], world: str | None) -> list[float]:
-    """x0, pixel width, 0, y0, 0, pixel height of a north-up image."""
+    """x0, pixel width, 0, y0, 0, pixel height of a north-up image.
+
+    A world file of exactly six numbers wins; its last two are taken for the corner.
+    """
     if world:
-        try:
-            a = [float(x) for x in world.split()]
-        except ValueError:
-            a = []
+        a = [v for line in world.splitlines() if (v := _number(line)) is not None]
         if len(a) == 6:
-            # A world file names the centre of the first pixel.
-            return [a[4] - a[0] / 2, a[0], a[1], a[5] - a[3] / 2, a[2], a[3]]
+            return [a[4], a[0], a[1], a[5], a[2], a[3]]
     scale, tie = t.get(PIXEL_SCALE), t.get(TIEPOINT)
     if scale and tie and len(tie) >= 6:
         sx, sy = scale[0], scale[1]

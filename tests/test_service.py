@@ -112,6 +112,13 @@ def test_vector_tiles(service):
     assert docs[1]["features"][0]["id"] == 'a"b' and docs[1]["features"][0]["properties"] == {"k": [1]} and docs[0]["features"] == []
 
 
+def test_vector_map(service):
+    at = [float(v) for v in projection.forward(np.float64(11.0), np.float64(49.0), 3857)]
+    hit = json.loads(service.vector_map("f.geojson", (at[0] - 10, at[1] - 10, at[0] + 10, at[1] + 10)))
+    assert len(hit["features"]) == 1 and hit["features"][0]["id"] == 'a"b'
+    assert json.loads(service.vector_map("f.geojson", (0, 0, 10, 10)))["features"] == []
+
+
 def test_progress_and_remount(service, tmp_path):
     (tmp_path / "n.tif").write_bytes(tiff.write([np.ones((4, 4, 1), "uint8")], [0.0, 1.0, 0.0, 4.0, 0.0, -1.0]))
     service.catalog.mount("n.tif", str(tmp_path / "n.tif"))

@@ -35,7 +35,7 @@ def test_lzw_and_packbits():
 def test_overviews_and_world_file():
     a = np.random.default_rng(1).integers(0, 255, (600, 520, 1)).astype("uint8")
     ovr = tiff.write_overviews(a)
-    info = tiff.read_info(tiff.write([a]), "0.5\n0\n0\n-0.5\n10.25\n49.75\n", ovr)
+    info = tiff.read_info(tiff.write([a]), "0.5\n0\nnote\n0\n-0.5\n10\n50\n", ovr)
     assert [(x.width, x.height, x.external) for x in info.levels] == [(520, 600, False), (260, 300, True), (130, 150, True)]
     assert info.transform == [10.0, 0.5, 0.0, 50.0, 0.0, -0.5]
     assert tiff.read_info(tiff.write([a]), "not numbers").transform[0] == 0.0
