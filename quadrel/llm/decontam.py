@@ -32,7 +32,7 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 #: Text of the benchmark that is sent to the tasks at a time.
 BLOCK_BYTES = 8 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: First length searched for; longer matches raise it.
 FIRST_LENGTH = 20
 

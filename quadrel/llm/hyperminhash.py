@@ -44,7 +44,7 @@ BANDS = 32
 #: An estimate this far (in standard deviations of K registers) below the threshold is hopeless.
 SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Members of a bucket, and their shingles, above which it is split by agreement on a second band.
 BUCKET = 4096
 BUCKET_SHINGLES = 4_000_000

@@ -35,7 +35,7 @@ WINDOW = 3
 BAND = 6
 MIN_COVERAGE = 0.75
 MAX_TEMPLATE_BYTES = 16 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 # Notices and texts as the licenses' publishers give them.
 TEMPLATES = [

@@ -36,7 +36,7 @@ from . import common
 MIN_WORDS = 20
 #: Documents that hold a line up to which it is rare.
 RARE = 64
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def line_hash(line: str) -> int:
