@@ -36,7 +36,7 @@ def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, from their text, the declared language and their source; others go."""
     model = langid.fit(docs)
-    rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"))
+    rows = langid.document_rows(docs)
     # Rows that share an id go only if all of them are rejected.
     rejected = langid.identify(rows, model).groupBy("id").agg(F.min("rejected").alias("rejected")).where("rejected and id is not null").select(F.col("id").alias("doc_id"))
     return docs.join(common.small(common.store(rejected, "rejected", few=True), 1_000_000), "doc_id", "left_anti").select(docs.columns)

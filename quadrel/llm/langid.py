@@ -40,7 +40,7 @@ TEMPER = 40.0
 #: Rows' worth of the level above in a smoothed prior.
 PRIOR_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -67,7 +67,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tri = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
     letters = sym > 0
     ok = letters[1:-1] & (letters[:-2] | letters[2:])  # at most one blank, at an end
-    doc = np.repeat(np.arange(len(low)), np.diff(ends))
+    doc = np.repeat(np.arange(len(low), dtype=np.int32), np.diff(ends))
     ok &= doc[:-2] == doc[2:]
     starts = np.concatenate(([0], np.cumsum(np.bincount(doc[:-2][ok], minlength=len(low)))))
     return tri[ok], starts
@@ -208,3 +208,9 @@ def page_rows(pages: DataFrame) -> DataFrame:
         blank(F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1)).alias("domain"),
         blank(F.regexp_extract(host, r"\.([a-z]{2,})\.?$", 1)).alias("suffix"),
     )
+
+
+def document_rows(docs: DataFrame) -> DataFrame:
+    """Rows for `identify` from documents (doc_id, text, lang, source): the source is the host."""
+    none = F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"))

@@ -60,9 +60,14 @@ def op5_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.fit(table(spark, sf_dir, "documents"))
-    found = langid.identify(langid.page_rows(table(spark, sf_dir, "pages")), model)
-    return found.withColumnRenamed("id", "page_id")
+    """All pages, by markup, address and host, and all documents, by declared language and source."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    none = F.lit(None).cast("long")
+    cols = ["declared", "host", "n_trigrams", "text_language", "language", "posterior", (~F.col("rejected")).alias("kept")]
+    pages = langid.identify(langid.page_rows(table(spark, sf_dir, "pages")), model).select(none.alias("doc_id"), F.col("id").alias("page_id"), *cols)
+    texts = langid.identify(langid.document_rows(docs), model).select(F.col("id").alias("doc_id"), none.alias("page_id"), *cols)
+    return texts.unionByName(pages)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
