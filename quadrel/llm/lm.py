@@ -40,10 +40,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Text of a chunk. Its n-grams take some thirty times this in a Python worker.
+#: Least text of a chunk. Its n-grams take some thirty times this in a Python worker.
 CHUNK_BYTES = 4 << 20
-#: Text for each shard; its requests take about as much.
+#: Least text for each shard; its requests take about as much.
 SHARD_BYTES = 16 << 20
+#: Text whose n-grams are enough for a packed request. Each chunk asks each shard, so both
+#: grow with the root of the input above some 45 GB, to 200 MB at 100 TB.
+ASK_BYTES = 384
 #: Strength of the unigram in the smoothed bigram, in counts.
 MU = 4.0
 #: Neither can be a word, as both hold a space.
@@ -108,20 +111,26 @@ def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
     return ends
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def sizes(total: int) -> tuple[int, int]:
+    """Bytes of text of a chunk, and the number of shards, for an input of so many bytes."""
+    least = int((ASK_BYTES * total) ** 0.5)
+    return max(CHUNK_BYTES, least), max(1, -(-total // max(SHARD_BYTES, least)))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
-    for i, rb in enumerate(common.rebatch(batches, ["text"], CHUNK_BYTES)):
+    for i, rb in enumerate(common.rebatch(batches, ["text"], size)):
         yield (part << 32) | i, rb
 
 
 _ASK = "chunk long, level int, shard int, n long, hashes binary, counts binary"
 
 
-def _ask(shards: int):
+def _ask(size: int, shards: int):
     """For each chunk, level and shard: the hashes it needs, and its own training counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rb in _chunks(batches):
+        for chunk, rb in _chunks(batches, size):
             c = Chunk(rb.column("text"), rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
             rows = []
             for level, (hashes, counts) in enumerate((c.words, c.pairs), 1):
@@ -205,14 +214,18 @@ class Automaton:
         return np.where((state >= 0) & ~np.isnan(arc), arc, backed)
 
 
-def _bodies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bodies(size: int):
     """Each chunk's rows, packed into one."""
-    z = zstandard.ZstdCompressor(level=3)
-    for chunk, rb in _chunks(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rb.schema) as w:
-            w.write_batch(rb)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "body"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for chunk, rb in _chunks(batches, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rb.schema) as w:
+                w.write_batch(rb)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "body"])
+
+    return run
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,11 +292,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     if not _is_scan(docs):
         docs = common.store(docs, "texts")
-    _, size = common.text_bytes(docs, "text")
-    shards = max(1, -(-size // SHARD_BYTES))
-    asked = docs.mapInArrow(_ask(shards), _ASK)
+    size, shards = sizes(common.text_bytes(docs, "text")[1])
+    asked = docs.mapInArrow(_ask(size, shards), _ASK)
     answers = common.store(asked.groupBy("level", "shard").applyInArrow(_answer, _ANSWER), "answers")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    bodies = docs.mapInArrow(_bodies, "chunk long, body binary")
+    bodies = docs.mapInArrow(_bodies(size), "chunk long, body binary")
     rows = answers.select("chunk", "level", "shard", "crc", "totals")
     return bodies.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_score(int(n), int(v), mu), _SCORE)

@@ -38,6 +38,8 @@ def same(got, want):
 def test_like_brute_force(spark, monkeypatch, small):
     if small:  # many chunks and shards
         monkeypatch.setattr(lm, "SHARD_BYTES", 2000)
+        monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
+        monkeypatch.setattr(lm, "ASK_BYTES", 1)
     rows = [*fx.documents(3), (None, "a null id", "en", "s", 1), (7, "a repeated id", "en", "s", 1)]
     same([tuple(r) for r in lm.score(fx.frame(spark, rows, extra=True)).collect()], brute(rows))
 
@@ -50,6 +52,13 @@ def test_stored_table_in_many_chunks(spark, tmp_path, monkeypatch):
     same([tuple(r) for r in lm.score(docs).collect()], brute(rows))
 
 
+def test_sizes_grow_with_the_root_of_the_input():
+    assert lm.sizes(0) == (lm.CHUNK_BYTES, 1) and lm.sizes(10**9)[0] == lm.CHUNK_BYTES
+    size, shards = lm.sizes(10**14)
+    assert size < 2 * 10**8 and size * 0.15 / shards > 32  # n-grams of a request
+    assert 10**14 / shards < 2.1 * 10**8
+
+
 def test_model_sums_to_one():
     words, pairs = np.array([3.0, 0.0, 5.0]), np.array([2.0, 1.0, 0.0])
     n, v, mu = 8, 2, 4.0
