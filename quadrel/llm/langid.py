@@ -195,15 +195,20 @@ def identify(rows: DataFrame, model: Model, min_posterior: float = MIN_POSTERIOR
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Rows for `identify` from pages (page_id, url, html)."""
+    """Rows for `identify` from pages (page_id, url, html).
+
+    The declared language is that of the first <html ...> tag with one, wherever the tag begins;
+    tags in the strings of scripts are none.
+    """
     html, url = F.col("html").cast("string"), F.lower(F.col("url").cast("string"))
     blank = lambda c: F.when(c != "", c)
     host = blank(F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    marked = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    body = F.regexp_replace(marked, r"(?s)<[^>]*>", " ")
     return pages.select(
         F.col("page_id").cast("long").alias("id"),
         F.regexp_replace(body, r"&[a-zA-Z#0-9]{1,10};", " ").alias("text"),
-        blank(F.regexp_extract(html, r"""(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1)).alias("declared"),
+        blank(F.regexp_extract(marked, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z]{2,3})""", 1)).alias("declared"),
         host.alias("host"),
         blank(F.regexp_extract(host, r"([^.]+\.[^.]+)\.?$", 1)).alias("domain"),
         blank(F.regexp_extract(host, r"\.([a-z]{2,})\.?$", 1)).alias("suffix"),

@@ -76,6 +76,14 @@ def test_pages(spark):
     assert got[2][1:] == (None, None, None, None, None) and got[3].host is None
 
 
+def test_declared_language_after_a_long_prologue(spark):
+    licence = f"<!-- {'licence ' * 2000}-->\n"
+    script = """<script>w.write('<html lang="en">')</script>"""
+    rows = [(1, None, licence + '<html class="x"\n lang="de-AT"><p>x</p></html>'), (2, None, "Warning: no cache\n" * 500 + "<HTML LANG=fr><p>x</p>"), (3, None, licence + "<html><p>x</p>" + script), (4, None, licence + script + "<html lang='es'>")]
+    got = {r.id: r.declared for r in li.page_rows(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "de", 2: "fr", 3: None, 4: "es"}
+
+
 def test_empty(spark, model):
     assert judge(spark, model, []) == []
     none = li.fit(fx.frame(spark, []))
