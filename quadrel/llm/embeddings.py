@@ -7,8 +7,8 @@ sum of both halves' squared distances (the multi-sequence traversal), as far as
 `reach` beyond its own cell. `reach` is set on the sample: of neighbours at exactly the
 threshold, made by turning sample vectors at random, a share `recall` must live in
 visited cells. Two vectors are compared if either visits the other's cell, so a pair is
-missed only if both miss (about one in a thousand at the threshold; closer pairs are
-found more surely). All that meet are verified by cosine in double.
+missed only if both miss (measured on random pairs at the threshold: under one in a thousand;
+closer pairs are found more surely). All that meet are verified by cosine in double.
 
 Equal vectors form a class first, so copies are never compared. A cell's members and its
 visitors are dealt into blocks of at most `BLOCK` each, and each pair of blocks is one
@@ -40,7 +40,7 @@ SAMPLE = 8192
 CELL = 100
 MAX_CODES = 512
 #: Share of a vector's neighbours at the threshold that live in the cells it visits.
-RECALL = 0.97
+RECALL = 0.995
 BLOCK = 1024
 ROUNDS = 12
 

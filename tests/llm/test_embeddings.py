@@ -88,3 +88,18 @@ def test_recall_on_the_test_table(spark, sf_dir):
     want = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(1) - 1
     found = sum(min(got[r[0]], w) for r, w in zip(rows, want, strict=True))
     assert want.sum() > 0 and found >= 0.9 * want.sum() and all(got[r[0]] <= w for r, w in zip(rows, want, strict=True))
+
+
+def test_pairs_at_the_threshold_seldom_miss_from_both_sides():
+    missed = 0
+    for seed in (11, 13):
+        for codes in (16, 32):
+            rng = np.random.default_rng(seed)
+            x, turn = em.unit(rng.standard_normal((4000, 64))), rng.standard_normal((4000, 64))
+            y = 0.93 * x + (1 - 0.93**2) ** 0.5 * em.unit(turn - (turn * x).sum(1, keepdims=True) * x)
+            index = em.MultiIndex(x, codes, 0.93, em.RECALL)
+            sides = [(d, index.homes(d)) for d in (index.distances(x), index.distances(y))]
+            at = np.arange(len(x))
+            far = [sum(di[at, j] - di[at, i] for di, i, j in zip(d, own, other, strict=True)) > index.reach for (d, own), (_, other) in zip(sides, sides[::-1], strict=True)]
+            missed += int((far[0] & far[1]).sum())
+    assert missed <= 5  # of 16,000
