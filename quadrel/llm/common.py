@@ -6,13 +6,15 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch between the JVM and Python. Whole texts travel, so the
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 #: Spark's own default, which `prepare` lowers; other settings of a user are left alone.
 _DEFAULT_ROWS = "10000"
-_STORED: list[str] = []
+#: Where `store` notes its tables, if a scope is open.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,22 +36,43 @@ def prepare(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is empty (a plain local session) is a folder made here.
+    Only a local session may leave that setting empty; a folder is made for it here. Hadoop deletes
+    all paths when the application ends, if nothing has done so before.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quadrel-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quadrel-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of the scratch tables that are made inside; for `release`, once what reads them is written."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def store(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    few: a table of ids or counts, written as one file for each core of the cluster, not
-    for each partition that made it. A file costs its writer much more than a few rows do.
+    few: a table of ids, sums or links that is small beside the texts. It is written as a file for
+    each core, not for each shuffle partition, so that later scans do not open thousands of tiny files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
@@ -56,39 +80,38 @@ def store(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Delete scratch tables, all or those given. Results that still read them must have been written before."""
-    paths = _STORED if paths is None else paths
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables. Results that still read them must have been written before."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while paths:
         path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
-def made_since(n: int) -> list[str]:
-    """Take over the scratch tables that were stored after the first n."""
-    paths = _STORED[n:]
-    del _STORED[n:]
-    return paths
-
-
-def stored() -> int:
-    return len(_STORED)
-
-
 def text_bytes(df: DataFrame, col: str) -> tuple[int, int]:
     """Rows and UTF-8 bytes of a column; used to size buckets, chunks and shards."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
-#: Rows of a few numbers that may be broadcast (some ten MB).
-SMALL_ROWS = 100_000
+#: Values of a table that may be broadcast, as measured; Spark holds some three times this.
+BROADCAST_BYTES = 8 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """Bytes of the values of a row."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        size = F.octet_length(f.name) if kind in ("string", "binary") else 8 * F.size(f.name) if kind == "array" else F.lit(8)
+        out = out + F.coalesce(size, F.lit(0))
+    return out
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to have few rows; else Spark joins it as it sees fit."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its values are measured to be few bytes; else Spark joins it as it sees fit."""
+    size = df.select(width(df).alias("w")).agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 # ---------------------------------------------------------------- batches

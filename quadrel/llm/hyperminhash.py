@@ -12,15 +12,14 @@ rest is confirmed on the full sets.
 Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
 so a bucket of n gives n - 1 pairs. What this star leaves open are members of
-different components in one bucket. Such a bucket goes with its texts to one task, which
-decides the hopeful pairs there, each in the first band that both share, the most
-similar first, until no pair joins two components; it returns links only, never pairs.
-Buckets above BUCKET members or BUCKET_SHINGLES are dealt anew by a second shared band (a
-pair at the threshold shares one band only in about one of 10^6 cases). Nothing is capped.
+different components in one bucket. Such members meet in blocks of `BLOCK`, as sketches;
+the bucket's largest component meets the others, never itself. A block gives the best
+hopeful pairs of each two components first; only if none of them joins the two, the
+rest follows. A pair that shares several bands is taken in the first. Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
-id are one node. An empty table gives an empty result. Extra columns are ignored.
+id are one node. A long text is a set like others, made in one piece. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +44,10 @@ BANDS = 32
 SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
 BATCH_BYTES = 2 << 20
-#: Members of a bucket, and their shingles, above which it is split by agreement on a second band.
-BUCKET = 4096
-BUCKET_SHINGLES = 4_000_000
-#: Ids up to which the filter on texts is a broadcast (8 bytes each).
-BROADCAST_IDS = 500_000
+#: Members of an open bucket that one task compares with as many others.
+BLOCK = 256
+#: Hopeful pairs of two components that a block gives before the rest.
+BEST = 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,64 +180,47 @@ def _verify_rows(k: int, percent: int):
     return run
 
 
-def _hopeful_pairs(regs: np.ndarray, size: np.ndarray, comp: np.ndarray, band: int, second: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (x < y) of rows in different components, in the first band (or two) they share, the most similar first."""
-    found: list[tuple[np.ndarray, ...]] = []
-    step = max(1, (8 << 20) // (K * max(1, len(regs))))
-    for i in range(0, len(regs), step):
-        same = (regs[i : i + step, None, :] == regs[None, :, :]).mean(axis=2)
-        x, y = np.nonzero((same >= least) & (comp[i : i + step, None] != comp[None, :]))
-        keep = x + i < y
-        same, x, y = same[x[keep], y[keep]], x[keep] + i, y[keep]
-        if not len(x):
-            continue
-        shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-        keep = shared.argmax(axis=1) == band
-        if second >= 0:
-            shared[:, band] = False
-            keep &= shared.argmax(axis=1) == second
-        p = collision_rate(size[x], size[y])
-        est = (same - p) / (1 - p)
-        keep &= est >= least
-        found.append((x[keep], y[keep], est[keep]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y, est = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((y, x, -est))
-    return x[order], y[order]
-
-
-def _decide_rows(least: float, k: int, percent: int):
-    """Of a bucket: links that join components, by the full sets."""
+def _hopeful(least: float, best: int):
+    """Hopeful pairs (a > b) of two blocks: the `best` of each two components; a null row if there are more."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+        rep, comp, block, low = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "low"))
+        band = table.column("band")[0].as_py()
+        inside = table.column("p")[0] == table.column("q")[0]
+        size = table.column("n_shingles").to_numpy().astype(float)
         regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
-        x, y = _hopeful_pairs(regs, table.column("n_shingles").to_numpy().astype(float), comp, table.column("band")[0].as_py(), table.column("second")[0].as_py(), least)
-        sets: dict[int, np.ndarray] = {}
-        links: list[tuple[int, int]] = []
-        if len(x):
-            need = np.unique(np.concatenate((x, y)))
-            texts = table.column("text").combine_chunks()
-            for i in range(0, len(need), 512):
-                u, s = shingle_sets(texts.take(pa.array(need[i : i + 512])), k)
-                sets.update({int(n): u[s[j] : s[j + 1]].copy() for j, n in enumerate(need[i : i + 512])})
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while (p := parent.get(c, c)) != c:
-                parent[c] = parent.get(p, p)
-                c = p
-            return c
-
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b and linked(sets[i], sets[j], percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((int(rep[j]), int(rep[i])))
-        del sets, regs, table
-        common.trim()
-        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+        found: list[tuple[np.ndarray, ...]] = []
+        # The star has tested the pairs of the bucket's smallest member.
+        one = np.flatnonzero((rep != low) & (inside | (block == table.column("p")[0].as_py())))
+        two = one if inside else np.flatnonzero((rep != low) & (block != table.column("p")[0].as_py()))
+        step = max(1, (8 << 20) // (K * max(1, len(two))))
+        for i in range(0, len(one), step):
+            part = one[i : i + step]
+            same = (regs[part, None, :] == regs[None, two, :]).mean(axis=2)
+            x, y = np.nonzero((same >= least) & (comp[part][:, None] != comp[two][None, :]))
+            same, x, y = same[x, y], part[x], two[y]
+            if inside:
+                keep = rep[x] < rep[y]
+                same, x, y = same[keep], x[keep], y[keep]
+            if not len(x):
+                continue
+            shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            p = collision_rate(size[x], size[y])
+            est = (same - p) / (1 - p)
+            keep = (shared.argmax(axis=1) == band) & (est >= least)
+            found.append((np.maximum(rep[x], rep[y])[keep], np.minimum(rep[x], rep[y])[keep], est[keep], np.maximum(comp[x], comp[y])[keep], np.minimum(comp[x], comp[y])[keep]))
+        del regs
+        if not found:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b, est, ca, cb = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((a, b, -est, cb, ca))
+        a, b, ca, cb = a[order], b[order], ca[order], cb[order]
+        first = np.concatenate(([True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]))) if len(a) else np.empty(0, bool)
+        at = np.arange(len(a))
+        rank = at - np.maximum.accumulate(np.where(first, at, 0)) if len(a) else at
+        take = rank < best if best else np.ones(len(a), bool)
+        more = [None] if not take.all() else []
+        return pa.table({"a": pa.array([*a[take].tolist(), *more], pa.int64()), "b": pa.array([*b[take].tolist(), *more], pa.int64())})
 
     return run
 
@@ -250,14 +231,6 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select(F.posexplode(key).alias("band", "key"), "rep")
 
 
-def _split_large(bands: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows of buckets above BUCKET, dealt anew: members must agree on a later band too."""
-    hot = bands.join(large, "key", "left_semi")
-    other = bands.select(F.col("band").alias("second"), F.col("key").alias("key2"), "rep")
-    again = hot.join(other, "rep").where("second > band")
-    return again.select("band", "second", F.xxhash64("key", "key2").alias("key"), "rep")
-
-
 class NearDuplicates:
     """The steps of `near_duplicates`, with what they share."""
 
@@ -276,15 +249,11 @@ class NearDuplicates:
         self.tied = self.members.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         self.bands = _bands(self.classes)
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, text) of stored ids; few ids go to the texts, not the texts to the ids."""
-        return self.docs.where("doc_id is not null and text is not null").join(common.small(ids, BROADCAST_IDS), "doc_id", "left_semi")
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of class representatives that are linked, by their full sets."""
         pairs = common.store(pairs, "pairs", few=True)
-        ids = common.store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids", few=True)
-        texts = self.texts(ids)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = self.docs.where("doc_id is not null and text is not null").join(common.small(ids), "doc_id", "left_semi")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
@@ -298,29 +267,38 @@ class NearDuplicates:
         two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_rows(self.least), "a long, b long").distinct()
 
-    def undecided(self, comps: DataFrame) -> DataFrame:
-        """Links (a, b) that join components, among hopeful members of one bucket."""
+    def undecided(self, comps: DataFrame, best: int) -> DataFrame:
+        """Hopeful pairs (a, b) of different components in one bucket, and a null row where there are more."""
         comps = comps.select(F.col("id").alias("rep"), "component")
-        sizes = self.classes.select("rep", "n_shingles")
         named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
-        sized = named.join(sizes, "rep").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        sized = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         # Of two members, the star has tested the pair.
-        open_ = common.store(sized.where("n > 2 and lo <> hi").select("key", F.expr(f"n > {BUCKET} or shingles > {BUCKET_SHINGLES}").alias("large")), "open", few=True)
-        large = open_.where("large").select("key")
-        rows = named.join(open_.where("not large").select("key"), "key", "left_semi").withColumn("second", F.lit(-1))
-        if large.head(1):
-            again = _split_large(self.bands, large).join(comps, "rep", "left")
-            rows = rows.unionByName(again.select("band", "second", "key", "rep", F.coalesce("component", "rep").alias("comp")))
-        rows = common.store(rows, "members", few=True)
-        texts = self.texts(common.store(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids", few=True)).withColumnRenamed("doc_id", "rep")
-        full = self.classes.select("rep", "sketch", "n_shingles").join(texts.hint("merge"), "rep")
-        return rows.join(full, "rep").groupBy("key").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
+        rows = common.store(named.join(sized.where("n > 2 and lo <> hi").select("key", "n", "low"), "key"), "open", few=True)
+        each = rows.where(F.col("n") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        most = each.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most")).select("key", "most.m", F.col("most.comp").alias("largest"))
+        rows = rows.join(most, "key", "left")
+        # Blocks of the other components, then those of the largest one.
+        rows = rows.withColumns({"others": F.greatest(F.lit(1), F.ceil((F.col("n") - F.coalesce("m", F.lit(0))) / BLOCK)).cast("int"), "own": F.ceil(F.coalesce("m", F.lit(0)) / BLOCK).cast("int")})
+        place = F.xxhash64("rep")
+        inner = F.coalesce(F.col("comp") == F.col("largest"), F.lit(False))
+        rows = rows.withColumn("inner", inner).withColumn("block", F.when(F.col("inner"), F.col("others") + F.pmod(place, F.col("own"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+        meets = "if(inner, transform(sequence(0, others - 1), i -> struct(i as p, block as q)), transform(sequence(0, others + own - 1), i -> struct(least(i, block) as p, greatest(i, block) as q)))"
+        dealt = rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "low", "meets.p", "meets.q")
+        full = dealt.join(self.classes.select("rep", "sketch", "n_shingles"), "rep")
+        return common.store(full.groupBy("key", "p", "q").applyInArrow(_hopeful(self.least, best), "a long, b long").distinct(), "hopeful", few=True)
 
     def components(self) -> DataFrame:
         links = self.verified(self.star()).union(self.tied)
         comps = common.store(common.components(links), "components", few=True)
-        more = common.store(self.undecided(comps).distinct(), "more", few=True)
-        return common.components(links.union(more)) if more.head(1) else comps
+        for best in (BEST, 0):
+            found = self.undecided(comps, best)
+            pairs, more = found.agg(F.count("a"), F.count_if(F.col("a").isNull())).first()
+            if pairs:
+                links = links.union(self.verified(found.where("a is not null")))
+                comps = common.store(common.components(links), "components", few=True)
+            if not more:
+                break
+        return comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -6,7 +6,8 @@ text(l): log likelihood of the letters' trigrams under a model of language l, te
 trigrams overlap. The other terms come from grouped aggregates over all rows: the
 text's own posterior is summed for each declared language, address suffix, domain
 and host. A host's prior is smoothed by its domain's, and that by all rows'. Each row's
-own share is taken out of the sums before they judge it.
+own share is taken out of the sums before they judge it. One more hypothesis, no known
+language, has a flat trigram model and the prior `UNKNOWN`; a text for which it wins is rejected.
 
 Only the trigram model is fitted on a sample: about `SAMPLE` labelled texts for each
 language, taken by a hash of the id. Hosts are pre-aggregated, so a hot host is one row for each task.
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,6 +41,9 @@ TEMPER = 40.0
 #: Rows' worth of the level above in a smoothed prior.
 PRIOR_STRENGTH = 10.0
 MIN_POSTERIOR = 0.5
+#: A text in no known language: trigrams of 27 symbols, all alike, and how often one is expected.
+FLAT = -3 * float(np.log(27))
+UNKNOWN = 1e-6
 BATCH_BYTES = 1 << 20
 
 
@@ -116,29 +120,90 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(languages, table)
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Posteriors of rows of log scores."""
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _flat(rows: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(rows.ravel()))
+
+
+def _matrix(col: pa.Array, k: int) -> np.ndarray:
+    """Rows of a list column; zeros for null."""
+    out = np.zeros((len(col), k))
+    full = col.is_valid().to_numpy(zero_copy_only=False)
+    out[full] = col.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out
+
+
 def _likelihood(model: Model):
+    """Tempered log likelihoods ll (the last one: of no known language) and the text's own posteriors q."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in common.rebatch(batches, ["text"], BATCH_BYTES):
             tri, starts = trigrams(rb.column("text"))
             n = np.diff(starts)
             scale = TEMPER / np.maximum(n, TEMPER)
-            sums = np.stack([common.segment_sums(t[tri].astype(np.float64), starts) * scale for t in model.table]) if len(model.table) else np.zeros((0, len(n)))
-            yield pa.RecordBatch.from_arrays(
-                [*(rb.column(c) for c in ("id", "host", "domain", "suffix", "declared")), pa.array(n), pa.array(sums.T.tolist(), pa.list_(pa.float64()))],
-                names=["id", "host", "domain", "suffix", "declared", "n_trigrams", "ll"],
-            )
+            sums = [common.segment_sums(t[tri].astype(np.float64), starts) * scale for t in model.table]
+            ll = np.stack([*sums, n * scale * FLAT], axis=1)
+            q = np.where((n > 0)[:, None], softmax(ll[:, :-1]), 0.0) if sums else np.zeros((len(n), 0))
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in ("id", *EVIDENCE)), pa.array(n), _flat(ll), _flat(q)], names=["id", *EVIDENCE, "n_trigrams", "ll", "q"])
 
     return run
 
 
-_ROWS = "id long, host string, domain string, suffix string, declared string, n_trigrams long, ll array<double>"
+EVIDENCE = ("host", "domain", "suffix", "declared")
+_ROWS = "id long, host string, domain string, suffix string, declared string, n_trigrams long, ll array<double>, q array<double>"
+_JUDGED = "id long, declared string, host string, n_trigrams long, text_language string, language string, posterior double, rejected boolean"
+
 
+def _fuse(languages: list[str], mass: np.ndarray, min_posterior: float):
+    """Judge rows by their likelihoods and the sums over all rows of the same host, domain, suffix and declared language."""
+    k = len(languages)
+    names = pa.array(languages, pa.string())
+    total = mass.sum()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            some = rb.column("n_trigrams").to_numpy() > 0
+            ll, q = _matrix(rb.column("ll"), k + 1), _matrix(rb.column("q"), k)
+            there = {c: rb.column(c).is_valid().to_numpy(zero_copy_only=False)[:, None] for c in EVIDENCE}
+            # The sums of the key's other rows.
+            rest = {c: np.where(there[c], np.maximum(_matrix(rb.column(f"{c}_sums"), k) - q, 0.0), 0.0) for c in EVIDENCE}
+            base = (mass + 1.0) / (total + k)
+            domain = (rest["domain"] + PRIOR_STRENGTH * base) / (rest["domain"].sum(1, keepdims=True) + PRIOR_STRENGTH)
+            host = (rest["host"] + PRIOR_STRENGTH * domain) / (rest["host"].sum(1, keepdims=True) + PRIOR_STRENGTH)
+            # A declared language vouches for itself; others only by what the corpus shows.
+            code = pc.fill_null(pc.index_in(rb.column("declared"), value_set=names), -1).to_numpy(zero_copy_only=False)
+            vouch = np.where(code[:, None] == np.arange(k), 2.0, 0.5)
+            declared = np.where(there["declared"], (rest["declared"] + vouch) / (mass + 2.0), 1.0)
+            suffix = np.where(there["suffix"], (rest["suffix"] + 0.5) / (mass + 1.0), 1.0)
+            score = np.where(some[:, None], ll[:, :k], 0.0) + np.log(host) + np.log(declared) + np.log(suffix)
+            # No known language: its markup and address tell as much as those of the average row.
+            odds = (host * declared * suffix).sum(1, keepdims=True)
+            none = np.where(some[:, None], ll[:, k:] + np.log(odds * UNKNOWN), -np.inf)
+            p = softmax(np.concatenate((score, none), axis=1))[:, :k]
+            best = p.argmax(axis=1)
+            posterior = p[np.arange(len(p)), best]
+            rejected = (posterior < min_posterior) | (~some & ~there["declared"][:, 0])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(rb.column(c) for c in ("id", "declared", "host", "n_trigrams")),
+                    names.take(pa.array(q.argmax(axis=1), mask=~some)),
+                    names.take(pa.array(best, mask=rejected)),
+                    pa.array(posterior),
+                    pa.array(rejected),
+                ],
+                names=[x.split()[0] for x in _JUDGED.split(", ")],
+            )
 
-def _softmax(xs: list[Column]) -> list[Column]:
-    top = F.greatest(*xs) if len(xs) > 1 else xs[0]
-    exps = [F.exp(x - top) for x in xs]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+    return run
 
 
 def identify(rows: DataFrame, model: Model, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
@@ -147,51 +212,27 @@ def identify(rows: DataFrame, model: Model, min_posterior: float = MIN_POSTERIOR
     Returns id, declared, host, n_trigrams, text_language, language, posterior, rejected.
     """
     common.prepare(rows.sparkSession)
-    cols = [F.col("id").cast("long").alias("id"), *(F.lower(F.col(c).cast("string")).alias(c) for c in ("host", "domain", "suffix", "declared")), F.col("text").cast("string").alias("text")]
+    cols = [F.col("id").cast("long").alias("id"), *(F.lower(F.col(c).cast("string")).alias(c) for c in EVIDENCE), F.col("text").cast("string").alias("text")]
     langs = model.languages
-    ids = range(len(langs))
     rows = common.store(rows.select(*cols).mapInArrow(_likelihood(model), _ROWS), "likelihoods")
     if not langs:
         none = F.lit(None).cast("string")
         return rows.select("id", "declared", "host", "n_trigrams", none.alias("text_language"), none.alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
-    text = [F.when(F.col("n_trigrams") > 0, q).otherwise(F.lit(0.0)) for q in _softmax([F.get("ll", F.lit(i)) for i in ids])]
-    rows = rows.select("*", *(q.alias(f"q{i}") for i, q in enumerate(text)))
-
-    whole = rows.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(f"q{i}"), F.lit(0.0)) for i in ids)).first()
-    mass = [float(x) for x in whole[1:]]
-    total = sum(mass)
-
-    def sums(key: str) -> DataFrame:
-        out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.sum(f"q{i}").alias(f"{key}{i}") for i in ids))
-        return common.small(common.store(out, key, few=True))
-
-    for key in ("host", "domain", "suffix", "declared"):
-        rows = rows.join(sums(key), key, "left")
-
-    def rest(key: str, i: int) -> Column:
-        """Sum of the key's other rows."""
-        return F.greatest(F.coalesce(F.col(f"{key}{i}"), F.col(f"q{i}")) - F.col(f"q{i}"), F.lit(0.0))
-
-    scores = []
-    host_n = sum((rest("host", i) for i in ids), F.lit(0.0))
-    domain_n = sum((rest("domain", i) for i in ids), F.lit(0.0))
-    a = F.lit(PRIOR_STRENGTH)
-    for i, lang in enumerate(langs):
-        base = F.lit((mass[i] + 1.0) / (total + len(langs)))
-        domain = (rest("domain", i) + a * base) / (domain_n + a)
-        host = (rest("host", i) + a * domain) / (host_n + a)
-        # A declared language vouches for itself; others only by what the corpus shows.
-        vouch = F.when(F.col("declared") == lang, F.lit(2.0)).otherwise(F.lit(0.5))
-        declared = F.when(F.col("declared").isNull(), F.lit(0.0)).otherwise(F.log((rest("declared", i) + vouch) / F.lit(mass[i] + 2.0)))
-        suffix = F.when(F.col("suffix").isNull(), F.lit(0.0)).otherwise(F.log((rest("suffix", i) + F.lit(0.5)) / F.lit(mass[i] + 1.0)))
-        scores.append(F.when(F.col("n_trigrams") > 0, F.get("ll", F.lit(i))).otherwise(F.lit(0.0)) + F.log(host) + declared + suffix)
-    rows = rows.select("id", "declared", "host", "n_trigrams", F.array(*(F.col(f"q{i}") for i in ids)).alias("q"), F.array(*_softmax(scores)).alias("p"))
-    names = F.array(*(F.lit(x) for x in langs))
-    best = F.array_max("p")
-    rejected = (F.col("posterior") < min_posterior) | ((F.col("n_trigrams") == 0) & F.col("declared").isNull())
-    rows = rows.withColumn("posterior", best).withColumn("best", F.element_at(names, F.array_position("p", best).cast("int"))).withColumn("rejected", F.coalesce(rejected, F.lit(True)))
-    text_language = F.when(F.col("n_trigrams") > 0, F.element_at(names, F.array_position("q", F.array_max("q")).cast("int")))
-    return rows.select("id", "declared", "host", "n_trigrams", text_language.alias("text_language"), F.when(~F.col("rejected"), F.col("best")).alias("language"), "posterior", "rejected")
+
+    def summed(df: DataFrame, *by: str) -> DataFrame:
+        return df.groupBy(*by).agg(*(F.sum(F.get("q", F.lit(i))).alias(f"q{i}") for i in range(len(langs)))).select(*by, F.array(*(f"q{i}" for i in range(len(langs)))).alias("q"))
+
+    # A row for each combination of evidence; the sums of its parts join it there, not at each row.
+    seen = common.store(summed(rows, *EVIDENCE), "evidence", few=True)
+    mass = np.array(summed(seen).first()["q"] or [0.0] * len(langs), float)
+    known = seen.select(*EVIDENCE)
+    for c in EVIDENCE:
+        part = summed(seen.where(F.col(c).isNotNull()), c)
+        known = known.join(part.withColumnRenamed("q", f"{c}_sums"), c, "left")
+    known = common.store(known, "sums", few=True).select(*(F.col(c).alias(f"_{c}") for c in EVIDENCE), *(f"{c}_sums" for c in EVIDENCE))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in EVIDENCE]
+    joined = rows.join(common.small(known), same, "left").drop(*(f"_{c}" for c in EVIDENCE))
+    return joined.mapInArrow(_fuse(langs, mass, min_posterior), _JUDGED)
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

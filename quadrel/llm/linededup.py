@@ -42,6 +42,8 @@ MIN_WORDS = 20
 RARE = 64
 #: Holders of a run that the first round after the first holder tries; each later round tries so many times more.
 ROUND = 8
+#: Pairs that need no more rounds, and whose ids may be broadcast (some 40 bytes each).
+SMALL_PAIRS = 100_000
 BATCH_BYTES = 2 << 20
 
 
@@ -234,8 +236,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         most, pairs = left.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not most:
             break
-        few = F.broadcast if pairs <= common.SMALL_ROWS else lambda df: df
-        high = most if pairs <= common.SMALL_ROWS else high  # few pairs need no more rounds
+        few = F.broadcast if pairs <= SMALL_PAIRS else lambda df: df
+        high = most if pairs <= SMALL_PAIRS else high  # few pairs need no more rounds
         more = blocks.select("run", F.col("doc").alias("early")).join(few(left), "run").where("early < late").where((place >= low) & (place < high)).select("late", "early").distinct()
         some = more.select(F.col("late").alias("doc")).union(more.select(F.col("early").alias("doc"))).distinct()
         found = aligned(more, firsts.join(few(some), "doc", "left_semi"))

@@ -10,7 +10,8 @@ children up to some point are full and the rest share what is left by weight.
 A leaf's documents are read in seeded order, epoch by epoch: whole epochs, then the
 shortest prefix of the next that reaches the budget. The order is a hash of seed,
 epoch and id. The prefix is found without sorting a leaf: tokens are summed for
-slices of the hash range, and only the slice that holds the end is ranked.
+slices of the hash range, and only the slice that holds the end is ranked. What joins the
+documents is a row for each leaf.
 
 Defined results. Tokens are words [^\\x20\\x09-\\x0D]+; null or empty text has none and
 is taken with the epoch it falls in at no cost. Null parts of a path are the part
@@ -62,18 +63,19 @@ def leaf_budgets(leaves: DataFrame, path: list[str], weights: dict[tuple[str, ..
     known = [(*k, *[None] * (len(path) - len(k)), float(w)) for k, w in weights.items()]
     schema = ", ".join([*(f"w_{c} string" for c in path), "w double"])
     weighted = spark.createDataFrame(known, schema)
-    out = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("double")).withColumn("total", total.cast("double"))
+    leaves = leaves.withColumn("capacity", (F.col("tokens") * max_epochs).cast("double"))
+    dealt = None
     for depth in range(1, len(path) + 1):
         head, parent = path[:depth], path[: depth - 1]
-        nodes = out.groupBy(*head).agg(F.sum("capacity").alias("capacity"), F.max("total").alias("total"))
+        nodes = leaves.groupBy(*head).agg(F.sum("capacity").alias("capacity"))
         match = [F.col(f"w_{c}").eqNullSafe(F.col(c)) if c in head else F.col(f"w_{c}").isNull() for c in path]
         on = match[0]
         for m in match[1:]:
             on = on & m
-        nodes = nodes.join(F.broadcast(weighted), on, "left").withColumn("weight", F.coalesce("w", F.lit(default_weight)).cast("double")).drop("w", *(f"w_{c}" for c in path))
-        dealt = _deal(nodes.withColumn("node", F.col(head[-1])), parent).select(*head, "budget")
-        out = out.join(dealt, head).withColumn("total", F.col("budget")).drop("budget")
-    return out.withColumnRenamed("total", "budget").drop("capacity")
+        nodes = nodes.join(weighted, on, "left").withColumn("weight", F.coalesce("w", F.lit(default_weight)).cast("double")).drop("w", *(f"w_{c}" for c in path))
+        nodes = nodes.withColumn("total", total.cast("double")) if dealt is None else nodes.join(dealt, parent)
+        dealt = _deal(nodes.withColumn("node", F.col(head[-1])), parent).select(*head, F.col("budget").alias("total"))
+    return leaves.drop("capacity").join(dealt.withColumnRenamed("total", "budget"), path)
 
 
 def _place(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -112,17 +114,21 @@ def mix(
     budgets = budgets.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / slice_rows)).cast("long"))
     budgets = common.store(budgets.select(*cols, "tokens", "leaf_budget", "epochs", "rest", "slices"), "budgets", few=True)
 
-    placed = rows.join(common.small(budgets), cols)
-    placed = placed.withColumn("place", _place(seed, F.col("epochs"), F.col("doc_id")))
-    placed = placed.withColumn("slice", F.floor(F.col("place") * F.col("slices") / F.lit(float(1 << 48))).cast("long"))
+    # The slice of each leaf in which its last epoch ends: from sums, a row for each slice.
+    def placed(leaf: DataFrame) -> DataFrame:
+        at = rows.join(common.small(leaf), cols)
+        at = at.withColumn("place", _place(seed, F.col("epochs"), F.col("doc_id")))
+        return at.withColumn("slice", F.floor(F.col("place") * F.col("slices") / F.lit(float(1 << 48))).cast("long"))
+
     by = ", ".join(cols)
-    sums = placed.groupBy(*cols, "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
+    sums = placed(budgets).groupBy(*cols, "rest", "slice").agg(F.sum("n_tokens").alias("slice_tokens"))
     sums = sums.withColumn("slice_start", F.expr(f"sum(slice_tokens) over (partition by {by} order by slice) - slice_tokens"))
-    placed = placed.join(common.small(common.store(sums, "slices", few=True)), [*cols, "slice"])
-    ends = F.expr("slice_start < rest and slice_start + slice_tokens >= rest")
-    whole_slice = placed.where(~ends).withColumn("taken", F.expr("slice_start < rest"))
-    # Rows of one place (repeated ids) share the tokens before them.
-    ranked = placed.where(ends).withColumn("before", F.expr(f"slice_start + coalesce(sum(n_tokens) over (partition by {by}, slice order by place range between unbounded preceding and 1 preceding), 0)"))
-    ranked = ranked.withColumn("taken", F.expr("before < rest")).drop("before")
-    out = whole_slice.unionByName(ranked)
+    sums = sums.where("slice_start < rest and slice_start + slice_tokens >= rest").select(*cols, F.col("slice").alias("end_slice"), "slice_start")
+    ends = common.store(budgets.join(sums, cols), "ends", few=True)
+    # The last place that is taken; rows of one place (repeated ids) share the tokens before them.
+    ranked = placed(ends).where("slice = end_slice")
+    ranked = ranked.withColumn("before", F.expr(f"slice_start + coalesce(sum(n_tokens) over (partition by {by} order by place range between unbounded preceding and 1 preceding), 0)"))
+    cuts = ranked.where("before < rest").groupBy(*cols).agg(F.max("place").alias("cut"))
+    cuts = common.store(budgets.join(cuts, cols, "left").withColumn("cut", F.coalesce("cut", F.lit(-1).cast("long"))), "cuts", few=True)
+    out = placed(cuts).withColumn("taken", F.col("place") <= F.col("cut"))
     return out.select("doc_id", *cols, "n_tokens", F.col("tokens").alias("leaf_tokens"), "leaf_budget", (F.col("epochs") + F.col("taken").cast("long")).alias("copies"))

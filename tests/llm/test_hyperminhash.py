@@ -55,7 +55,7 @@ def test_split_buckets(spark, monkeypatch):
         for _ in range(5):
             w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
         rows.append((i, " ".join(w), "en", "src0", 1))
-    monkeypatch.setattr(hm, "BUCKET", 8)
+    monkeypatch.setattr(hm, "BLOCK", 8)
     assert run(spark, rows) == brute(rows, 4, 80)
 
 

@@ -128,7 +128,7 @@ def test_like_brute_force_over_all_earlier(spark, seed, rare):
 
 def test_rounds_reach_every_holder(spark, monkeypatch):
     """A block that the first holders hold moved: an alignment takes the long other block instead."""
-    monkeypatch.setattr(ld.common, "SMALL_ROWS", 0)
+    monkeypatch.setattr(ld, "SMALL_PAIRS", 0)
     monkeypatch.setattr(ld, "ROUND", 2)
     rng = random.Random(5)
     block, other = [fx.prose(rng, 12) for _ in range(2)], [fx.prose(rng, 12) for _ in range(5)]
