@@ -2,12 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 All but the last return the columns of docs; the last adds where a document is stored.
+
+Defined results. A row with a null id is known, for the stage, by a hash of its text, so it is
+judged like others. Rows of one id are judged together: they go if all of them are
+rejected, if any of them is contaminated, and one of them stays in the near-duplicate
+stage. Extra columns are kept as they are, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,55 +23,78 @@ from quadrel.llm import common, decontam, hyperminhash, langid, queries, shardin
 
 #: Share of the tokens that the mixture keeps; without repeated epochs, so that rows stay unique.
 BUDGET_SHARE = 0.8
-#: Scratch tables of the stage before; its result has been written when the next one starts.
-_LEFT: list[str] = []
+#: A column name that no table has.
+KEY = "quadrel_row_key"
+#: Scratch tables of the last stage over an input; its result has been written when the next one starts.
+_LEFT: dict[tuple[str, str], list[str]] = {}
+_LOCK = Lock()
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _LEFT)
-        before = common.stored()
-        out = f(spark, docs, sf_dir)
-        _LEFT.extend(common.made_since(before))
+        key = (spark.sparkContext.applicationId, sf_dir)
+        with _LOCK:
+            before = _LEFT.pop(key, [])
+        common.release(spark, before)
+        with common.scope() as made:
+            out = f(spark, docs, sf_dir)
+        with _LOCK:
+            _LEFT.setdefault(key, []).extend(made)
         return out
 
     return run_stage
 
 
+def _key():
+    """doc_id, or for null a number below -2**62 that follows the text."""
+    none = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2) + F.lit(-(2**63))
+    return F.coalesce(F.col("doc_id").cast("long"), none)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", _key())
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the keys in gone (doc_id)."""
+    gone = common.store(gone.select(F.col("doc_id").alias(KEY)).distinct(), "gone", few=True)
+    return docs.withColumn(KEY, _key()).join(common.small(gone), KEY, "left_anti").select(docs.columns)
+
+
 @_stage
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, from their text, the declared language and their source; others go."""
     model = langid.fit(docs)
-    rows = langid.document_rows(docs)
-    # Rows that share an id go only if all of them are rejected.
-    rejected = langid.identify(rows, model).groupBy("id").agg(F.min("rejected").alias("rejected")).where("rejected and id is not null").select(F.col("id").alias("doc_id"))
-    return docs.join(common.small(common.store(rejected, "rejected", few=True), 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    judged = langid.identify(langid.document_rows(_keyed(docs)), model)
+    rejected = judged.groupBy(F.col("id").alias("doc_id")).agg(F.min("rejected").alias("rejected")).where("rejected")
+    return _without(docs, rejected)
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = hyperminhash.near_duplicates(docs, k=5, percent=80)
-    gone = common.store(found.where("not kept").select("doc_id").distinct(), "gone", few=True)
-    return docs.join(common.small(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id, once."""
+    found = hyperminhash.near_duplicates(_keyed(docs), k=5, percent=80)
+    left = _without(docs, found.where("not kept"))
+    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(KEY))
+    again = common.store(again, "again", few=True)
+    if not again.head(1):
+        return left
+    left = left.withColumn(KEY, _key())
+    once = left.join(common.small(again), KEY, "left_semi").dropDuplicates([KEY])
+    return left.join(common.small(again), KEY, "left_anti").unionByName(once).select(docs.columns)
 
 
 @_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    hits = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    gone = common.store(hits.select("doc_id").where("doc_id is not null").distinct(), "gone", few=True)
-    return docs.join(common.small(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, decontam.contaminated(_keyed(docs), queries.table(spark, sf_dir, "benchmark")))
 
 
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the token budgets of the target mixture."""
-    taken = queries.mixed(docs, BUDGET_SHARE, 1).where("copies > 0").select("doc_id").distinct()
-    left = F.col("doc_id").eqNullSafe(F.col("taken_id"))
-    taken = taken.withColumnRenamed("doc_id", "taken_id")
-    return docs.join(common.small(common.store(taken, "taken", few=True), 1_000_000), left, "left_semi").select(docs.columns)
+    return _without(docs, queries.mixed(_keyed(docs), BUDGET_SHARE, 1).where("copies = 0"))
 
 
 @_stage
@@ -91,9 +121,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last: list[str] = []
     for _, stage in STAGES:
-        before = common.stored()
-        docs = common.store(stage(spark, docs, sf_dir), "stage")
+        out = stage(spark, docs, sf_dir)
+        with common.scope() as made:
+            docs = common.store(out, "stage")
         common.release(spark, last)
-        last = common.made_since(before)
-    common.release(spark, _LEFT)
+        last = made
+    with _LOCK:
+        left = _LEFT.pop((spark.sparkContext.applicationId, sf_dir), [])
+    common.release(spark, left)
     return docs
