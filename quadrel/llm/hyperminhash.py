@@ -13,9 +13,11 @@ Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
 so a bucket of n gives n - 1 pairs. What this star leaves open are members of
 different components in one bucket. Such members meet in blocks of `BLOCK`, as sketches;
-the bucket's largest component meets the others, never itself. A block gives the best
-hopeful pairs of each two components first; only if none of them joins the two, the
-rest follows. A pair that shares several bands is taken in the first. Nothing is capped.
+the bucket's largest component meets the others, never itself. In rounds, as in Boruvka's
+algorithm, a block gives the most similar hopeful pair of each component, which is verified and
+joins the two, then the best 8, 64 and 512 of those that are still apart, then all that are
+left. So what is verified follows the number of components, unless many pairs are hopeful and
+fail. A pair that shares several bands is taken in the first. Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
@@ -46,8 +48,8 @@ SIGMAS = 4.5
 BATCH_BYTES = 2 << 20
 #: Members of an open bucket that one task compares with as many others.
 BLOCK = 256
-#: Hopeful pairs of two components that a block gives before the rest.
-BEST = 8
+#: Hopeful pairs of each component that a block gives, round by round; 0: all that are left.
+BEST = (1, 8, 64, 512, 0)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +182,17 @@ def _verify_rows(k: int, percent: int):
     return run
 
 
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Place of each row among those of the same keys, which stand together."""
+    at = np.arange(len(keys[0]))
+    first = np.ones(len(at), bool)
+    if len(at):
+        first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+
+
 def _hopeful(least: float, best: int):
-    """Hopeful pairs (a > b) of two blocks: the `best` of each two components; a null row if there are more."""
+    """Hopeful pairs (a > b) of two blocks: the `best` of each component (0: all); a null row if there are more."""
 
     def run(table: pa.Table) -> pa.Table:
         rep, comp, block, low = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "low"))
@@ -213,12 +224,14 @@ def _hopeful(least: float, best: int):
         if not found:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a, b, est, ca, cb = (np.concatenate(c) for c in zip(*found, strict=True))
+        # Of two components the most similar first; of one, a pair with each other component first.
         order = np.lexsort((a, b, -est, cb, ca))
-        a, b, ca, cb = a[order], b[order], ca[order], cb[order]
-        first = np.concatenate(([True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]))) if len(a) else np.empty(0, bool)
-        at = np.arange(len(a))
-        rank = at - np.maximum.accumulate(np.where(first, at, 0)) if len(a) else at
-        take = rank < best if best else np.ones(len(a), bool)
+        a, b, est, ca, cb = (x[order] for x in (a, b, est, ca, cb))
+        nth = _ranks(ca, cb)
+        take = np.zeros(len(a), bool) if best else np.ones(len(a), bool)
+        for side in (ca, cb) if best else ():
+            order = np.lexsort((b, a, -est, nth, side))
+            take[order[_ranks(side[order]) < best]] = True
         more = [None] if not take.all() else []
         return pa.table({"a": pa.array([*a[take].tolist(), *more], pa.int64()), "b": pa.array([*b[take].tolist(), *more], pa.int64())})
 
@@ -290,7 +303,7 @@ class NearDuplicates:
     def components(self) -> DataFrame:
         links = self.verified(self.star()).union(self.tied)
         comps = common.store(common.components(links), "components", few=True)
-        for best in (BEST, 0):
+        for best in BEST:
             found = self.undecided(comps, best)
             pairs, more = found.agg(F.count("a"), F.count_if(F.col("a").isNull())).first()
             if pairs:

@@ -59,6 +59,24 @@ def test_split_buckets(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 4, 80)
 
 
+def test_near_copies_that_the_smallest_does_not_reach(spark, monkeypatch):
+    """Chains of changes: neighbours are linked, the ends are not; two families share buckets but no link."""
+    rng = random.Random(8)
+    base = fx.prose(rng, 100).split()
+    rows = []
+    for family in range(2):
+        w = list(base)
+        for j in range(9):
+            w[family * 40 + j * 4] = f"f{family}x{j}"
+        for i in range(24):
+            w = list(w)
+            w[rng.randrange(100)] = f"z{family}y{i}"
+            rows.append((1000 * family + rng.randrange(900), " ".join(w), "en", "src0", 1))
+    rows = list({r[0]: r for r in rows}.values())
+    monkeypatch.setattr(hm, "BLOCK", 6)
+    assert run(spark, rows) == brute(rows, 4, 80)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "a b c d e f", "en", "s", 1), (2, "other words that are not like it", "en", "s", 1), (3, None, "en", "s", 1)]
     assert run(spark, rows) == brute(rows, 4, 80)
