@@ -13,11 +13,11 @@ Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
 so a bucket of n gives n - 1 pairs. What this star leaves open are members of
 different components in one bucket. Such members meet in blocks of `BLOCK`, as sketches;
-the bucket's largest component meets the others, never itself. In rounds, as in Boruvka's
-algorithm, a block gives the most similar hopeful pair of each component, which is verified and
-joins the two, then the best 8, 64 and 512 of those that are still apart, then all that are
-left. So what is verified follows the number of components, unless many pairs are hopeful and
-fail. A pair that shares several bands is taken in the first. Nothing is capped.
+the bucket's largest component meets the others, never itself. In buckets above one block,
+each component's most similar hopeful pair is verified first, as in a step of Boruvka's
+algorithm, so that groups join by their centre. Then blocks meet with their texts and
+decide what is left, the most similar first, until no pair joins two components; they return
+links only, never pairs. A pair that shares several bands is taken in the first. Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
@@ -46,10 +46,9 @@ BANDS = 32
 SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
 BATCH_BYTES = 2 << 20
-#: Members of an open bucket that one task compares with as many others.
+#: Members of an open bucket, and about as many shingles, that one task compares with as many others.
 BLOCK = 256
-#: Hopeful pairs of each component that a block gives, round by round; 0: all that are left.
-BEST = (1, 8, 64, 512, 0)
+BLOCK_SHINGLES = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,66 +181,86 @@ def _verify_rows(k: int, percent: int):
     return run
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Place of each row among those of the same keys, which stand together."""
-    at = np.arange(len(keys[0]))
-    first = np.ones(len(at), bool)
-    if len(at):
-        first[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+def _hopeful_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x, y of hopeful pairs of different components in two blocks, and their estimates, the most similar first."""
+    rep, comp, block, low = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "low"))
+    band, p, q = (table.column(c)[0].as_py() for c in ("band", "p", "q"))
+    size = table.column("n_shingles").to_numpy().astype(float)
+    regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
+    # The star has tested the pairs of the bucket's smallest member.
+    one, two = np.flatnonzero((rep != low) & (block == p)), np.flatnonzero((rep != low) & (block == q))
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step = max(1, (8 << 20) // (K * max(1, len(two))))
+    for i in range(0, len(one), step):
+        part = one[i : i + step]
+        same = (regs[part, None, :] == regs[None, two, :]).mean(axis=2)
+        x, y = np.nonzero((same >= least) & (comp[part][:, None] != comp[two][None, :]))
+        same, x, y = same[x, y], part[x], two[y]
+        keep = rep[x] < rep[y] if p == q else np.ones(len(x), bool)
+        shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+        chance = collision_rate(size[x], size[y])
+        est = (same - chance) / (1 - chance)
+        keep &= (est >= least) & (shared.argmax(axis=1) == band) if len(x) else True
+        found.append((x[keep], y[keep], est[keep]))
+    x, y, est = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((rep[y], rep[x], -est))
+    return x[order], y[order], est[order]
+
+
+def _links(a: Iterable[int], b: Iterable[int]) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _best_rows(least: float):
+    """The most similar hopeful pair of each component in two blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, _ = _hopeful_pairs(table, least)
+        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+        first = np.concatenate([np.unique(comp[side], return_index=True)[1] for side in (x, y)])
+        at = np.unique(first)
+        return _links(rep[x[at]], rep[y[at]])
+
+    return run
 
 
-def _hopeful(least: float, best: int):
-    """Hopeful pairs (a > b) of two blocks: the `best` of each component (0: all); a null row if there are more."""
+def _decide_rows(least: float, k: int, percent: int):
+    """Links that join components of two blocks, by the full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, block, low = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "low"))
-        band = table.column("band")[0].as_py()
-        inside = table.column("p")[0] == table.column("q")[0]
-        size = table.column("n_shingles").to_numpy().astype(float)
-        regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
-        found: list[tuple[np.ndarray, ...]] = []
-        # The star has tested the pairs of the bucket's smallest member.
-        one = np.flatnonzero((rep != low) & (inside | (block == table.column("p")[0].as_py())))
-        two = one if inside else np.flatnonzero((rep != low) & (block != table.column("p")[0].as_py()))
-        step = max(1, (8 << 20) // (K * max(1, len(two))))
-        for i in range(0, len(one), step):
-            part = one[i : i + step]
-            same = (regs[part, None, :] == regs[None, two, :]).mean(axis=2)
-            x, y = np.nonzero((same >= least) & (comp[part][:, None] != comp[two][None, :]))
-            same, x, y = same[x, y], part[x], two[y]
-            if inside:
-                keep = rep[x] < rep[y]
-                same, x, y = same[keep], x[keep], y[keep]
-            if not len(x):
-                continue
-            shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-            p = collision_rate(size[x], size[y])
-            est = (same - p) / (1 - p)
-            keep = (shared.argmax(axis=1) == band) & (est >= least)
-            found.append((np.maximum(rep[x], rep[y])[keep], np.minimum(rep[x], rep[y])[keep], est[keep], np.maximum(comp[x], comp[y])[keep], np.minimum(comp[x], comp[y])[keep]))
-        del regs
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        a, b, est, ca, cb = (np.concatenate(c) for c in zip(*found, strict=True))
-        # Of two components the most similar first; of one, a pair with each other component first.
-        order = np.lexsort((a, b, -est, cb, ca))
-        a, b, est, ca, cb = (x[order] for x in (a, b, est, ca, cb))
-        nth = _ranks(ca, cb)
-        take = np.zeros(len(a), bool) if best else np.ones(len(a), bool)
-        for side in (ca, cb) if best else ():
-            order = np.lexsort((b, a, -est, nth, side))
-            take[order[_ranks(side[order]) < best]] = True
-        more = [None] if not take.all() else []
-        return pa.table({"a": pa.array([*a[take].tolist(), *more], pa.int64()), "b": pa.array([*b[take].tolist(), *more], pa.int64())})
+        x, y, _ = _hopeful_pairs(table, least)
+        rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+        sets: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
+        need = np.unique(np.concatenate((x, y)))
+        texts = table.column("text").combine_chunks()
+        for i in range(0, len(need), 64):
+            u, s = shingle_sets(texts.take(pa.array(need[i : i + 64])), k)
+            sets.update({int(n): u[s[j] : s[j + 1]].copy() for j, n in enumerate(need[i : i + 64])})
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (p := parent.get(c, c)) != c:
+                parent[c] = parent.get(p, p)
+                c = p
+            return c
+
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and linked(sets[i], sets[j], percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(rep[j]), int(rep[i])))
+        del sets, texts, table
+        common.trim()
+        return _links([p[0] for p in links], [p[1] for p in links])
 
     return run
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, key, rep): a 64-bit key for each band of registers."""
+    """(band, key, rep, size): a 64-bit key for each band of registers; size: shingles."""
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS})))")
-    return classes.select(F.posexplode(key).alias("band", "key"), "rep")
+    return classes.select(F.posexplode(key).alias("band", "key"), "rep", F.col("n_shingles").alias("size"))
 
 
 class NearDuplicates:
@@ -262,11 +281,14 @@ class NearDuplicates:
         self.tied = self.members.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         self.bands = _bands(self.classes)
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of some ids; few ids go to the texts, not the texts to the ids."""
+        return self.docs.where("doc_id is not null and text is not null").join(common.small(ids), "doc_id", "left_semi")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of class representatives that are linked, by their full sets."""
         pairs = common.store(pairs, "pairs", few=True)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.docs.where("doc_id is not null and text is not null").join(common.small(ids), "doc_id", "left_semi")
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
@@ -280,38 +302,48 @@ class NearDuplicates:
         two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_rows(self.least), "a long, b long").distinct()
 
-    def undecided(self, comps: DataFrame, best: int) -> DataFrame:
-        """Hopeful pairs (a, b) of different components in one bucket, and a null row where there are more."""
+    def open_buckets(self, comps: DataFrame) -> DataFrame:
+        """Members (band, key, rep, comp) of buckets that lie in several components; n, shingles, low: of the bucket."""
         comps = comps.select(F.col("id").alias("rep"), "component")
-        named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("comp"))
+        named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
         sized = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         # Of two members, the star has tested the pair.
-        rows = common.store(named.join(sized.where("n > 2 and lo <> hi").select("key", "n", "low"), "key"), "open", few=True)
-        each = rows.where(F.col("n") > BLOCK).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        most = each.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most")).select("key", "most.m", F.col("most.comp").alias("largest"))
-        rows = rows.join(most, "key", "left")
-        # Blocks of the other components, then those of the largest one.
-        rows = rows.withColumns({"others": F.greatest(F.lit(1), F.ceil((F.col("n") - F.coalesce("m", F.lit(0))) / BLOCK)).cast("int"), "own": F.ceil(F.coalesce("m", F.lit(0)) / BLOCK).cast("int")})
+        return common.store(named.join(sized.where("n > 2 and lo <> hi").select("key", "n", "low"), "key"), "open", few=True)
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """The rows once for each two blocks (p, q) of their bucket in which they meet others."""
+        each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+        most = each.groupBy("key").agg(F.max(F.struct("m", "comp", "s")).alias("most"), F.sum("m").alias("members"), F.sum("s").alias("shingles"))
+        need = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        # Blocks of the other components, then those of the largest one; a small bucket is one block.
+        most = most.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES))
+        most = most.select("key", F.col("most.comp").alias("largest"), need(F.col("most.m"), F.col("most.s")).alias("own"), need(F.col("members") - F.col("most.m"), F.col("shingles") - F.col("most.s")).alias("others"))
+        rows = rows.join(most, "key", "left").withColumn("inner", F.coalesce(F.col("comp") == F.col("largest"), F.lit(False)))
+        rows = rows.withColumns({"others": F.coalesce("others", F.lit(1)), "own": F.coalesce("own", F.lit(0))})
         place = F.xxhash64("rep")
-        inner = F.coalesce(F.col("comp") == F.col("largest"), F.lit(False))
-        rows = rows.withColumn("inner", inner).withColumn("block", F.when(F.col("inner"), F.col("others") + F.pmod(place, F.col("own"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
+        rows = rows.withColumn("block", F.when(F.col("inner"), F.col("others") + F.pmod(place, F.col("own"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
         meets = "if(inner, transform(sequence(0, others - 1), i -> struct(i as p, block as q)), transform(sequence(0, others + own - 1), i -> struct(least(i, block) as p, greatest(i, block) as q)))"
-        dealt = rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "low", "meets.p", "meets.q")
-        full = dealt.join(self.classes.select("rep", "sketch", "n_shingles"), "rep")
-        return common.store(full.groupBy("key", "p", "q").applyInArrow(_hopeful(self.least, best), "a long, b long").distinct(), "hopeful", few=True)
+        return rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "low", "meets.p", "meets.q")
+
+    def undecided(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) that join components, among hopeful members of the open buckets."""
+        ids = rows.select(F.col("rep").alias("doc_id")).distinct()
+        full = self.classes.select("rep", "sketch", "n_shingles").join(self.texts(ids).withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
+        links = self.blocks(rows).join(full, "rep").groupBy("key", "p", "q").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
+        return common.store(links.distinct(), "more", few=True)
 
     def components(self) -> DataFrame:
         links = self.verified(self.star()).union(self.tied)
         comps = common.store(common.components(links), "components", few=True)
-        for best in BEST:
-            found = self.undecided(comps, best)
-            pairs, more = found.agg(F.count("a"), F.count_if(F.col("a").isNull())).first()
-            if pairs:
-                links = links.union(self.verified(found.where("a is not null")))
-                comps = common.store(common.components(links), "components", few=True)
-            if not more:
-                break
-        return comps
+        rows = self.open_buckets(comps)
+        large = rows.where(F.col("n") > BLOCK)
+        if large.head(1):
+            pairs = self.blocks(large).join(self.classes.select("rep", "sketch", "n_shingles"), "rep").groupBy("key", "p", "q").applyInArrow(_best_rows(self.least), "a long, b long")
+            links = links.union(self.verified(pairs.distinct()))
+            comps = common.store(common.components(links), "components", few=True)
+            rows = self.open_buckets(comps)
+        more = self.undecided(rows)
+        return common.store(common.components(links.union(more)), "components", few=True) if more.head(1) else comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
