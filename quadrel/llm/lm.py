@@ -1,29 +1,31 @@
 """Language-model scores from a weighted backoff automaton of smoothed n-grams.
 
-States are the words seen in training, a start state and the empty state. A state
-has an arc for each word seen after it, with the smoothed probability, and a
-failure arc to the empty state, whose arcs are the smoothed words. One traversal
-from left to right carries the state and adds log10 probabilities.
+States are the sequences of up to `order - 1` words seen in training, a start state and the
+empty state. A state h has an arc for each word seen after it, with the smoothed
+probability, and a failure arc to the state without h's first word; the failure arcs form
+a chain down to the empty state, whose arcs are the smoothed words. One traversal from left to
+right carries the state, the longest known suffix of what was read, and adds log10
+probabilities: of the arc, if there is one, else of the failure arc and what follows it.
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h, w) + mu * p(w)) / (c(h) + mu)
+    p(w | h) = (c(h, w) + mu * p(w | h without its first word)) / (c(h) + mu)
 
-So a failure arc from h weighs log10(mu / (c(h) + mu)), and p(. | h) sums to one.
+So the failure arc of h weighs log10(mu / (c(h) + mu)), and p(. | h) sums to one.
 
-No count table is broadcast. Texts are cut into chunks of bounded size. A chunk
-sends the sorted hashes of its distinct n-grams and their training counts, packed,
-to the shards that own these hashes; a shard adds up the counts and answers each
-chunk with the totals, in the order asked. The chunk builds from the answers the
-part of the automaton that its own texts can reach. Chunks and shards are bounded
-and their number follows the input; a hot word is one entry of a chunk, whatever
-its count.
+No count table is broadcast. Texts are cut into batches of bounded size, and batches are
+gathered to chunks. A chunk sends the sorted hashes of its batches' distinct n-grams and their
+training counts, packed, to the shards that own these hashes; a shard adds up the counts and
+answers each chunk with what the others have, in the order asked. Each batch builds from the
+answers the part of the automaton that its own texts can reach. A hot word is one entry of a
+batch, whatever its count. Words have 63 bits of hash; longer n-grams as many as the input
+needs for one n-gram in 2 ** SPARE_BITS to be taken for another one.
 
 The texts are read twice, in the same order; a stored table gives that. Any other
 plan is stored first. A checksum of each chunk's request guards it.
 
 Defined results. Null or empty text: its end token only. Null doc_id: a training
-document (crc32 of the empty text). Repeated rows count, and are scored, each.
-An empty table gives an empty result. Extra columns are ignored.
+document (crc32 of the empty text). Repeated rows count, and are scored, each. A text longer
+than a batch is a batch of its own. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,15 +42,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Least text of a chunk. Its n-grams take some thirty times this in a Python worker.
-CHUNK_BYTES = 4 << 20
+#: Words of the longest n-gram.
+ORDER = 4
+#: Text of a batch. Its n-grams take some thirty times this in a Python worker.
+BATCH_BYTES = 4 << 20
 #: Least text for each shard; its requests take about as much.
 SHARD_BYTES = 16 << 20
 #: Text whose n-grams are enough for a packed request. Each chunk asks each shard, so both
-#: grow with the root of the input above some 45 GB, to 200 MB at 100 TB.
+#: grow with the root of the input above some 45 GB, to 200 MB of text at 100 TB; a task
+#: holds eight bytes for each n-gram of a chunk, but unpacks one batch at a time.
 ASK_BYTES = 384
-#: Strength of the unigram in the smoothed bigram, in counts.
+#: Strength of the shorter context in the smoothed longer one, in counts.
 MU = 4.0
+WORD_BITS = 63
+SPARE_BITS = 20
 #: Neither can be a word, as both hold a space.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" end", b" start"))
 
@@ -64,154 +71,211 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-class Chunk:
-    """Tokens of a batch of texts and its distinct n-grams in the order of their hashes.
+def pack_sorted(parts: list[np.ndarray]) -> bytes:
+    """Ascending values of each part, as differences."""
+    return pack(np.concatenate([np.diff(x, prepend=np.uint64(0)) for x in parts]))
 
-    `word[i]`: place of the i-th token among the words asked for; `before[i]`: of the
-    token before it or the start; `pair[i]`: of the bigram of both.
+
+def unpack_sorted(blob: bytes, sizes: list[int]) -> np.ndarray:
+    flat = unpack(blob)
+    ends = np.cumsum(sizes)[:-1]
+    return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in np.split(flat, ends)])
+
+
+class Grams:
+    """N-grams of a batch of texts: keys[n - 1][i] is that of the n words up to place i.
+
+    Each text is its words between a start and an end; `inside[n - 1]` says at which places n
+    words of one text end, `train` which places are of training texts.
     """
 
-    def __init__(self, texts: pa.Array, held: np.ndarray):
+    def __init__(self, texts: pa.Array, held: np.ndarray, order: int, bits: int):
         tok = common.tokenize(texts)
-        n, v = len(tok), len(tok.words)
-        hashes = np.concatenate((common.word_hashes(tok.words), [END, START])).astype(np.uint64)
-        self.starts = tok.starts + np.arange(n + 1)
-        ids = np.full(self.starts[-1], v, np.int64)
+        n = len(tok)
+        self.starts = tok.starts + 2 * np.arange(n + 1)
+        seq = np.empty(self.starts[-1], np.uint64)
         doc = np.repeat(np.arange(n), np.diff(self.starts))
-        ends = np.zeros(len(ids), bool)
-        ends[self.starts[1:] - 1] = True
-        ids[~ends] = tok.ids
-        prev = np.full(len(ids), v + 1, np.int64)
-        prev[1:] = ids[:-1]
-        prev[self.starts[:-1]] = v + 1
-        train = ~held[doc]
-
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(v + 2, np.int64)
-        place[order] = np.arange(v + 2)
-        self.word, self.before = place[ids], place[prev]
-        counts = np.bincount(self.word[train], minlength=v + 2)
-        counts[place[v + 1]] = int((~held).sum())
-        self.words = hashes[order], counts
-
-        keys, inverse = np.unique(prev * (v + 2) + ids, return_inverse=True)
-        pairs = common.mix(hashes[keys // (v + 2)] * np.uint64(0x9E3779B97F4A7C15) + common.mix(hashes[keys % (v + 2)]))
-        order = np.argsort(pairs, kind="stable")
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.pair = place[inverse]
-        self.pairs = pairs[order], np.bincount(self.pair[train], minlength=len(keys))
-
-
-def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Ends of the shards in ascending hashes: equal ranges of the hash space."""
-    at = [min((2**64 * (s + 1)) // n, 2**64 - 1) for s in range(n)]
-    ends = np.searchsorted(hashes, np.array(at, np.uint64), side="left")
-    ends[-1] = len(hashes)
-    return ends
-
-
-def sizes(total: int) -> tuple[int, int]:
-    """Bytes of text of a chunk, and the number of shards, for an input of so many bytes."""
+        place = np.arange(len(seq)) - self.starts[doc]
+        last = self.starts[1:] - 1
+        words = np.ones(len(seq), bool)
+        words[self.starts[:-1]] = words[last] = False
+        seq[words] = common.word_hashes(tok.words)[tok.ids] if len(tok.ids) else np.empty(0, np.uint64)
+        seq[self.starts[:-1]], seq[last] = START, END
+        self.train = ~held[doc]
+        self.token = place > 0
+        self.keys, self.inside = [seq >> np.uint64(64 - WORD_BITS)], [np.ones(len(seq), bool)]
+        full = common.mix(seq)
+        own = full
+        for m in range(2, order + 1):
+            full = np.concatenate((full[:1], common.mix(full[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])))
+            self.keys.append(full >> np.uint64(64 - bits))
+            self.inside.append(place >= m - 1)
+
+    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of a level, ascending, and their training counts."""
+        at = self.inside[level]
+        marked = np.sort((self.keys[level][at] << np.uint64(1)) | self.train[at].astype(np.uint64))
+        keys = marked >> np.uint64(1)
+        first = _firsts(keys)
+        return keys[first], np.add.reduceat(marked & np.uint64(1), first) if len(first) else np.empty(0, np.uint64)
+
+    def spread(self, level: int, answers: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """Total count at each place, 0 outside, from the shards' answers: checksums, and what others have of each distinct key."""
+        at = np.flatnonzero(self.inside[level])
+        keys = self.keys[level][at]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = _firsts(keys)
+        a, distinct = 0, keys[first]
+        for crc, others in answers:
+            if zipped(distinct[a : a + len(others)]) != crc:
+                raise RuntimeError("the documents were read in another order the second time; store them first")
+            a += len(others)
+        if a != len(distinct):
+            raise RuntimeError("the documents changed between two reads; store them first")
+        out = np.zeros(len(self.train))
+        if len(first):
+            totals = np.add.reduceat(self.train[at[order]].astype(np.float64), first) + np.concatenate([x for _, x in answers])
+            out[at[order]] = np.repeat(totals, np.diff(np.append(first, len(keys))))
+        return out
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.empty(0, np.int64)
+
+
+def _cuts(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Ends of the shards in ascending keys: equal ranges of the key space."""
+    at = np.array([((s + 1) << bits) // n for s in range(n - 1)], np.uint64)
+    return np.append(np.searchsorted(keys, at, side="left"), len(keys))
+
+
+def sizes(total: int) -> tuple[int, int, int]:
+    """Bytes of text of a chunk, the number of shards and the bits of a key, for an input of so many bytes."""
     least = int((ASK_BYTES * total) ** 0.5)
-    return max(CHUNK_BYTES, least), max(1, -(-total // max(SHARD_BYTES, least)))
+    bits = min(WORD_BITS, max(1, total // 4).bit_length() + SPARE_BITS)
+    return max(BATCH_BYTES, least), max(1, -(-total // max(SHARD_BYTES, least))), bits
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _chunks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Batches of bounded text, gathered to chunks of about `size`."""
     part = TaskContext.get().partitionId()
-    for i, rb in enumerate(common.rebatch(batches, ["text"], size)):
-        yield (part << 32) | i, rb
+    held: list[pa.RecordBatch] = []
+    n = number = 0
+    for rb in common.rebatch(batches, ["text"], BATCH_BYTES):
+        held.append(rb)
+        n += rb.column("text").nbytes
+        if n >= size:
+            yield (part << 32) | number, held
+            held, n, number = [], 0, number + 1
+    if held:
+        yield (part << 32) | number, held
 
 
-_ASK = "chunk long, level int, shard int, n long, hashes binary, counts binary"
+_ASK = "chunk long, level int, shard int, sizes array<int>, keys binary, counts binary"
 
 
-def _ask(size: int, shards: int):
-    """For each chunk, level and shard: the hashes it needs, and its own training counts."""
+def _ask(order: int, size: int, shards: int, bits: int):
+    """For each chunk, level and shard: the keys that its batches need, and their own training counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rb in _chunks(batches, size):
-            c = Chunk(rb.column("text"), rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-            rows = []
-            for level, (hashes, counts) in enumerate((c.words, c.pairs), 1):
-                a = 0
-                for s, b in enumerate(_shards(hashes, shards).tolist()):
-                    if b > a:
-                        rows.append((chunk, level, s, b - a, pack(np.diff(hashes[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
-                    a = b
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "level", "shard", "n", "hashes", "counts"])
+        for chunk, parts in _chunks(batches, size):
+            found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+            for rb in parts:
+                g = Grams(rb.column("text"), rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool), order, bits)
+                for level in range(order):
+                    keys, counts = g.distinct(level)
+                    found[level].append((keys, counts, _cuts(keys, shards, WORD_BITS if level == 0 else bits)))
+                del g
+            for level, own in enumerate(found):
+                rows = []
+                for s in range(shards):
+                    span = [(int(cut[s - 1]) if s else 0, int(cut[s])) for _, _, cut in own]
+                    if any(b > a for a, b in span):
+                        cols = [[x[a:b] for x, (a, b) in zip(side, span, strict=True)] for side in ([k for k, _, _ in own], [c for _, c, _ in own])]
+                        rows.append((chunk, level, s, [b - a for a, b in span], pack_sorted(cols[0]), pack(np.concatenate(cols[1]))))
+                found[level] = []
+                if rows:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "level", "shard", "sizes", "keys", "counts"])
+            common.trim()
 
     return run
 
 
-_ANSWER = "chunk long, level int, shard int, n long, crc long, totals binary, types long, tokens long, texts long"
+_ANSWER = "chunk long, level int, shard int, sizes array<int>, crcs array<long>, others binary, types long, tokens long"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of a shard's n-grams, for each chunk in the order it asked."""
-    hashes = [np.cumsum(unpack(h), dtype=np.uint64) for h in table.column("hashes").to_pylist()]
-    counts = [unpack(c) for c in table.column("counts").to_pylist()]
-    keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(inverse, weights=np.concatenate(counts).astype(float), minlength=len(keys)).astype(np.int64)
-    level = table.column("level")[0].as_py()
-    start = int(totals[keys == START].sum()) if level == 1 else 0
-    types = int((totals > 0).sum()) - (start > 0) if level == 1 else 0
-    tokens = int(totals.sum()) - start if level == 1 else 0
-    out, a = [], 0
-    for h in hashes:
-        out.append((len(h), zipped(h), pack(totals[inverse[a : a + len(h)]])))
-        a += len(h)
-    n = len(out)
-    del hashes, counts, keys, inverse, totals
+    """What a shard's other batches count of each key, for each chunk in the order it asked."""
+    parts = [unpack_sorted(k, n) for k, n in zip(table.column("keys").to_pylist(), table.column("sizes").to_pylist(), strict=True)]
+    crcs = [[zipped(x) for x in np.split(p, np.cumsum(n)[:-1])] for p, n in zip(parts, table.column("sizes").to_pylist(), strict=True)]
+    counts = np.concatenate([unpack(c) for c in table.column("counts").to_pylist()])
+    ends = np.cumsum([len(p) for p in parts])
+    keys = np.concatenate(parts)
+    del parts
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _firsts(keys)
+    totals = np.add.reduceat(counts[order], first)
+    types = tokens = 0
+    if table.column("level")[0].as_py() == 0:
+        word = keys[first] != START >> np.uint64(64 - WORD_BITS)
+        types, tokens = int((totals[word] > 0).sum()), int(totals[word].sum())
+    others = np.empty(len(keys), np.uint64)
+    others[order] = np.repeat(totals, np.diff(np.append(first, len(keys)))) - counts[order]
+    blobs = [pack(x) for x in np.split(others, ends[:-1])]
+    n = len(blobs)
+    del keys, order, totals, others, counts
     common.trim()
     once = lambda x: pa.array([x] + [0] * (n - 1), pa.int64())  # noqa: E731  the shard's own figures stand in one of its rows
     return pa.table(
         {
-            "chunk": table.column("chunk"),
-            "level": table.column("level"),
-            "shard": table.column("shard"),
-            "n": pa.array([x[0] for x in out], pa.int64()),
-            "crc": pa.array([x[1] for x in out], pa.int64()),
-            "totals": pa.array([x[2] for x in out], pa.binary()),
+            **{c: table.column(c) for c in ("chunk", "level", "shard", "sizes")},
+            "crcs": pa.array(crcs, pa.list_(pa.int64())),
+            "others": pa.array(blobs, pa.binary()),
             "types": once(types),
             "tokens": once(tokens),
-            "texts": once(start),
         }
     )
 
 
-def zipped(hashes: np.ndarray) -> int:
+def zipped(keys: np.ndarray) -> int:
     """Checksum of a request."""
-    return xxhash.xxh32_intdigest(np.ascontiguousarray(hashes).tobytes())
+    return xxhash.xxh32_intdigest(np.ascontiguousarray(keys).tobytes())
 
 
 class Automaton:
-    """What the texts of one chunk can reach of the backoff automaton.
+    """What the texts of one batch can reach of the backoff automaton.
 
-    States are numbered like the chunk's words; the empty state is -1. `arc[p]` is the
-    weight of the arc for the chunk's p-th bigram, nan if there is none; `fail[h]` that of
-    the failure arc of state h, `word[w]` that of the empty state's arc for word w.
+    counts[n - 1][i]: training count of the n words up to place i, 0 if they are unknown or not
+    of one text. The state after place i is the longest known suffix there, of `order - 1` words
+    at most: known[i] is its length. All its suffixes are known too, so the chain of failure
+    arcs from it goes through every shorter length.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, before: np.ndarray, after: np.ndarray, n: int, v: int, mu: float):
-        p = (words + 1.0) / (n + v + 1.0)
-        self.known = words > 0
-        self.word = np.log10(p)
-        self.state = np.where(self.known, np.arange(len(words)), -1)
-        self.fail = np.log10(mu / (words + mu))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.arc = np.where(pairs > 0, np.log10((pairs + mu * p[after]) / (words[before] + mu)), np.nan)
-
-    def traverse(self, before: np.ndarray, token: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Weight of each step of the traversal.
-
-        The longest known suffix of what was read is its last token, if that is a state;
-        so the state carried into step i is state[before[i]], for all texts at once.
-        """
-        state = self.state[before]
-        arc = self.arc[pair]
-        backed = np.where(state >= 0, self.fail[state], 0.0) + self.word[token]
-        return np.where((state >= 0) & ~np.isnan(arc), arc, backed)
+    def __init__(self, counts: list[np.ndarray], n: int, v: int, mu: float):
+        self.counts, self.mu = counts, mu
+        self.order = len(counts)
+        self.word = np.log10((counts[0] + 1.0) / (n + v + 1.0))
+        self.known = sum(((c > 0).astype(np.int64) for c in counts[: self.order - 1]), np.zeros(len(counts[0]), np.int64))
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        """x at the place before."""
+        return np.concatenate((np.zeros(1, x.dtype), x[:-1]))
+
+    def traverse(self) -> np.ndarray:
+        """Weight of the step into each place: from the state carried there, by failure arcs, to an arc."""
+        state = self._before(self.known)
+        weight = self.word.copy()  # of the empty state's arc
+        p = 10.0**weight
+        for n in range(2, self.order + 1):
+            there = state >= n - 1
+            held = self._before(self.counts[n - 2])
+            p = np.where(there, (self.counts[n - 1] + self.mu * p) / (held + self.mu), p)
+            fail = np.log10(self.mu / (held + self.mu))
+            weight = np.where(there, np.where(self.counts[n - 1] > 0, np.log10(p), fail + weight), weight)
+        return weight
 
 
 def _bodies(size: int):
@@ -219,10 +283,11 @@ def _bodies(size: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for chunk, rb in _chunks(batches, size):
+        for chunk, parts in _chunks(batches, size):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rb.schema) as w:
-                w.write_batch(rb)
+            with pa.ipc.new_stream(sink, parts[0].schema) as w:
+                for rb in parts:
+                    w.write_batch(rb)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([z.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "body"])
 
     return run
@@ -231,44 +296,37 @@ def _bodies(size: int):
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n: int, v: int, mu: float):
+def _score(order: int, bits: int, n: int, v: int, mu: float):
     def run(body: pa.Table, answers: pa.Table) -> pa.Table:
         blob = zstandard.ZstdDecompressor().decompress(body.column("body")[0].as_py())
-        rb = pa.ipc.open_stream(blob).read_next_batch()
-        c = Chunk(rb.column("text"), rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
-        got: dict[int, list] = {1: [], 2: []}
-        rows = answers.select(["level", "shard", "crc", "totals"]).to_pylist()
-        for row in sorted(rows, key=lambda r: (r["level"], r["shard"])):
-            got[row["level"]].append((row["crc"], unpack(row["totals"])))
-        totals = []
-        for level, hashes in ((1, c.words[0]), (2, c.pairs[0])):
-            a = 0
-            for crc, t in got[level]:
-                if zipped(hashes[a : a + len(t)]) != crc:
-                    raise RuntimeError("the documents were read in another order the second time; store them first")
-                a += len(t)
-            if a != len(hashes):
-                raise RuntimeError("the documents changed between two reads; store them first")
-            totals.append(np.concatenate([t for _, t in got[level]]).astype(np.float64))
-        words, pairs = totals
-        del got, rows, blob
-        before, after = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
-        before[c.pair], after[c.pair] = c.before, c.word
-        auto = Automaton(words, pairs, before, after, n, v, mu)
-        out = pa.table(
-            {
-                "doc_id": rb.column("doc_id"),
-                "held_out": rb.column("held_out"),
-                "n_tokens": pa.array(np.diff(c.starts)),
-                "n_known": pa.array(common.segment_sums(auto.known[c.word].astype(np.int64), c.starts)),
-                "train_tokens": pa.array(np.full(rb.num_rows, n, np.int64)),
-                "base_score": pa.array(common.segment_sums(auto.word[c.word], c.starts)),
-                "score": pa.array(common.segment_sums(auto.traverse(c.before, c.word, c.pair), c.starts)),
-            }
-        )
-        del c, auto, words, pairs, totals, before, after
-        common.trim()
-        return out
+        rows = answers.select(["level", "shard", "sizes", "crcs", "others"]).to_pylist()
+        rows.sort(key=lambda r: (r["level"], r["shard"]))
+        out = []
+        for b, rb in enumerate(pa.ipc.open_stream(blob)):
+            g = Grams(rb.column("text"), rb.column("held_out").to_numpy(zero_copy_only=False).astype(bool), order, bits)
+            counts = []
+            for level in range(order):
+                own = [r for r in rows if r["level"] == level]
+                counts.append(g.spread(level, [(r["crcs"][b], unpack(r["others"])[sum(r["sizes"][:b]) : sum(r["sizes"][: b + 1])]) for r in own]))
+            auto = Automaton(counts, n, v, mu)
+            token = g.token
+            sums = lambda x: common.segment_sums(np.where(token, x, x.dtype.type(0)), g.starts)  # noqa: B023, E731
+            out.append(
+                pa.table(
+                    {
+                        "doc_id": rb.column("doc_id"),
+                        "held_out": rb.column("held_out"),
+                        "n_tokens": pa.array(np.diff(g.starts) - 1),
+                        "n_known": pa.array(sums((counts[0] > 0).astype(np.int64))),
+                        "train_tokens": pa.array(np.full(rb.num_rows, n, np.int64)),
+                        "base_score": pa.array(sums(auto.word)),
+                        "score": pa.array(sums(auto.traverse())),
+                    }
+                )
+            )
+            del g, counts, auto
+            common.trim()
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
@@ -281,7 +339,7 @@ def _is_scan(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2), mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] = (7, 2), mu: float = MU, order: int = ORDER) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) mod fold[0] is not fold[1].
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
@@ -292,10 +350,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     if not _is_scan(docs):
         docs = common.store(docs, "texts")
-    size, shards = sizes(common.text_bytes(docs, "text")[1])
-    asked = docs.mapInArrow(_ask(size, shards), _ASK)
+    size, shards, bits = sizes(common.text_bytes(docs, "text")[1])
+    asked = docs.mapInArrow(_ask(order, size, shards, bits), _ASK)
     answers = common.store(asked.groupBy("level", "shard").applyInArrow(_answer, _ANSWER), "answers")
     n, v = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     bodies = docs.mapInArrow(_bodies(size), "chunk long, body binary")
-    rows = answers.select("chunk", "level", "shard", "crc", "totals")
-    return bodies.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_score(int(n), int(v), mu), _SCORE)
+    rows = answers.select("chunk", "level", "shard", "sizes", "crcs", "others")
+    return bodies.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_score(order, bits, int(n), int(v), mu), _SCORE)
