@@ -17,8 +17,10 @@ spanning star for each group it finds, never the pairs.
 
 Defined results. Only vectors of equal, non-null labels are compared. Null or zero
 vectors, and those with null or non-finite components, link with nothing, also
-not with copies; nor do vectors of another length than the commonest. Null ids link
-with nothing and have a null component. Rows that repeat an id are counted each. An
+not with copies. Vectors are compared within their length, each length by an index of its
+own; those of one component link if they have one sign. Null ids link
+with nothing and have a null component. Rows that repeat an id are counted each; an id
+with several vectors is one node, and each of its rows has the links of all of them. An
 empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -36,9 +38,10 @@ from . import common
 
 #: Vectors that fit the codebooks, taken by a hash of the id.
 SAMPLE = 8192
-#: Vectors of a cell that the grid aims at; the codebooks follow the number of vectors up to MAX_CODES.
+#: Vectors of a cell that the grid aims at; the codebooks follow the root of the number of vectors.
 CELL = 100
-MAX_CODES = 512
+#: Vectors of the sample for each codeword, where that is more than SAMPLE.
+FIT = 8
 #: Share of a vector's neighbours at the threshold that live in the cells it visits.
 RECALL = 0.995
 BLOCK = 1024
@@ -110,7 +113,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-_VISIT = "label long, c1 int, c2 int, vec_id long, home boolean, h1 int, h2 int"
+_VISIT = "label long, c1 int, c2 int, vec_id long, ck long, home boolean, h1 int, h2 int"
 
 
 def _visit(index: MultiIndex):
@@ -131,7 +134,7 @@ def _visit(index: MultiIndex):
             home = (cells[:, 0] == h1[at]) & (cells[:, 1] == h2[at])
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays(
-                [rb.column("label").take(rows), *(pa.array(cells[:, i].astype(np.int32)) for i in (0, 1)), rb.column("vec_id").take(rows), pa.array(home), pa.array(h1[at].astype(np.int32)), pa.array(h2[at].astype(np.int32))],
+                [rb.column("label").take(rows), *(pa.array(cells[:, i].astype(np.int32)) for i in (0, 1)), rb.column("vec_id").take(rows), rb.column("ck").take(rows), pa.array(home), pa.array(h1[at].astype(np.int32)), pa.array(h2[at].astype(np.int32))],
                 names=[x.split()[0] for x in _VISIT.split(", ")],
             )
 
@@ -188,33 +191,37 @@ def _pairs(index: MultiIndex, threshold: float):
     return run
 
 
-def _valid(vector, size: int):
+def _valid(vector):
     """Vectors of finite components that are not all zero."""
     odd = F.exists(vector, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     some = F.exists(vector, lambda e: e != 0)
-    return F.coalesce((F.size(vector) == size) & ~odd & some, F.lit(False))
+    return F.coalesce(~odd & some, F.lit(False))
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, recall: float = RECALL, cell: int = CELL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = table.sparkSession
     common.prepare(spark)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
-    size = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("s")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").first()
-    size = int(size["s"]) if size else 0
-    able = _valid(F.col("embedding"), size) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("class", F.when(able, F.sha1(F.concat_ws(",", F.col("label"), F.col("embedding")).cast("binary"))))
+    kind = table.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # floats travel as floats, and are compared as doubles
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    able = _valid(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    same = F.when(F.size("embedding") == 1, F.concat_ws(",", F.col("label"), F.signum(F.element_at("embedding", 1)))).otherwise(F.concat_ws(",", F.col("label"), F.col("embedding")))
+    rows = rows.withColumn("class", F.when(able, F.concat_ws(":", F.size("embedding"), F.sha1(same.cast("binary")))))
     full = rows.where("class is not null")
-    classes = common.store(full.groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "classes")
-    # Rows that repeat an id with other vectors stay classes of their own id.
-    total = classes.count()
+    classes = common.store(full.groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.first(F.size("embedding")).alias("size")), "classes")
     own = rows.select("vec_id", "class")
     alone = own.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if total and size > 1:
-        sample = classes.orderBy(F.xxhash64("vec_id"), "class").limit(SAMPLE).select("embedding").toArrow()
-        codes = int(min(MAX_CODES, max(1, 2 ** round(np.log2(max(1.0, total / cell)) / 2))))
+    totals = classes.where("size > 1").groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length
+    found = None
+    for size, total in totals:
+        part = classes.where(F.col("size") == size).drop("size")
+        codes = max(1, 2 ** round(np.log2(max(1.0, total / cell)) / 2))
+        sample = part.orderBy(F.xxhash64("vec_id"), "class").limit(max(SAMPLE, FIT * codes)).select("embedding").toArrow()
         index = MultiIndex(_matrix(sample.column("embedding")), codes, threshold, recall)
-        found = _linked(classes, index, threshold)
+        one = _linked(part, index, threshold)
+        found = one if found is None else found.union(one)
+    if found is not None:
         links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
         comps = common.components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
         named = classes.select("class", "vec_id", "n").join(links, "vec_id", "left").join(comps.withColumnRenamed("id", "vec_id"), "vec_id", "left")
@@ -227,7 +234,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 def _linked(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFrame:
     """(vec_id, links, root): sums of links found by a task, and a member of the same group."""
-    visits = common.store(classes.select("vec_id", "label", "embedding").mapInArrow(_visit(index), _VISIT), "visits")
+    classes = classes.withColumn("ck", F.xxhash64("class"))
+    visits = common.store(classes.select("vec_id", "ck", "label", "embedding").mapInArrow(_visit(index), _VISIT), "visits")
     key = ["label", "c1", "c2"]
     sizes = visits.groupBy(*key).agg(F.count_if("home").alias("members"), F.count(F.lit(1)).alias("visitors"))
     # A cell without members, or whose one member is the only visitor, has no pairs.
@@ -237,8 +245,8 @@ def _linked(classes: DataFrame, index: MultiIndex, threshold: float) -> DataFram
     # As visitor, of block q, a vector meets each block p of members; as member each other block of visitors.
     as_visitor = "transform(sequence(0, mb - 1), p -> named_struct('p', p, 'q', own_q, 'member', home and p = own_p, 'visitor', true))"
     as_member = "transform(filter(sequence(0, vb - 1), q -> home and q <> own_q), q -> named_struct('p', own_p, 'q', q, 'member', true, 'visitor', false))"
-    both = visits.withColumn("role", F.explode(F.expr(f"concat({as_visitor}, {as_member})"))).select(*key, "vec_id", "home", "h1", "h2", "role.*")
-    both = both.join(classes.select("vec_id", "n", "embedding"), "vec_id")
+    both = visits.withColumn("role", F.explode(F.expr(f"concat({as_visitor}, {as_member})"))).select(*key, "vec_id", "ck", "home", "h1", "h2", "role.*")
+    both = both.join(classes.select("vec_id", "ck", "n", "embedding"), ["vec_id", "ck"])
     row = F.struct("vec_id", "n", "home", "h1", "h2", "visitor", "member", "embedding")
     # At most 2 * BLOCK rows, about, in a group.
     groups = both.groupBy(*key, "p", "q").agg(F.collect_list(row).alias("rows")).where("size(rows) > 1").select("rows")

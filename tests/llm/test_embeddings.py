@@ -10,12 +10,12 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, threshold=0.93):
-    ok = [(i, np.array(v, float), c) for i, v, c in rows if i is not None and v is not None and c is not None and None not in v and len(v) == 16 and np.isfinite(np.array(v, float)).all() and np.array(v, float).any()]
+    ok = [(i, np.array(v, float), c) for i, v, c in rows if i is not None and v is not None and c is not None and None not in v and len(v) and np.isfinite(np.array(v, float)).all() and np.array(v, float).any()]
     n, edges = {}, []
     for x, (i, v, c) in enumerate(ok):
         n[i] = 0
         for y, (j, w, d) in enumerate(ok):
-            if x != y and c == d and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= threshold:
+            if x != y and c == d and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= threshold:
                 n[i] += 1
                 edges.append((i, j))
     comp = fx.join(edges, [i for i, *_ in rows if i is not None])
@@ -61,6 +61,15 @@ def test_hot_cell_in_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_each_length_is_compared(spark):
+    """Also a rare length, and one component; an id with several vectors is one node."""
+    rows = [(i, [float(x) for x in np.random.default_rng(i).standard_normal(16)], 1) for i in range(5)]
+    rows += [(10, [1.0, 2.0], 1), (11, [1.0, 2.1], 1), (12, [-1.0, 2.0], 1), (20, [1.0], 1), (21, [2.0], 1), (22, [-3.0], 1), (23, [-3.0], 2)]
+    assert run(spark, rows) == brute(rows)
+    twice = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1), (3, [0.1, 1.0], 1), (4, [-1.0, 0.0], 1)]
+    assert run(spark, twice) == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)], key=str)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, 1), (2, [], 1)]) == [(1, 0, 1, True), (2, 0, 2, True)]
