@@ -5,11 +5,12 @@ compared by Running-Karp-Rabin greedy string tiling: the longest common unmarked
 are marked first, then shorter ones, down to min_match; marked words are not used
 again. The share of an item's words under tiles is its coverage, which does not
 depend on the order of the passages. Pairs of at least `threshold` coverage are
-reported.
+reported. Texts of any length are searched whole; only their words under seeds are tiled.
 
-The benchmark is the stated side: it goes to the tasks in blocks of at most
-`BLOCK_BYTES`, each of which meets all documents in one pass without a shuffle. Its size is
-measured first; a larger benchmark takes more passes, never a larger broadcast.
+The benchmark is the stated side: the inverted index of its seeds goes to the tasks in blocks
+of at most `BLOCK_BYTES` of text, each of which meets all documents in one pass without a shuffle. Its size is
+measured first; a larger benchmark takes more passes, one after the other, so that the driver
+holds one block's index at a time.
 
 Defined results. Null or empty texts, and items below min_match words, match nothing.
 Repeated items or documents are compared each. An empty table gives an empty
@@ -18,7 +19,9 @@ result. Extra columns are ignored. A document may match several items.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,39 +66,55 @@ class _Rolling:
 
 
 def tile(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, int, int]]:
-    """Tiles (item position, document position, length); the word 0 matches nothing."""
+    """Tiles (item position, document position, length); the word 0 matches nothing.
+
+    As greedy string tiling is defined: the longest match of unmarked words is marked first, of
+    equal ones the first in the item, then in the document. A match that a tile has covered in
+    part goes back to the queue with what is left of it.
+    """
     a, b = _Rolling(item), _Rolling(doc)
     in_a, in_b = bytearray(len(item)), bytearray(len(doc))
     tiles: list[tuple[int, int, int]] = []
     length = max(min_match, min(FIRST_LENGTH, len(item), len(doc)))
+
+    def alike(i: int, j: int) -> bool:
+        return 0 <= i < len(item) and 0 <= j < len(doc) and item[i] == doc[j] and bool(item[i]) and not in_a[i] and not in_b[j]
+
     while True:
         places: dict[int, list[int]] = {}
         for i, h in a.windows(length, in_a):
             places.setdefault(h, []).append(i)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
+        queue: list[tuple[int, int, int]] = []
         for j, h in b.windows(length, in_b) if places else ():
             for i in places.get(h, ()):
+                if alike(i - 1, j - 1):
+                    continue  # part of the match that begins before
                 n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and item[i + n] and not in_a[i + n] and not in_b[j + n]:
+                while alike(i + n, j + n):
                     n += 1
                 if n >= length:
-                    found.append((n, i, j))
-                    longest = max(longest, n)
+                    queue.append((-n, i, j))
+        longest = -min(queue)[0] if queue else 0
         if longest > 2 * length:
             length = longest
             continue
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            # What a tile before took away from this match may leave a shorter one, for a later round.
-            if not any(in_a[i : i + n]) and not any(in_b[j : j + n]):
-                tiles.append((i, j, n))
-                in_a[i : i + n] = in_b[j : j + n] = b"\x01" * n
-        if length > 2 * min_match:
-            length //= 2
-        elif length > min_match:
-            length = min_match
-        elif not found:
+        heapq.heapify(queue)
+        while queue:
+            n, i, j = heapq.heappop(queue)
+            free = [not in_a[i + x] and not in_b[j + x] for x in range(-n)]
+            if all(free):
+                tiles.append((i, j, -n))
+                in_a[i : i - n] = in_b[j : j - n] = b"\x01" * -n
+                continue
+            at = 0
+            for ok, run in groupby(free):
+                size = len(list(run))
+                if ok and size >= length:
+                    heapq.heappush(queue, (-size, i + at, j + at))
+                at += size
+        if length == min_match:
             return tiles
+        length = max(min_match, length // 2)
 
 
 class _Index:
@@ -195,5 +214,7 @@ def contaminated(
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = _Index([r[0] for r in rows], [r[1] for r in rows], min_match)
         found = docs.mapInArrow(_search(index, min_match, threshold), _HITS)
+        if blocks > 1:
+            found = common.store(found, "hits", few=True)
         out = found if out is None else out.union(found)
     return out
