@@ -1,8 +1,9 @@
 """WARC archives with revisit records.
 
-`resolve_revisits` decides from headers alone: the payload digests and lengths are
-grouped (partial aggregates, so a hot payload costs one row for each task), and each
-record joins the original of its digest, which adaptive execution may split.
+`resolve_revisits` decides from headers alone: only digests, lengths and ids are shuffled, and
+grouped (partial aggregates, so a hot payload costs one row for each task). The originals of
+repeated payloads go to the records while they are measured to be small, so that payloads stay where
+they are; else they are joined by digest, which moves the payloads once and which adaptive execution may split.
 `write_archives` writes WARC/1.1 with fresh headers through Spark's own writer, so
 any file system works, a lost task is retried, and only committed files are seen.
 Payloads of revisits are not written. `read_archives` parses the files again.
@@ -11,7 +12,7 @@ Defined results. Null payload: empty. Payloads below `min_bytes`: always respons
 All rows that bear the largest id of a payload are responses (a record does not
 refer to itself), so repeated rows stay repeated. A null id is never the largest;
 if all ids of a payload are null, all are responses. Null URL: no target header.
-An empty table gives no record. Extra columns are ignored.
+A long payload is one record, whole. An empty table gives no record. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from . import common
 CRLF = "\r\n"
 #: Payloads below this stay responses: a revisit record would save nothing.
 MIN_BYTES = 1000
-#: Records of an archive, so that a file (some 100 MB at most, as a rule) can be parsed in one task.
-FILE_RECORDS = 20_000
+#: Payload of an archive, on average, so that a file can be parsed in one task.
+FILE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,7 +48,8 @@ def resolve_revisits(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     by = ["payload_digest", "payload_bytes"]
     heads = rows.where(F.col("payload_bytes") >= min_bytes).select(*by, "page_id")
     originals = heads.groupBy(*by).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null")
-    joined = rows.join(originals.drop("n"), by, "left")
+    originals = common.store(originals.drop("n"), "originals", few=True)
+    joined = rows.join(common.small(originals), by, "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("original"))).drop("original")
 
@@ -84,7 +86,9 @@ def write_archives(rows: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         F.lit(CRLF),
     )
     out = rows.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    n, size = common.text_bytes(rows, "payload")
+    records = max(1, FILE_BYTES * n // max(1, size))
+    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def _parse(f: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
