@@ -104,6 +104,23 @@ def is_nodata(v: Column, sentinel: Column) -> Column:
     return F.coalesce(odd, F.lit(True)) | F.coalesce(marked, F.lit(False))
 
 
+def file_hash(spark, path: str) -> str:
+    """`content_hash` of a file of any Hadoop file system, from its length and two reads of 4 KiB."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    n = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        read = spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+        first = bytes(read(stream, min(n, 4096)))
+        stream.seek(max(n - 4096, 0))
+        last = bytes(read(stream, min(n, 4096)))
+    finally:
+        stream.close()
+    row = spark.createDataFrame([(n, bytearray(first), bytearray(last))], "n int, first binary, last binary")
+    return row.select(F.lower(F.hex(F.xxhash64("n", "first", "last"))).alias("h")).first().h
+
+
 def content_hash(content: Column) -> Column:
     """Identity of a file's bytes: length, first and last 4 KiB."""
     n = F.octet_length(content)

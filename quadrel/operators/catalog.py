@@ -146,15 +146,24 @@ def option(*values):
 
 def validate_path(bases: list[str], name: str) -> str:
     """Path of an existing file below the first base that has it; ValueError for a bad name, FileNotFoundError else."""
-    if os.path.isabs(name) or ".." in name.split("/"):
+    if not name.strip("/. \t") or "\0" in name or os.path.isabs(name) or ".." in name.split("/"):
         raise ValueError(f"not a relative path below the base: {name}")
     for base in bases:
         root, path = os.path.realpath(base), os.path.realpath(os.path.join(base, name))
-        if os.path.exists(path) and (path == root or path.startswith(root + os.sep)):
+        if os.path.isfile(path) and path.startswith(root.rstrip(os.sep) + os.sep):
             return path
     raise FileNotFoundError(name)
 
 
+def static_file(spark: SparkSession, bases: list[str], name: str, no_dotfiles: bool = True) -> DataFrame:
+    """One row: path, mime, size, content of a file below the bases."""
+    path = validate_path(bases, name)
+    if no_dotfiles and any(part.startswith(".") for part in name.split("/")):
+        raise FileNotFoundError(name)
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select("path", paths.mime(F.col("path")).alias("mime"), F.col("length").alias("size"), "content")
+
+
 def load_config(path: str) -> dict:
     """A YAML configuration; {} if it cannot be read."""
     import yaml

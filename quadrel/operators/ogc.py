@@ -108,22 +108,29 @@ def tms_root(layers: DataFrame, url: str = "http://localhost:8080/ogc/tms/1.0.0"
     return f'<?xml version="1.0" encoding="UTF-8"?><TileMapService version="1.0.0" xmlns="http://tms.osgeo.org/1.0.0"><Title>Tiles</Title><TileMaps>{parts}</TileMaps></TileMapService>'
 
 
+def _in_json(text: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    whole = F.to_json(F.struct(text.alias("v")))  # {"v":"..."}
+    return whole.substr(F.lit(7), F.length(whole) - 8)
+
+
 def tilejson(layers: DataFrame, base: str = "http://localhost:8080") -> DataFrame:
     """name, json: TileJSON 3.0.0 of each layer, numbers with 6 digits."""
     num = lambda c: F.format_string("%.6f", c)
     raster = F.col("kind") == "raster"
+    name = _in_json(F.col("name"))
     fmt = F.when(raster, "png").otherwise("geojson")
     zoom = F.floor(F.col("max_zoom") / 2).cast("string")  # from zoom 0
     json = F.concat(
-        F.lit('{"tilejson":"3.0.0","name":"'), "name", F.lit('","description":"'), "kind", F.lit(" tile layer for "), "name", F.lit('","version":"1.0.0","attribution":"","scheme":"xyz","tiles":["'),
-        F.lit(f"{base}/api/tiles/"), "name", F.lit("/"), fmt, F.lit('/{z}/{x}/{y}"],"minzoom":0,"maxzoom":'), F.col("max_zoom").cast("string"),
+        F.lit('{"tilejson":"3.0.0","name":"'), name, F.lit('","description":"'), "kind", F.lit(" tile layer for "), name, F.lit('","version":"1.0.0","attribution":"","scheme":"xyz","tiles":["'),
+        F.lit(f"{base}/api/tiles/"), name, F.lit("/"), fmt, F.lit('/{z}/{x}/{y}"],"minzoom":0,"maxzoom":'), F.col("max_zoom").cast("string"),
         F.lit(',"bounds":['), F.concat_ws(",", num("w"), num("s"), num("e"), num("n")), F.lit('],"center":['), F.concat_ws(",", num((F.col("w") + F.col("e")) / 2), num((F.col("s") + F.col("n")) / 2), zoom),
         F.lit('],"format":"'), fmt, F.lit('","type":"'), "kind", F.lit('"}'),
     )
     return layers.select("name", json.alias("json"))
 
 
-TEMPLATES = ["/api/tiles/{filename}/info", "/api/tiles/{filename}/png/{z}/{x}/{y}", "/api/tiles/{filename}/geojson/{z}/{x}/{y}"]
+TEMPLATES = ["/api/tiles/{filename}/info", "/api/tiles/{filename}/png/{z}/{x}/{y}", "/api/tiles/{filename}/webp/{z}/{x}/{y}", "/api/tiles/{filename}/geojson/{z}/{x}/{y}"]
 
 
 def api_paths(layers: DataFrame) -> DataFrame:
@@ -131,11 +138,43 @@ def api_paths(layers: DataFrame) -> DataFrame:
     from quadrel.functions import paths
 
     rows = layers.withColumn("template", F.explode(F.array(*map(F.lit, TEMPLATES))))
-    ok = ~(F.col("template").contains("/png/") & (F.col("kind") != "raster")) & ~(F.col("template").contains("/geojson/") & (F.col("kind") != "vector"))
-    base = F.when(F.col("template").contains("/png/"), "get_raster_tile").when(F.col("template").contains("/geojson/"), "get_vector_tile").otherwise("get_tile_info")
+    of = lambda kind: F.col("template").contains(f"/{kind}/")
+    ok = ~((of("png") | of("webp")) & (F.col("kind") != "raster")) & ~(of("geojson") & (F.col("kind") != "vector"))
+    base = F.when(of("png"), "get_raster_tile").when(of("webp"), "get_raster_tile_webp").when(F.col("template").contains("/geojson/"), "get_vector_tile").otherwise("get_tile_info")
     return rows.where(ok).select(F.replace("template", F.lit("{filename}"), F.col("name")).alias("path"), "name", paths.operation_id(base, F.col("name")).alias("operation_id"))
 
 
+#: Routes of the service that are not about one file: method, path, operation, summary.
+ROUTES = [
+    ("get", "/health", "health", "Whether the service runs"),
+    ("get", "/api/sources", "list_sources", "Mounted sources"),
+    ("get", "/api/geo-files", "list_geo_files", "Names, paths and kinds of all sources"),
+    ("post", "/api/mount", "mount", "Mount a file"),
+    ("delete", "/api/unmount/{name}", "unmount", "Unmount a source"),
+    ("post", "/api/batch-tiles", "batch_tiles", "Render several tiles"),
+]
+_TYPES = {"png": "image/png", "webp": "image/webp", "geojson": "application/geo+json"}
+
+
+def openapi(layers: DataFrame, title: str = "Tiles", version: str = "1.0.0", base: str = "http://localhost:8080") -> str:
+    """The OpenAPI 3.0 document: the service's own routes and a concrete path for each source."""
+    import json
+    import re
+
+    def operation(name: str, summary: str, path: str, kind: str) -> dict:
+        numbers = {"z", "x", "y"}
+        params = [{"name": p, "in": "path", "required": True, "schema": {"type": "integer" if p in numbers else "string"}} for p in re.findall(r"{(\w+)}", path)]
+        return {"operationId": name, "summary": summary, "parameters": params, "responses": {"200": {"description": "OK", "content": {kind: {}}}, "404": {"description": "Not found"}}}
+
+    found: dict[str, dict] = {}
+    for method, path, name, summary in ROUTES:
+        found.setdefault(path, {})[method] = operation(name, summary, path, "application/json")
+    for r in api_paths(layers).orderBy("path").toLocalIterator():
+        kind = next((t for k, t in _TYPES.items() if f"/{k}/" in r.path), "application/json")
+        found.setdefault(r.path, {})["get"] = operation(r.operation_id, r.name, r.path[len(f"/api/tiles/{r.name}") :], kind)
+    return json.dumps({"openapi": "3.0.3", "info": {"title": title, "version": version}, "servers": [{"url": base}], "paths": found}, ensure_ascii=False)
+
+
 def base_url(host: Column) -> Column:
     """Address that documents name, from a request's Host header."""
     return F.concat(F.lit("http://"), F.coalesce(F.when(F.trim(host) != "", F.trim(host)), F.lit("localhost:8080")))
@@ -162,5 +201,6 @@ def check_map_request(params: Column) -> Column:
 
 def exception_xml(code: str, text: str) -> str:
     from xml.sax.saxutils import escape as esc
+    from xml.sax.saxutils import quoteattr
 
-    return f'<?xml version="1.0" encoding="UTF-8"?><ServiceExceptionReport version="1.3.0" xmlns="http://www.opengis.net/ogc"><ServiceException code="{esc(code)}">{esc(text)}</ServiceException></ServiceExceptionReport>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><ServiceExceptionReport version="1.3.0" xmlns="http://www.opengis.net/ogc"><ServiceException code={quoteattr(code)}>{esc(text)}</ServiceException></ServiceExceptionReport>'

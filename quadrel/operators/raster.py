@@ -34,6 +34,17 @@ def band_stats(px: DataFrame, by: list[str], sentinel: Column | None = None) ->
     return px.groupBy(*by).agg(F.count(v).alias("n"), F.coalesce(F.min(v), zero).alias("min_v"), F.coalesce(F.max(v), zero).alias("max_v"), F.coalesce(F.avg(v), zero).alias("mean_v"), F.coalesce(F.stddev_pop(v), zero).alias("std_v"))
 
 
+def first_n(px: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group: whole runs of order[0] by their counts, and only the run that holds the n-th row is ranked."""
+    keys, head = ", ".join(by), order[0]
+    runs = px.groupBy(*by, head).agg(F.count(F.lit(1)).alias("_in"))
+    runs = runs.withColumn("_before", F.expr(f"sum(_in) over (partition by {keys} order by {head}) - _in")).where(F.col("_before") < n)
+    near = px.join(runs, [*by, head])
+    whole = F.col("_before") + F.col("_in") <= n
+    last = near.where(~whole).withColumn("_i", F.expr(f"row_number() over (partition by {keys}, {head} order by {', '.join(order[1:] or order)})")).where(F.col("_before") + F.col("_i") <= n).drop("_i")
+    return near.where(whole).unionByName(last).drop("_in", "_before")
+
+
 #: Equal parts of a band's value range; only the parts that hold a percentile are ranked.
 PARTS = 1024
 
@@ -49,11 +60,15 @@ def percentiles(px: DataFrame, by: list[str], low: float = 0.02, high: float = 0
     keys = ", ".join(by)
     px = valid(px)
     if sample_cap is not None:
-        px = px.withColumn("_i", F.expr(f"row_number() over (partition by {keys} order by {', '.join(order or ['row', 'col'])})")).where(F.col("_i") <= sample_cap)
+        px = first_n(px, by, order or ["row", "col"], sample_cap)
     counts = px.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_n"))
-    bands = counts.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.sum("_n").alias("_all"))
+    # The parts divide what lies between two quantiles of the distinct values, so that a few far values do not
+    # widen them; the first and the last part take the rest. Any ascending parts give the exact rank.
+    cut = F.percentile_approx("v", F.array(F.lit(0.001), F.lit(0.999)), F.lit(10_000))
+    bands = counts.groupBy(*by).agg(cut.alias("_cut"), F.sum("_n").alias("_all")).select(*by, F.get("_cut", F.lit(0)).alias("_lo"), F.get("_cut", F.lit(1)).alias("_hi"), "_all")
     span = F.col("_hi") - F.col("_lo")
-    part = F.when(span > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / span * F.lit(float(PARTS))), F.lit(PARTS - 1))).otherwise(F.lit(0))
+    scaled = F.greatest(F.least((F.col("v") - F.col("_lo")) / span * F.lit(float(PARTS - 2)), F.lit(float(PARTS - 2))), F.lit(-1.0))
+    part = F.when(span > 0, F.floor(scaled) + 1).otherwise(F.when(F.col("v") < F.col("_lo"), 0).when(F.col("v") == F.col("_lo"), 1).otherwise(2))
     parted = counts.join(bands, by).withColumn("_part", part.cast("int"))
     sums = parted.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_all"))
     sums = sums.withColumn("_start", F.expr(f"sum(_in) over (partition by {keys} order by _part) - _in"))

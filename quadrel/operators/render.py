@@ -12,12 +12,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrel.functions import grid, projection
 from quadrel.operators import raster
-from quadrel.sources import png
+from quadrel.sources import png, webp
+
+
+#: Side of the blocks in which a map is drawn.
+MAP_BLOCK = 512
 
 
 @dataclass
@@ -55,19 +59,29 @@ def chunks(px: DataFrame, by: list[str], size: int) -> DataFrame:
 _BATCH = "i int, z int, x long, y long, data binary, rendered int, error string"
 
 
-def batch(jobs: DataFrame, chunk_table: DataFrame, image: Image, chunk_size: int, mode: str = "nearest", size: int = 256, raw: bool = False) -> DataFrame:
-    """Render jobs (i, z, x, y): the PNG (or raw RGBA) bytes, the pixels drawn, and an error or null.
+def batch(jobs: DataFrame, chunk_table: DataFrame, image: Image, chunk_size: int, mode: str = "nearest", size: int = 256, raw: bool = False, form: str = "png") -> DataFrame:
+    """Render jobs (i, z, x, y): the PNG or WebP (or raw RGBA) bytes, the pixels drawn, and an error or null.
 
     A job that fails does not stop the others.
     """
     w = raster.window(jobs.select("i", "z", "x", "y"), image.corners, image.width, image.height, image.code)
     span = lambda off, n: F.sequence(F.expr(f"cast({off} div {chunk_size} as int)"), F.expr(f"cast(({off} + {n} - 1) div {chunk_size} as int)"))
     asked = w.withColumn("chunk_row", F.explode(span("row_off", "src_h"))).withColumn("chunk_col", F.explode(span("col_off", "src_w")))
-    rows = asked.join(chunk_table, ["chunk_row", "chunk_col"], "left").select("i", "z", "x", "y", "row_off", "col_off", "src_h", "src_w", "step", "band", "chunk_row", "chunk_col", "pixels")
-    return rows.groupBy("i").applyInArrow(_render(image, chunk_size, mode, size, raw), _BATCH)
+    rows = asked.join(chunk_table, ["chunk_row", "chunk_col"], "left")
+    if mode == "nearest":  # what the step skips does not reach the shuffle
+        rows = rows.withColumn("pixels", _decimated(chunk_size, F.col("row_off"), F.col("col_off"), F.col("step")))
+    rows = rows.select("i", "z", "x", "y", "row_off", "col_off", "src_h", "src_w", "step", "band", "chunk_row", "chunk_col", "pixels")
+    return rows.groupBy("i").applyInArrow(_render(image, chunk_size, mode, size, raw, form), _BATCH)
+
 
+def _decimated(chunk_size: int, row_off: Column, col_off: Column, step: Column) -> Column:
+    """The pixels of a chunk on every step-th row and column from a window's corner."""
+    row = lambda p: F.col("chunk_row") * chunk_size + F.floor(p / chunk_size) - row_off
+    col = lambda p: F.col("chunk_col") * chunk_size + p % chunk_size - col_off
+    return F.when(step > 1, F.filter("pixels", lambda s: (F.pmod(row(s["p"]), step) == 0) & (F.pmod(col(s["p"]), step) == 0))).otherwise(F.col("pixels"))
 
-def _render(image: Image, chunk_size: int, mode: str, size: int, raw: bool):
+
+def _render(image: Image, chunk_size: int, mode: str, size: int, raw: bool, form: str = "png"):
     def run(table: pa.Table) -> pa.Table:
         first = {c: table.column(c)[0].as_py() for c in ("i", "z", "x", "y")}
         data = error = None
@@ -75,7 +89,7 @@ def _render(image: Image, chunk_size: int, mode: str, size: int, raw: bool):
         try:
             rgba = _draw(table, image, chunk_size, mode, size)
             n = int((rgba[:, :, 3] > 0).sum())
-            data = rgba.tobytes() if raw else png.encode(rgba)
+            data = rgba.tobytes() if raw else {"png": png, "webp": webp}[form].encode(rgba)
         except Exception as e:  # noqa: BLE001  reported for this tile
             error = f"{type(e).__name__}: {e}"
         row = [first["i"], first["z"], first["x"], first["y"], data, n, error]
@@ -117,7 +131,7 @@ def paint(table: pa.Table, image: Image, chunk_size: int, mode: str, window: tup
         if b not in win:
             return np.zeros_like(out)
         v = sample(win[b], (row - row0) / step, (col - col0) / step, mode)
-        data = np.isfinite(v)
+        data = np.isfinite(v)  # no sample outside the window
         if image.sentinel is not None and math.isfinite(image.sentinel):
             data &= v != image.sentinel
         lo, hi = image.limits[b - 1]
@@ -142,18 +156,44 @@ def map_image(chunk_table: DataFrame, image: Image, chunk_size: int, bbox: tuple
     h, w = int(r.max() - r.min()) + 1, int(c.max() - c.min()) + 1
     step = max(1, math.ceil(math.sqrt(h * w / raster.MAX_READ)))
     window = (int(r.min()), int(c.min()), h, w, step)
-    near = chunk_table.where(F.col("chunk_row").between(window[0] // chunk_size, int(r.max()) // chunk_size) & F.col("chunk_col").between(window[1] // chunk_size, int(c.max()) // chunk_size))
-
-    def run(table: pa.Table) -> pa.Table:
-        rgba = paint(table, image, chunk_size, "nearest", window, row, col)
+    # The map is drawn in blocks, each from the chunks that it can touch, and put together from the drawn blocks.
+    blocks = []
+    for top in range(0, height, MAP_BLOCK):
+        for left in range(0, width, MAP_BLOCK):
+            part = slice(top, top + MAP_BLOCK), slice(left, left + MAP_BLOCK)
+            if ok[part].any():
+                r, c = row[part][ok[part]].astype(int), col[part][ok[part]].astype(int)
+                blocks.append((top, left, *(int(v) // chunk_size for v in (r.min(), r.max(), c.min(), c.max()))))
+    spark = chunk_table.sparkSession
+    spans = spark.createDataFrame(blocks, "top int, left int, r0 int, r1 int, c0 int, c1 int")
+    near = spans.select("top", "left", F.explode(F.sequence("r0", "r1")).alias("chunk_row"), "c0", "c1").select("top", "left", "chunk_row", F.explode(F.sequence("c0", "c1")).alias("chunk_col"))
+    near = near.join(chunk_table.select("band", "chunk_row", "chunk_col", "pixels"), ["chunk_row", "chunk_col"])
+    near = near.withColumn("pixels", _decimated(chunk_size, F.lit(window[0]), F.lit(window[1]), F.lit(step)))
+
+    def draw(table: pa.Table) -> pa.Table:
+        top, left = (table.column(c)[0].as_py() for c in ("top", "left"))
+        part = slice(top, top + MAP_BLOCK), slice(left, left + MAP_BLOCK)
+        # Only the part of the window that this block reads, on the same steps.
+        r, c = row[part][ok[part]].astype(int), col[part][ok[part]].astype(int)
+        r0, c0 = (window[i] + (int(v.min()) - window[i]) // step * step for i, v in ((0, r), (1, c)))
+        rgba = paint(table, image, chunk_size, "nearest", (r0, c0, int(r.max()) - r0 + 1, int(c.max()) - c0 + 1, step), row[part], col[part])
+        return pa.table({"top": pa.array([top], pa.int32()), "left": pa.array([left], pa.int32()), "part": pa.array([rgba.tobytes()], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        rgba = np.zeros((height, width, 4), np.uint8)
+        for top, left, part in zip(*(table.column(c).to_pylist() for c in ("top", "left", "part")), strict=True):
+            if part is not None:
+                h, w = min(MAP_BLOCK, height - top), min(MAP_BLOCK, width - left)
+                rgba[top : top + h, left : left + w] = np.frombuffer(part, np.uint8).reshape(h, w, 4)
         n = int((rgba[:, :, 3] > 0).sum())
         if not transparent:
             rgba[rgba[:, :, 3] == 0] = 255
         return pa.table({"data": pa.array([rgba.tobytes() if raw else png.encode(rgba)], pa.binary()), "rendered": pa.array([n], pa.int32())})
 
-    # An image without chunks there still gives a map: a row without pixels stands for it.
-    none = chunk_table.sparkSession.range(1).select(F.lit(None).cast("int").alias("band"), F.lit(0).alias("chunk_row"), F.lit(0).alias("chunk_col"), F.lit(None).cast(chunk_table.schema["pixels"].dataType).alias("pixels"))
-    return near.select("band", "chunk_row", "chunk_col", "pixels").unionByName(none).groupBy(F.lit(0).alias("one")).applyInArrow(run, "data binary, rendered int")
+    drawn = near.groupBy("top", "left").applyInArrow(draw, "top int, left int, part binary")
+    # A map without any pixel is still a map: a row without a part stands for it.
+    none = spark.range(1).select(F.lit(None).cast("int").alias("top"), F.lit(None).cast("int").alias("left"), F.lit(None).cast("binary").alias("part"))
+    return drawn.unionByName(none).groupBy(F.lit(0).alias("one")).applyInArrow(join, "data binary, rendered int")
 
 
 def _positions(image: Image, z: int, x: int, y: int, size: int) -> tuple[np.ndarray, np.ndarray]:

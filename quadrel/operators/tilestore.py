@@ -55,6 +55,67 @@ def size(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def remove(doomed: DataFrame) -> int:
+    """Delete the files of `evict` (path) through Hadoop's file system; returns how many went."""
+    spark, n = doomed.sparkSession, 0
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in doomed.select("path").toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(r.path)
+        n += bool(path.getFileSystem(conf).delete(path, False))
+    return n
+
+
+class DiskCache:
+    """Encoded tiles as files of any Hadoop file system, below one folder; the tier behind `LruCache`.
+
+    Each `every` writes the folder is measured; above `max_bytes` the oldest files go until 80 % is left.
+    """
+
+    def __init__(self, spark, folder: str, max_bytes: int = 2 << 30, every: int = 10):
+        self.spark, self.folder, self.max_bytes, self.every = spark, folder.rstrip("/"), max_bytes, every
+        self.hits = self.misses = self._writes = 0
+
+    def _path(self, key):
+        import hashlib
+
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{hashlib.sha1(repr(key).encode()).hexdigest()}.tile")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def get(self, key) -> bytes | None:
+        path, fs = self._path(key)
+        if not fs.exists(path):
+            self.misses += 1
+            return None
+        self.hits += 1
+        stream = fs.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def put(self, key, data: bytes) -> None:
+        path, fs = self._path(key)
+        stream = fs.create(path, True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        self._writes += 1
+        if self._writes % self.every == 0:
+            self.trim()
+
+    def files(self) -> DataFrame:
+        rows = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.tile").load(self.folder)
+        return rows.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+    def trim(self) -> int:
+        return remove(evict(self.files(), self.max_bytes))
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class LruCache:
     """A byte-bounded cache of encoded tiles on the driver; counts hits and misses."""
 

@@ -128,7 +128,7 @@ def union_extent(spark, sf_dir):
 @query(
     "api_paths",
     f"""select replace(template,'{{filename}}',name) as path, name, op || '_' || regexp_replace(name,'[^A-Za-z0-9_]','_','g') as operation_id from ({LAYERS}),
-    (values ('/api/tiles/{{filename}}/info','get_tile_info',''), ('/api/tiles/{{filename}}/png/{{z}}/{{x}}/{{y}}','get_raster_tile','raster'), ('/api/tiles/{{filename}}/geojson/{{z}}/{{x}}/{{y}}','get_vector_tile','vector')) t(template, op, need) where need = '' or need = kind order by path""",
+    (values ('/api/tiles/{{filename}}/info','get_tile_info',''), ('/api/tiles/{{filename}}/png/{{z}}/{{x}}/{{y}}','get_raster_tile','raster'), ('/api/tiles/{{filename}}/webp/{{z}}/{{x}}/{{y}}','get_raster_tile_webp','raster'), ('/api/tiles/{{filename}}/geojson/{{z}}/{{x}}/{{y}}','get_vector_tile','vector')) t(template, op, need) where need = '' or need = kind order by path""",
 )
 def api_paths(spark, sf_dir):
     return ogc.api_paths(fixtures.layers(spark, sf_dir)).orderBy("path")
@@ -171,7 +171,11 @@ def requests_by_hour(spark, sf_dir):
 _MIMES = ["a.png", "b.JPG", "c", "d.geojson", "e.tar.gz", "f.html", "g.svg"]
 
 
-@query("mime_type", "select path, mime from (values " + ", ".join(f"('{p}', '{paths.MIME.get(p.rsplit('.', 1)[-1].lower() if '.' in p else '', 'application/octet-stream')}')" for p in _MIMES) + ") t(path, mime)")
+@query(
+    "mime_type",
+    """select path, case when path not like '%.%' then 'application/octet-stream' when path ilike '%.png' then 'image/png' when path ilike '%.jpg' or path ilike '%.jpeg' then 'image/jpeg' when path ilike '%.geojson' then 'application/geo+json'
+    when path ilike '%.html' then 'text/html' when path ilike '%.svg' then 'image/svg+xml' else 'application/octet-stream' end as mime from (values ('a.png'), ('b.JPG'), ('c'), ('d.geojson'), ('e.tar.gz'), ('f.html'), ('g.svg')) t(path)""",
+)
 def mime_type(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in _MIMES], "path string").select("path", paths.mime(F.col("path")).alias("mime"))
 

@@ -44,6 +44,12 @@ class Raster:
     levels: list[dict]
     chunks: dict[int, DataFrame]
     stats: DataFrame
+    limits: dict[tuple, dict] = field(default_factory=dict)
+
+    def close(self) -> None:
+        """Give back what is kept of it."""
+        for table in (*self.chunks.values(), self.stats):
+            table.unpersist()
 
     @property
     def code(self) -> int | None:
@@ -67,18 +73,30 @@ class Raster:
 class TileService:
     """Files by name, and what can be asked of them."""
 
-    def __init__(self, spark: SparkSession, folders: list[str] | None = None, config: dict | None = None):
+    #: Opened rasters; the one that was not asked for the longest is closed first.
+    MOST_RASTERS = 50
+
+    def __init__(self, spark: SparkSession, folders: list[str] | None = None, config: dict | None = None, tile_folder: str | None = None):
         self.spark = spark
         self.catalog = catalog.Catalog(spark)
         self.cache = tilestore.LruCache()
+        self.disk = tilestore.DiskCache(spark, tile_folder) if tile_folder else None
         self._rasters: dict[str, Raster] = {}
+        self._hashes: dict[str, str] = {}
         self._features: dict[str, DataFrame] = {}
-        self.catalog.subscribe(lambda _, name: (self._rasters.pop(name, None), self._features.pop(name, None), self.cache.clear()))
+        self.catalog.subscribe(lambda _, name: self._forget(name))
         if config:
             self.catalog.configure(config)
         if folders:
             self.catalog.scan(folders)
 
+    def _forget(self, name: str) -> None:
+        if name in self._rasters:
+            self._rasters.pop(name).close()
+        self._features.pop(name, None)
+        self._hashes.pop(name, None)
+        self.cache.clear()
+
     def health(self) -> str:
         return "ok"
 
@@ -87,9 +105,12 @@ class TileService:
     def raster(self, name: str, on_progress=lambda event, detail: None) -> Raster:
         """Open a raster; on_progress(event, detail) follows its steps."""
         if name in self._rasters:
-            return self._rasters[name]
+            self._rasters[name] = found = self._rasters.pop(name)  # the last one asked for
+            return found
         path = self.catalog.get(name, "raster")["path"]
         on_progress("file_opened", path)
+        self.spark.catalog.refreshByPath(path)  # what was kept of the file as it was before
+        path = self._parts(path)
         meta = readers.geotiff_meta(self.spark, path).first().asDict()
         if meta["error"]:
             raise ValueError(meta["error"])
@@ -100,8 +121,11 @@ class TileService:
         sentinel = self.sentinel(meta)
         pixels = tables[0].select("band", F.explode("pixels").alias("p")).select("band", "p.v")
         found = Raster(meta, levels, tables, raster.band_stats(pixels, ["band"], F.lit(sentinel).cast("double")).cache())
-        on_progress("stats_complete", meta["bands"])
+        on_progress("chunks_loaded", tables[0].count())
+        on_progress("stats_complete", found.stats.count())
         self._rasters[name] = found
+        while len(self._rasters) > self.MOST_RASTERS:
+            self._rasters.pop(next(iter(self._rasters))).close()
         on_progress("ready", name)
         return found
 
@@ -121,13 +145,17 @@ class TileService:
         return self._features[name]
 
     def _parts(self, path: str) -> list[str]:
-        """A file and, for a shapefile, the files beside it that are there."""
-        if not path.lower().endswith(".shp"):
+        """A file and, for a shapefile or a TIFF, the files beside it that are there."""
+        stem, _, end = path.rpartition(".")
+        own = {"shp": ("shp", "dbf", "prj"), "tif": ("tfw", "ovr"), "tiff": ("tfw", "ovr")}.get(end.lower())
+        if own is None:
             return [path]
-        stem = path[:-4]
         folder, _, base = stem.rpartition("/")
-        beside = readers.files(self.spark, folder or ".", f"{base}.*").select("path").collect()
-        return [r.path for r in beside if r.path.rsplit(".", 1)[-1].lower() in ("shp", "dbf", "prj")]
+        for c in "\\[]{}*?":  # a file's name is no pattern
+            base = base.replace(c, "\\" + c)
+        beside = readers.files(self.spark, folder or "/", f"{base}.*").select("path").collect()
+        names = {f"{path.rpartition('/')[2]}"} | {f"{x}.{e}" for x in (stem.rpartition("/")[2], path.rpartition("/")[2]) for e in own}
+        return [r.path for r in beside if _file_name(r.path).lower() in {n.lower() for n in names} and (end.lower() == "shp" or _file_name(r.path) == path.rpartition("/")[2] or _file_name(r.path).rsplit(".", 1)[-1].lower() in own)]
 
     def info(self, name: str) -> dict:
         """Kind, zooms, extent in degrees and in the source's own CRS, or the error."""
@@ -136,7 +164,10 @@ class TileService:
             e = vector.extent(self.features(name), []).first()
             box = list(e) if e is not None else [0.0] * 4
             return {"name": name, "kind": "vector", "min_zoom": 0, "max_zoom": ogc.TOP_ZOOM, "crs": "EPSG:4326", "extent": box, "native_crs": "EPSG:4326", "native_extent": box, "error": None}
-        meta = readers.geotiff_meta(self.spark, row["path"]).first()
+        return self._raster_info(name, readers.geotiff_meta(self.spark, self._parts(row["path"])).first())
+
+    @staticmethod
+    def _raster_info(name: str, meta) -> dict:
         code = meta["epsg"]
         native = None
         if meta["gt"]:
@@ -155,8 +186,13 @@ class TileService:
     def layers(self) -> DataFrame:
         """The table that service documents are made of; sources that cannot be read are left out."""
         rows = []
+        listed = {r.name: r for r in self.sources().select("name", "path", "kind").collect()}  # the catalogue
+        rasters = [r.path for r in listed.values() if r.kind == "raster"]
+        # One job reads the headers of all rasters.
+        metas = {_plain(m.path): m for m in readers.geotiff_meta(self.spark, rasters).collect()} if rasters else {}
         for name in self.catalog.names():
-            i = self.info(name)
+            row = listed[name]
+            i = self._raster_info(name, metas[_plain(row.path)]) if row.kind == "raster" and _plain(row.path) in metas else self.info(name)
             if i["extent"] and i["error"] is None:
                 rows.append((name, i["kind"], *(float(v) for v in i["extent"]), int(i["max_zoom"])))
         return self.spark.createDataFrame(rows, "name string, kind string, w double, s double, e double, n double, max_zoom int")
@@ -167,11 +203,14 @@ class TileService:
         if r.code is None:
             raise ValueError("the raster's CRS is unknown")
         by = ["band"]
-        share = None
-        if o.stretch == "percentile":
-            pixels = r.chunks[0].select("band", F.explode("pixels").alias("p")).select("band", "p.v")
-            share = raster.percentiles(raster.valid(pixels, F.lit(self.sentinel(r.meta)).cast("double")), by, o.min_percent / 100, o.max_percent / 100)
-        limits = {row.band: (row.lo, row.hi) for row in raster.bounds(r.stats, by, o.stretch, o.std_dev_factor, share).collect()}  # a row for each band
+        key = (o.stretch, o.std_dev_factor, o.min_percent, o.max_percent)
+        if key not in r.limits:
+            share = None
+            if o.stretch == "percentile":
+                pixels = r.chunks[0].select("band", F.explode("pixels").alias("p")).select("band", "p.v")
+                share = raster.percentiles(raster.valid(pixels, F.lit(self.sentinel(r.meta)).cast("double")), by, o.min_percent / 100, o.max_percent / 100)
+            r.limits[key] = {row.band: (row.lo, row.hi) for row in raster.bounds(r.stats, by, o.stretch, o.std_dev_factor, share).collect()}  # a row for each band
+        limits = r.limits[key]
         x = r.levels[level]
         return render.Image(r.corners, x["width"], x["height"], [limits.get(b, (0.0, 0.0)) for b in range(1, r.meta["bands"] + 1)], self.sentinel(r.meta), o.bands, r.code, o.affine)
 
@@ -184,7 +223,7 @@ class TileService:
             return 0
         return min(range(len(r.levels)), key=lambda i: (abs(base * r.meta["width"] / r.levels[i]["width"] - tile), i))
 
-    def raster_tiles(self, name: str, tiles: list[tuple[int, int, int]], options: Options | None = None, raw: bool = False) -> DataFrame:
+    def raster_tiles(self, name: str, tiles: list[tuple[int, int, int]], options: Options | None = None, raw: bool = False, form: str = "png") -> DataFrame:
         """Tiles (z, x, y) of a raster in the order asked: i, z, x, y, data, rendered, error."""
         o = options or Options()
         if not o.bands or min(o.bands) < 1:
@@ -198,21 +237,33 @@ class TileService:
             by_level.setdefault(self.level(r, z), []).append((i, z, x, y))
         for level, asked in by_level.items():
             jobs = self.spark.createDataFrame(asked, "i int, z int, x long, y long")
-            done = render.batch(jobs, r.chunks[level], self._image(r, level, o), CHUNK, o.resampling, 256, raw)
+            done = render.batch(jobs, r.chunks[level], self._image(r, level, o), CHUNK, o.resampling, 256, raw, form)
             parts = done if parts is None else parts.unionByName(done)
         return parts.orderBy("i")
 
-    def raster_tile(self, name: str, z: int, x: int, y: int, options: Options | None = None) -> bytes:
-        """One PNG tile, kept in memory by all that it depends on."""
+    def content_hash(self, name: str) -> str:
+        """Identity of a source's bytes, from its length and its ends; read once while it is mounted."""
+        if name not in self._hashes:
+            self._hashes[name] = paths.file_hash(self.spark, self.catalog.get(name)["path"])
+        return self._hashes[name]
+
+    def raster_tile(self, name: str, z: int, x: int, y: int, options: Options | None = None, form: str = "png") -> bytes:
+        """One tile, kept in memory, and on disk if there is a folder for it, by all that it depends on."""
         o = options or Options()
-        key = (name, z, x, y, tuple(o.bands), o.resampling, o.stretch, o.std_dev_factor, o.min_percent, o.max_percent, o.affine)
+        key = (name, self.content_hash(name), form, z, x, y, tuple(o.bands), o.resampling, o.stretch, o.std_dev_factor, o.min_percent, o.max_percent, o.affine)
         data = self.cache.get(key)
+        if data is None and self.disk:
+            data = self.disk.get(key)
+            if data is not None:
+                self.cache.put(key, data)
         if data is None:
-            row = self.raster_tiles(name, [(z, x, y)], o).first()
+            row = self.raster_tiles(name, [(z, x, y)], o, form=form).first()
             if row.error:
                 raise RuntimeError(row.error)
             data = bytes(row.data)
             self.cache.put(key, data)
+            if self.disk:
+                self.disk.put(key, data)
         return data
 
     def batch(self, bases: list[str], filename: str, tiles: list[tuple[int, int, int]], options: Options | None = None) -> DataFrame:
@@ -223,8 +274,13 @@ class TileService:
             self.catalog.mount(name, path)
         return self.raster_tiles(name, tiles, options).withColumn("n_bytes", F.coalesce(F.octet_length("data"), F.lit(0)))
 
-    def raster_tile_webp(self, *_args, **_options) -> bytes:
-        raise NotImplementedError("WebP needs an encoder that is not part of this package; use PNG")
+    def raster_tile_webp(self, name: str, z: int, x: int, y: int, options: Options | None = None) -> bytes:
+        """One tile as lossless WebP."""
+        return self.raster_tile(name, z, x, y, options, "webp")
+
+    def static(self, bases: list[str], name: str) -> DataFrame:
+        """One row: path, mime, size, content of a file below the bases."""
+        return catalog.static_file(self.spark, bases, name)
 
     def tms_tile(self, name: str, z: int, x: int, y: int, options: Options | None = None) -> bytes:
         """A tile counted from the south."""
@@ -293,11 +349,28 @@ class TileService:
         """Concrete paths of all sources."""
         return ogc.api_paths(self.geo_files()).orderBy("path")
 
+    def openapi(self) -> str:
+        """The OpenAPI document of the service and its sources."""
+        return ogc.openapi(self.geo_files())
+
     def hashes(self, folder: str) -> DataFrame:
         """Content identity of the files of a folder, for the keys of a tile store."""
         return readers.files(self.spark, folder).select("path", "size", paths.content_hash(F.col("content")).alias("content_hash"))
 
 
+def _file_name(path: str) -> str:
+    """Last part of a path or of a URI as Spark gives it."""
+    from urllib.parse import unquote
+
+    last = path.rpartition("/")[2]
+    return unquote(last) if path.startswith("file:") and "%" in last else last
+
+
+def _plain(path: str) -> str:
+    """A local path without its scheme; other URIs as they are."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 def grid_zoom(across: float, width: int) -> int:
     """Zoom whose pixels are nearest to those of a map, 0 to 22."""
     import math

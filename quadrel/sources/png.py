@@ -44,7 +44,3 @@ def decode(data: bytes) -> np.ndarray:
         raise ValueError("filtered lines are not read")
     return lines[:, 1:].reshape(*shape, 4)
 
-
-def webp(_: np.ndarray) -> bytes:
-    """There is no WebP encoder here."""
-    raise NotImplementedError("WebP needs an encoder that is not part of this package; use PNG")

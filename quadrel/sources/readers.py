@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
@@ -63,9 +64,18 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _META = "path string, width int, height int, bands int, dtype string, nodata string, gt array<double>, crs_class string, epsg int, n_levels int, error string"
 
 
-def _meta(path: str, content: bytes, world: bytes | None) -> Iterator[tuple]:
+def _info(content: bytes, ovr: bytes | None, world: bytes | None = None) -> tiff.Info:
+    """Images of a file, with those beside it unless that file cannot be read."""
+    text = world.decode("latin-1") if world else None
     try:
-        x = tiff.read_info(content, world.decode("latin-1") if world else None)
+        return tiff.read_info(content, text, ovr)
+    except (ValueError, IndexError, KeyError, struct.error):
+        return tiff.read_info(content, text)
+
+
+def _meta(path: str, content: bytes, world: bytes | None, ovr: bytes | None) -> Iterator[tuple]:
+    try:
+        x = _info(content, ovr, world)
         b = x.levels[0]
         yield (path, b.width, b.height, b.bands, b.dtype[1:], x.nodata, x.transform, x.crs_class, x.epsg, len(x.levels), None)
     except Exception as e:  # noqa: BLE001  the file's fault is its row's error
@@ -73,26 +83,29 @@ def _meta(path: str, content: bytes, world: bytes | None) -> Iterator[tuple]:
 
 
 def _with_world(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """TIFF files with their world files, by the path without extension."""
+    """TIFF files with the world files and external overviews beside them: a.tif, a.tfw, a.tif.ovr or a.ovr."""
     every = files(spark, paths)
     tifs = every.where(F.lower("path").rlike("[.]tiff?$")).withColumn("stem", stem(F.col("path")))
     worlds = every.where(F.lower("path").rlike("[.]tfw$")).select(stem(F.col("path")).alias("stem"), F.col("content").alias("world"))
-    return tifs.join(worlds, "stem", "left").select("path", "content", "world")
+    ovrs = every.where(F.lower("path").rlike("[.]ovr$")).select(stem(F.col("path")).alias("of"), F.col("content").alias("ovr"))
+    own = ovrs.where(F.lower("of").rlike("[.]tiff?$")).select(F.col("of").alias("path"), F.col("ovr").alias("own"))
+    plain = ovrs.where(~F.lower("of").rlike("[.]tiff?$")).withColumnRenamed("of", "stem")
+    return tifs.join(worlds, "stem", "left").join(plain, "stem", "left").join(own, "path", "left").select("path", "content", "world", F.coalesce("own", "ovr").alias("ovr"))
 
 
 def geotiff_meta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A row for each TIFF: its size, georeference, extent in degrees, greatest zoom, or the error."""
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.int32(), pa.string()]
     names = [c.split()[0] for c in _META.split(", ")]
-    rows = _with_world(spark, paths).mapInArrow(_rows(_meta, ["path", "content", "world"], names, types), _META)
+    rows = _with_world(spark, paths).mapInArrow(_rows(_meta, ["path", "content", "world", "ovr"], names, types), _META)
     extent = crs.raster_extent(F.col("gt"), F.col("width"), F.col("height"), F.col("epsg"))
     degrees = F.col("crs_class") != "Projected"
     return rows.withColumn("extent", extent).withColumn("max_zoom", grid.max_zoom(F.get("gt", F.lit(1)), degrees))
 
 
-def _levels(path: str, content: bytes) -> Iterator[tuple]:
+def _levels(path: str, content: bytes, ovr: bytes | None) -> Iterator[tuple]:
     try:
-        for i, x in enumerate(tiff.read_info(content).levels):
+        for i, x in enumerate(_info(content, ovr).levels):
             yield (path, i, x.width, x.height, "tile" if x.tiled else "strip", x.chunk_w, x.chunk_h, x.external)
     except (ValueError, IndexError, KeyError):
         return
@@ -103,28 +116,28 @@ def geotiff_levels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     names = ["path", "idx", "width", "height", "chunk_type", "chunk_w", "chunk_h", "external"]
     kinds = ["string", "int", "int", "int", "string", "int", "int", "boolean"]
     types = [pa.string(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 2, pa.bool_()]
-    return _with_world(spark, paths).mapInArrow(_rows(_levels, ["path", "content"], names, types), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return _with_world(spark, paths).mapInArrow(_rows(_levels, ["path", "content", "ovr"], names, types), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def geotiff_chunks(spark: SparkSession, paths: str | list[str], level: int = 0) -> DataFrame:
     """A row for each stored chunk and band of a level: path, band, row0, col0, w, h, values (row by row)."""
 
-    def parse(path: str, content: bytes) -> Iterator[tuple]:
+    def parse(path: str, content: bytes, ovr: bytes | None) -> Iterator[tuple]:
         try:
-            levels = tiff.read_info(content).levels
+            levels = _info(content, ovr).levels
         except (ValueError, IndexError, KeyError):
             return
         if level >= len(levels):
             return
         x = levels[level]
         for i in range(len(x.offsets)):
-            r, c, band, a = tiff.read_chunk(content, x, i)
+            r, c, band, a = tiff.read_chunk(ovr if x.external else content, x, i)
             for b in range(a.shape[2]):
                 yield (path, (b if band is None else band) + 1, r, c, a.shape[1], a.shape[0], a[:, :, b].ravel().tolist())
 
     names = ["path", "band", "row0", "col0", "w", "h", "values"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
-    return _with_world(spark, paths).mapInArrow(_rows(parse, ["path", "content"], names, types), "path string, band int, row0 long, col0 long, w int, h int, values array<double>")
+    return _with_world(spark, paths).mapInArrow(_rows(parse, ["path", "content", "ovr"], names, types), "path string, band int, row0 long, col0 long, w int, h int, values array<double>")
 
 
 def pixels(chunks: DataFrame) -> DataFrame:

@@ -122,6 +122,17 @@ def test_decimation(spark):
     assert [r[0] for r in df.select(raster.decimation(F.col("n"))).collect()] == [1, 1, 2, 4]
 
 
-def test_webp_is_named_as_missing():
-    with pytest.raises(NotImplementedError):
-        png.webp(np.zeros((1, 1, 4)))
+def test_percentiles_of_far_values(spark):
+    """A few values far out neither change the rank nor put all others into one part."""
+    v = [float(i % 1000) for i in range(5000)] + [1e300, -1e300, 1e12]
+    px = spark.createDataFrame([(1, i, x) for i, x in enumerate(v)] + [(2, 0, 7.0)], "band int, i long, v double")
+    got = {r.band: (r.lo, r.hi) for r in raster.percentiles(px, ["band"]).collect()}
+    v.sort()
+    assert got == {1: (v[int(0.02 * (len(v) - 1))], v[int(0.98 * (len(v) - 1))]), 2: (7.0, 7.0)}
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 25, 1000])
+def test_first_n(spark, n):
+    rows = [(b, r, c, float(r * 10 + c)) for b in (1, 2) for r in range(7) for c in range(9) if (r + c + b) % 5]
+    got = raster.first_n(spark.createDataFrame(rows, "band int, row long, col long, v double"), ["band"], ["row", "col"], n).collect()
+    assert sorted(map(tuple, got)) == sorted(x for b in (1, 2) for x in sorted(y for y in rows if y[0] == b)[:n])

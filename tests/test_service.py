@@ -3,12 +3,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrel.functions import grid, projection
 from quadrel.operators import catalog
 from quadrel.service import Options, TileService
 from quadrel.sources import png, tiff
 
+from test_webp import pixels as webp_pixels
+
 
 @pytest.fixture(scope="module")
 def service(spark, tmp_path_factory):
@@ -77,8 +80,8 @@ def test_stretches_and_cache(service):
             service.raster_tile("rgb.tif", *t, Options(**bad))
     with pytest.raises(ValueError):
         service.raster_tile("rgb.tif", 3, 8, 0)
-    with pytest.raises(NotImplementedError):
-        service.raster_tile_webp("rgb.tif", *t)
+    lossless = webp_pixels(service.raster_tile_webp("rgb.tif", *t))
+    assert (lossless == png.decode(pictures["minmax"])).all()
 
 
 def test_map(service):
@@ -99,13 +102,81 @@ def test_info_and_documents(service):
     assert json.loads(service.tilejson("utm.tif"))["format"] == "png"
     assert "rgb.tif" in service.wms_capabilities() and "bad.tif" not in service.wmts_capabilities()
     assert "units-per-pixel" in service.tms_layer("rgb.tif") and "global-mercator" in service.tms_root()
-    assert service.api_spec().count() == 2 * 4 and service.geo_files().count() == 4 and service.health() == "ok"
+    assert service.api_spec().count() == 3 * 3 + 2 and service.geo_files().count() == 4 and service.health() == "ok"
     with pytest.raises(catalog.WrongKind):
         service.tms_layer("f.geojson")
     with pytest.raises(catalog.WrongKind):
         service.features("rgb.tif")
 
 
+def test_openapi(service):
+    doc = json.loads(service.openapi())
+    assert doc["openapi"].startswith("3.") and "/api/batch-tiles" in doc["paths"]
+    tile = doc["paths"]["/api/tiles/rgb.tif/webp/{z}/{x}/{y}"]["get"]
+    assert [p["name"] for p in tile["parameters"]] == ["z", "x", "y"] and "image/webp" in tile["responses"]["200"]["content"]
+    names = [o["operationId"] for p in doc["paths"].values() for o in p.values()]
+    assert len(names) == len(set(names)) == 6 + 11
+
+
+def test_tiles_on_disk_and_content_in_the_key(spark, tmp_path):
+    a = np.arange(64, dtype="uint8").reshape(8, 8, 1)
+    file = tmp_path / "a.tif"
+    file.write_bytes(tiff.write([a], [0.0, 1.0, 0.0, 8.0, 0.0, -1.0], 4326))
+    one = TileService(spark, [str(tmp_path)], tile_folder=str(tmp_path / "tiles"))
+    first = one.raster_tile("a.tif", 3, 4, 3)
+    assert one.content_hash("a.tif") == {r.path.rsplit("/", 1)[-1]: r.content_hash for r in one.hashes(str(tmp_path)).collect()}["a.tif"]
+    two = TileService(spark, [str(tmp_path)], tile_folder=str(tmp_path / "tiles"))
+    assert two.raster_tile("a.tif", 3, 4, 3) == first and two.disk.hits == 1 and not two._rasters
+    file.write_bytes(tiff.write([a[::-1]], [0.0, 1.0, 0.0, 8.0, 0.0, -1.0], 4326))
+    three = TileService(spark, [str(tmp_path)], tile_folder=str(tmp_path / "tiles"))
+    assert three.raster_tile("a.tif", 3, 4, 3) != first and three.disk.misses == 1
+    assert three.disk.files().count() == 2
+    three.disk.max_bytes = len(first)
+    assert three.disk.trim() >= 1 and three.disk.files().count() <= 1
+
+
+def test_rasters_are_closed_in_turn(spark, tmp_path):
+    for n in "abc":
+        (tmp_path / f"{n}.tif").write_bytes(tiff.write([np.ones((4, 4, 1), "uint8")], [0.0, 1.0, 0.0, 4.0, 0.0, -1.0], 4326))
+    s = TileService(spark, [str(tmp_path)])
+    s.MOST_RASTERS = 2
+    for n in ("a.tif", "b.tif", "a.tif", "c.tif"):
+        s.raster(n)
+    assert list(s._rasters) == ["a.tif", "c.tif"]
+
+
+def test_external_overviews(spark, tmp_path):
+    a = np.random.default_rng(1).integers(1, 255, (600, 520, 1)).astype("uint8")
+    place = [10.0, 0.01, 0.0, 50.0, 0.0, -0.01]
+    for name, ovr in (("x[1].tif", "x[1].tif.ovr"), ("y.tif", "y.ovr")):
+        (tmp_path / name).write_bytes(tiff.write([a], place, 4326))
+        (tmp_path / ovr).write_bytes(tiff.write_overviews(a))
+    (tmp_path / "z.tif").write_bytes(tiff.write([a], place, 4326))
+    (tmp_path / "z.tif.ovr").write_bytes(b"no overviews")
+    s = TileService(spark)
+    for name, n in (("y.tif", 3), ("z.tif", 1)):
+        s.catalog.mount(name, str(tmp_path / name))
+        r = s.raster(name)
+        assert len(r.levels) == n
+    r = s.raster("y.tif")
+    assert [x["external"] for x in r.levels] == [False, True, True] and s.level(r, 2) == 2
+    small = {(p.row, p.col): p.v for p in r.chunks[1].select("chunk_row", "chunk_col", F.explode("pixels").alias("p")).selectExpr("chunk_row * 256 + p.p div 256 as row", "chunk_col * 256 + p.p % 256 as col", "p.v as v").collect()}
+    assert len(small) == 260 * 300
+    assert abs(small[10, 10] - a[20:22, 20:22].mean()) <= 1
+
+
+def test_static_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "p.html").write_bytes(b"<p>")
+    (tmp_path / ".secret").write_bytes(b"x")
+    s = TileService(spark)
+    r = s.static([str(tmp_path)], "d/p.html").first()
+    assert (r.mime, r.size, bytes(r.content)) == ("text/html", 3, b"<p>")
+    for bad, error in (("", ValueError), (".", ValueError), ("..", ValueError), ("/etc/hosts", ValueError), ("../x", ValueError), ("d", FileNotFoundError), (".secret", FileNotFoundError)):
+        with pytest.raises(error):
+            s.static([str(tmp_path)], bad)
+
+
 def test_vector_tiles(service):
     rows = service.vector_tiles("f.geojson", [tile_of(11, 49, 6), (6, 0, 0)]).collect()
     docs = {r.n_features: json.loads(r.geojson) for r in rows}
@@ -124,7 +195,7 @@ def test_progress_and_remount(service, tmp_path):
     service.catalog.mount("n.tif", str(tmp_path / "n.tif"))
     seen = []
     service.raster("n.tif", lambda e, _: seen.append(e))
-    assert seen == ["file_opened", "geo_info_ready", "overviews_ready", "stats_complete", "ready"]
+    assert seen == ["file_opened", "geo_info_ready", "overviews_ready", "chunks_loaded", "stats_complete", "ready"]
     assert service.raster("n.tif").code == 4326
     service.catalog.unmount("n.tif")
     assert "n.tif" not in service._rasters

@@ -138,3 +138,15 @@ def test_stream(spark, sf_dir, tmp_path):
     assert got == sorted((r.window.start, r.layer, r.n) for r in requests.hourly(rows).collect())
     requests.write(requests.distinct_tiles(requests.read(spark, str(tmp_path / "in")), "1000 days"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.dropDuplicates(["layer", "z", "x", "y"]).count()
+
+
+def test_documents_of_odd_names(spark):
+    import json
+    from xml.etree import ElementTree
+
+    rows = spark.createDataFrame([('a"b\\c<&>.tif', "raster", 1.0, 2.0, 3.0, 4.0, 9)], "name string, kind string, w double, s double, e double, n double, max_zoom int")
+    assert json.loads(ogc.tilejson(rows).first().json)["name"] == 'a"b\\c<&>.tif'
+    for text in (ogc.wms_capabilities(rows), ogc.wmts_capabilities(rows), ogc.tms_root(rows), ogc.tms_layer(rows).first().xml):
+        ElementTree.fromstring(text)
+    error = ElementTree.fromstring(ogc.exception_xml('a" b="c', "x < y"))[0]
+    assert error.attrib == {"code": 'a" b="c'} and error.text == "x < y"
