@@ -15,7 +15,7 @@ language, taken by a hash of the id. Hosts are pre-aggregated, so a hot host is
 Defined results. Null evidence is left out. A text without letters has no text term;
 without any declared language it is rejected. `language` is the best language, null if
 rejected; a row is rejected if its best posterior is below `min_posterior`, or
-nothing in it is evidence. Rows are judged each for itself, repeated or not.
+nothing in it is evidence. A long text is read whole; its trigrams count as `TEMPER`. Rows are judged each for itself, repeated or not.
 An empty table gives an empty result; without a labelled text all rows are rejected.
 Extra columns are ignored.
 """

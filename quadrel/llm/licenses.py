@@ -10,11 +10,11 @@ template are reported with their spans; of overlapping ones the one with more
 matched words.
 
 The index holds the templates of this file or those given; it is built on the driver
-and sent to the tasks, so templates are bounded by `MAX_TEMPLATE_BYTES`. Documents
+and sent to the tasks, so templates are bounded by `MAX_TEMPLATE_BYTES`; more raise ValueError. Documents
 are read in one pass without a shuffle.
 
 Defined results. Null or empty text has no match. Templates below SHINGLE words find
-nothing. Repeated rows are reported each. Null ids are reported as null. An empty
+nothing. A long text is scanned whole. Repeated rows are reported each. Null ids are reported as null. An empty
 table gives an empty result. Extra columns are ignored.
 """
 
@@ -126,7 +126,8 @@ class Index:
     """Inverted index of the templates' fingerprints."""
 
     def __init__(self, templates: list[tuple[str, str, str]]):
-        assert sum(len(t[2]) for t in templates) <= MAX_TEMPLATE_BYTES, "too many templates for the tasks' memory"
+        if sum(len(t[2].encode()) for t in templates) > MAX_TEMPLATE_BYTES:
+            raise ValueError(f"more than {MAX_TEMPLATE_BYTES} bytes of templates; scan with a part of them at a time")
         self.names = [t[:2] for t in templates]
         self.number: dict[str, int] = {}
         self.texts: list[list[int]] = []

@@ -15,7 +15,7 @@ words are common blocks; they are deleted from the later document. Equal texts
 form a class first; copies align in full with their first holder, without a pair each.
 
 Defined results. "Later" is by id: the larger of two. Null or empty text: no lines, kept
-as it is. Lines are compared without blanks at their ends; blank lines are no seeds.
+as it is. A long text is aligned whole. Lines are compared without blanks at their ends; blank lines are no seeds.
 Rows with a null id are kept whole. Rows that repeat id and text are kept
 alike; an id with several texts is several documents, in the order of their digests.
 A text whose lines are all deleted becomes empty. An empty table gives an empty

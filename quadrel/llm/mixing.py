@@ -15,7 +15,7 @@ documents is a row for each leaf.
 
 Defined results. Tokens are words [^\\x20\\x09-\\x0D]+; null or empty text has none and
 is taken with the epoch it falls in at no cost. Null parts of a path are the part
-''. Weights that are not given are `default_weight`; a weight of 0 gives no budget.
+''. A text longer than a budget is taken if any of the budget is left. Weights that are not given are `default_weight`; a weight of 0 gives no budget.
 Rows that repeat an id are taken or left together. An empty table gives an empty
 result. Extra columns are ignored.
 """

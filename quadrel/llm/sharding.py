@@ -9,7 +9,7 @@ Only ids, sizes and digests are shuffled, never texts. Rows join their group's
 shard by digest, a join that adaptive execution may split for a hot text.
 
 Defined results. Null text: no bytes, size 1, crc32 of the empty text, all one group.
-Empty text is another group of size 1. Null or repeated ids are rows like others.
+Empty text is another group of size 1. A text larger than a shard's share has its shard to itself. Null or repeated ids are rows like others.
 An empty table gives an empty result. Extra columns are ignored.
 """
 

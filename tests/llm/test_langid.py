@@ -95,3 +95,71 @@ def test_trigrams_stay_inside_their_text():
 
     tri, starts = li.trigrams(pa.array(["ab", None, "ab cd", "é", "xyz"] * 3).slice(2, 9))
     assert [int(n) for n in starts[1:] - starts[:-1]] == [2, 0, 1, 0, 0, 2, 0, 1, 0]
+
+
+def plain(model, rows, least=li.MIN_POSTERIOR):
+    """The fusion row by row with dictionaries."""
+    import math
+
+    import pyarrow as pa
+
+    langs, k = model.languages, len(model.languages)
+    lower = lambda x: None if x is None else x.lower()
+    items = []
+    for i, t, declared, *address in rows:
+        tri, _ = li.trigrams(pa.array([t], pa.string()))
+        scale = li.TEMPER / max(len(tri), li.TEMPER)
+        ll = [sum(float(model.table[x][c]) for c in tri.tolist()) * scale for x in range(k)]
+        top = max(ll)
+        e = [math.exp(x - top) for x in ll]
+        q = [x / sum(e) for x in e] if len(tri) else [0.0] * k
+        items.append((i, len(tri), scale, ll, q, dict(zip(li.EVIDENCE, [*map(lower, address), lower(declared)], strict=True))))
+    sums = {}
+    for *_, q, ev in items:
+        for key in [("", ""), *((c, v) for c, v in ev.items() if v is not None)]:
+            sums[key] = [a + b for a, b in zip(sums.get(key, [0.0] * k), q, strict=True)]
+    mass = sums[("", "")]
+    out = []
+    for i, n, scale, ll, q, ev in items:
+        rest = {c: [max(a - b, 0.0) for a, b in zip(sums[c, v], q, strict=True)] if v is not None else [0.0] * k for c, v in ev.items()}
+        odds = []
+        for x in range(k):
+            p = (mass[x] + 1) / (sum(mass) + k)
+            for c in ("domain", "host"):
+                p = (rest[c][x] + li.PRIOR_STRENGTH * p) / (sum(rest[c]) + li.PRIOR_STRENGTH)
+            if ev["declared"] is not None:
+                p *= (rest["declared"][x] + (2.0 if ev["declared"] == langs[x] else 0.5)) / (mass[x] + 2)
+            if ev["suffix"] is not None:
+                p *= (rest["suffix"][x] + 0.5) / (mass[x] + 1)
+            odds.append(p)
+        score = [(ll[x] if n else 0.0) + math.log(odds[x]) for x in range(k)]
+        none = n * scale * li.FLAT + math.log(sum(odds) * li.UNKNOWN) if n else -math.inf
+        top = max([*score, none])
+        total = sum(math.exp(x - top) for x in [*score, none])
+        best = max(score)
+        p = math.exp(best - top) / total
+        bad = p < least or (not n and ev["declared"] is None)
+        out.append((i, None if bad else langs[score.index(best)], round(p, 6), bad))
+    return sorted(out, key=str)
+
+
+def test_like_its_formula(spark, model):
+    rng = random.Random(6)
+    hosts = [("a.x.org", "x.org", "org"), ("b.x.org", "x.org", "org"), ("C.y.com", "y.com", "com"), (None, None, None)]
+    rows = []
+    for i in range(80):
+        t = text(rng, ["en", "fr", "de"][i % 3], rng.choice([0, 1, 2, 5, 60]))
+        rows.append((i, t, rng.choice([None, "en", "DE", "xx"]), *hosts[i % 4]))
+    rows += [(900, "qxqj wvvk " * 40, None, *hosts[0]), (901, "the " * 30_000, None, *hosts[0]), (902, None, "fr", *hosts[1]), (3, *rows[3][1:]), (3, *rows[3][1:])]
+    got = [(i, lang, round(p, 6), bad) for i, lang, p, bad in judge(spark, model, rows)]
+    want = plain(model, rows)
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want, strict=True))
+    assert next(g for g in got if g[0] == 900)[3]  # in no known language
+
+
+def test_clashing_columns(spark):
+    docs = fx.frame(spark, [(1, "a b c", "en", "s", 1)], extra=True)
+    assert li.document_rows(docs).columns == ["id", "text", "declared", "host", "domain", "suffix"]
+    pages = spark.createDataFrame([(1, "http://h.org/", "<p>x", "z", "z", 5)], "page_id long, url string, html string, host string, text string, id int")
+    assert li.page_rows(pages).first().host == "h.org"

@@ -89,3 +89,52 @@ def test_empty(spark):
     assert run(spark, [row(1, "a b c")], templates=[("x", "y", "a b c")]) == [(1, "x", 0, 3, 1.0)]
     assert run(spark, [row(1, "a b c")], templates=[("x", "y", "a b")]) == []
     assert len(common.windows(np.arange(2, dtype=np.uint64), 3)) == 0
+
+
+def local(template, text):
+    """Best local alignment over the whole table: score, matched words."""
+    prev = [(0, 0)] * (len(text) + 1)
+    best = (0, 0)
+    for w in template:
+        cur = [(0, 0)]
+        for j, x in enumerate(text, 1):
+            s, m = prev[j - 1]
+            cell = max((s + 2, m + 1) if x == w else (s - 1, m), (prev[j][0] - 1, prev[j][1]), (cur[-1][0] - 1, cur[-1][1]))
+            cur.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, cur[-1])
+        prev = cur
+    return best
+
+
+def test_like_full_alignment_with_each_template(spark):
+    """What is found, and how much of it, without fingerprints or a band."""
+    rng = random.Random(12)
+    other = [f"w{i}" for i in range(300)]
+    docs, want = [], set()
+    plain = [[p for w in t[2].lower().split() if (p := li._plain(w))] for t in li.TEMPLATES]
+    for i in range(40):
+        words = li.TEMPLATES[i % len(li.TEMPLATES)][2].split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 8)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["edited"], [words[at], "added"]])
+        t = " ".join([*rng.choices(other, k=rng.randrange(0, 60)), *words, *rng.choices(other, k=rng.randrange(0, 60))])
+        docs.append(row(i, t))
+        text = [p for w in t.lower().split() if (p := li._plain(w))]
+        full = [(local(p, text)[1], n) for n, p in enumerate(plain)]
+        ok = [(m / len(plain[n]), m, n) for m, n in full if m >= li.MIN_COVERAGE * len(plain[n]) and len(plain[n]) >= li.SHINGLE]
+        if ok:
+            want.add((i, max(ok, key=lambda x: (x[1], -x[2]))[1]))
+    best = {}
+    for r in li.scan(fx.frame(spark, docs)).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, 0), r.matched_words)
+    assert len(want) > 25 and set(best.items()) == want
+
+
+def test_bounded_templates():
+    with pytest.raises(ValueError):
+        li.Index([("x", "y", "word " * (li.MAX_TEMPLATE_BYTES // 5 + 1))])
+
+
+def test_repeated_rows_and_long_text(spark):
+    long = "word " * 50_000 + APACHE
+    assert run(spark, [row(1, APACHE), row(1, APACHE), row(2, long)]) == sorted([(1, "Apache-2.0", 0, 7, 1.0)] * 2 + [(2, "Apache-2.0", 50_000, 50_007, 1.0)], key=str)

@@ -85,6 +85,29 @@ def test_run_is_its_stages(spark, world):
     assert {"doc_id", "size", "text_crc32", "shard", "slot"} == set(out.columns)
 
 
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids are judged like others; an empty table stays empty; extra columns are kept."""
+    rng = random.Random(3)
+    item = text(rng, "en", 30)
+    base = [text(rng, "en", 60) for _ in range(12)]
+    rows = [(i, t, "en", "src0", 1) for i, t in enumerate(base)]
+    rows += [(None, base[0], "en", "src0", 1), (None, base[0], "en", "src0", 1), (None, base[1] + " " + item, "en", "src0", 1), (2, base[2], "en", "src0", 1), (None, None, None, "src0", None)]
+    fx.frame(spark, [(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = fx.frame(spark, rows, extra=True)
+    kept = cp.identify_languages(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.where("text is null").count() == 0 and kept.count() == len(rows) - 1
+    kept = spark.createDataFrame(kept.collect(), docs.schema)  # a stage's result is written before the next one starts
+    once = cp.drop_near_duplicates(spark, kept, str(tmp_path)).collect()
+    assert sorted(r.text for r in once if item not in r.text) == sorted(base)  # the null copies and the repeated row went
+    assert once[0].__fields__ == docs.columns
+    clean = cp.drop_contaminated(spark, spark.createDataFrame(once, docs.schema), str(tmp_path)).collect()
+    assert [r for r in clean if item in r.text] == [] and len(clean) == 12
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0
+
+
 def test_registered(spark, sf_dir):
     import __spark_entry__ as e
 

@@ -60,3 +60,30 @@ def test_differencing():
     # The textbook case for two sets: 8, 7, 6, 5, 4 leaves a difference of 2.
     v = np.array([[0, x] for x in (8, 7, 6, 5, 4)])
     assert sorted(sharding.difference(v)[1].tolist()) == [14, 16]
+
+
+def plain(sizes, shards):
+    """Differencing of all sizes in one list, as it is defined."""
+    parts = [[0] * (shards - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = parts.pop(), parts.pop()
+        parts.append([x + y for x, y in zip(sorted(a), sorted(b, reverse=True), strict=True)])
+    return sorted(parts[0]) if parts else [0] * shards
+
+
+def test_loads_like_plain_differencing(spark):
+    rng = random.Random(4)
+    rows = [(i, "x" * n, "en", "s", 1) for i, n in enumerate(rng.sample(range(1, 40_000), 120))]
+    rows += [(500 + i, rows[i % 7][1], "en", "s", 1) for i in range(30)]
+    loads = check(rows, sharding.balance_bytes(fx.frame(spark, rows), 8).collect(), 8)
+    sizes = {}
+    for _, t, *_ in rows:
+        sizes[t] = sizes.get(t, 0) + len(t) + 1
+    assert sorted(loads) == plain(list(sizes.values()), 8)
+
+
+def test_long_text(spark):
+    rows = [(1, "x" * 3_000_000, "en", "s", 1)] + [(2 + i, f"y{i}", "en", "s", 1) for i in range(14)]
+    loads = check(rows, sharding.balance_bytes(fx.frame(spark, rows), 8).collect(), 8)
+    assert sorted(loads)[-1] == 3_000_001 and max(sorted(loads)[:-1]) <= 9
