@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over `documents`.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
-All but the last return the columns of docs; the last adds where a document is stored.
+All but the last return the columns of docs; the last adds where a document is stored. A stage's
+result is written before the next stage over the same input starts, which frees the scratch tables.
 
 Defined results. A row with a null id is known, for the stage, by a hash of its text, so it is
 judged like others. Rows of one id are judged together: they go if all of them are
