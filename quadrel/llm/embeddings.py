@@ -39,7 +39,8 @@ from . import common
 #: Vectors that fit the codebooks, taken by a hash of the id.
 SAMPLE = 8192
 #: Vectors of a cell that the grid aims at; the codebooks follow the root of the number of vectors.
-CELL = 100
+#: With smaller cells a vector visits a larger share of them for the same recall, and is copied to each.
+CELL = 400
 #: Vectors of the sample for each codeword, where that is more than SAMPLE.
 FIT = 8
 #: Share of a vector's neighbours at the threshold that live in the cells it visits.
@@ -216,7 +217,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     found = None
     for size, total in totals:
         part = classes.where(F.col("size") == size).drop("size")
-        codes = max(1, 2 ** round(np.log2(max(1.0, total / cell)) / 2))
+        codes = 2 ** int(np.log2(max(1.0, total / cell)) / 2)
         sample = part.orderBy(F.xxhash64("vec_id"), "class").limit(max(SAMPLE, FIT * codes)).select("embedding").toArrow()
         index = MultiIndex(_matrix(sample.column("embedding")), codes, threshold, recall)
         one = _linked(part, index, threshold)
