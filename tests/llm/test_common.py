@@ -48,9 +48,18 @@ def test_mix_is_a_bijection_on_a_sample():
 
 
 def test_scratch_is_released(spark):
-    common.release(spark)
-    df = common.store(spark.range(5).toDF("id"), "test", few=True)
-    assert df.count() == 5
-    common.release(spark)
+    with common.scope() as other:
+        kept = common.store(spark.range(3).toDF("id"), "test", few=True)
+    with common.scope() as made:
+        df = common.store(spark.range(5).toDF("id"), "test", few=True)
+    assert df.count() == 5 and len(made) == len(other) == 1
+    common.release(spark, made)
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         spark.read.parquet(df.inputFiles()[0]).count()
+    assert kept.count() == 3 and made == []
+
+
+def test_broadcast_only_what_is_measured_to_be_small(spark):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 100) as s", "array(id, id) as a")
+    plan = lambda most: common.small(df, most)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(1000 * 124).lower() and "broadcast" not in plan(1000 * 124 - 1).lower()
