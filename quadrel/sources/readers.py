@@ -1,8 +1,10 @@
 """Readers of raster and vector files as DataFrames.
 
-Files are listed and read by Spark's binaryFile source, so any of its file systems will
-do, and parsed in Arrow batches, one file at a time. A file must fit a task's memory;
-larger rasters belong into a chunk table (`render.chunks`). Files that cannot be parsed
+Files are listed by Spark's binaryFile source, so any of its file systems will do. Of a
+raster that tasks can open by its path (a local or mounted file), only the header and the wanted
+strips or tiles are read, each by the task that decodes it. Other rasters and vector
+files are read whole by that source, one file at a time, and must fit a task's memory;
+larger ones belong into a chunk table (`render.chunks`). Files that cannot be parsed
 give a row with an error in the catalogue readers and no features in the others;
 `rejects` lists them.
 """
@@ -14,6 +16,7 @@ import json
 import struct
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import fields
 from xml.etree import ElementTree
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.functions import crs, geometry, grid, projection
-from quadrel.sources import shapefile, tiff
+from quadrel.sources import ranges, shapefile, tiff
 
 
 def files(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
@@ -64,18 +67,35 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _META = "path string, width int, height int, bands int, dtype string, nodata string, gt array<double>, crs_class string, epsg int, n_levels int, error string"
 
 
-def _info(content: bytes, ovr: bytes | None, world: bytes | None = None) -> tiff.Info:
+#: What broken files raise.
+_BROKEN = (ValueError, IndexError, KeyError, struct.error)
+#: Bytes of pixels in an Arrow batch, and of stored chunks that one task reads, about.
+BATCH_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
+
+
+def _opened(path: str | None, content: bytes | None):
+    """The bytes of a file that was read, or else its ranges."""
+    if content is not None or path is None:
+        return content
+    return ranges.Ranged(ranges.local_path(path))
+
+
+def _info(path: str, content: bytes | None, ovr: str | None, ovr_content: bytes | None, world: bytes | None = None) -> tiff.Info:
     """Images of a file, with those beside it unless that file cannot be read."""
     text = world.decode("latin-1") if world else None
     try:
-        return tiff.read_info(content, text, ovr)
-    except (ValueError, IndexError, KeyError, struct.error):
-        return tiff.read_info(content, text)
+        return tiff.read_info(_opened(path, content), text, _opened(ovr, ovr_content))
+    except _BROKEN:
+        return tiff.read_info(_opened(path, content), text)
 
 
-def _meta(path: str, content: bytes, world: bytes | None, ovr: bytes | None) -> Iterator[tuple]:
+_FILE = ["path", "content", "ovr", "ovr_content"]
+
+
+def _meta(path: str, content: bytes | None, ovr: str | None, ovr_content: bytes | None, world: bytes | None) -> Iterator[tuple]:
     try:
-        x = _info(content, ovr, world)
+        x = _info(path, content, ovr, ovr_content, world)
         b = x.levels[0]
         yield (path, b.width, b.height, b.bands, b.dtype[1:], x.nodata, x.transform, x.crs_class, x.epsg, len(x.levels), None)
     except Exception as e:  # noqa: BLE001  the file's fault is its row's error
@@ -83,31 +103,42 @@ def _meta(path: str, content: bytes, world: bytes | None, ovr: bytes | None) ->
 
 
 def _with_world(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """TIFF files with the world files and external overviews beside them: a.tif, a.tfw, a.tif.ovr or a.ovr."""
-    every = files(spark, paths)
+    """TIFF files with the world files and external overviews beside them: a.tif, a.tfw, a.tif.ovr or a.ovr.
+
+    Columns path, content, ovr, ovr_content, world; the contents are null for files that tasks open themselves.
+    """
+    none = F.lit(None).cast("binary")
+    whole = _whole(spark, paths)
+    every = files(spark, paths) if whole else files(spark, paths).withColumn("content", none)
     tifs = every.where(F.lower("path").rlike("[.]tiff?$")).withColumn("stem", stem(F.col("path")))
-    worlds = every.where(F.lower("path").rlike("[.]tfw$")).select(stem(F.col("path")).alias("stem"), F.col("content").alias("world"))
-    ovrs = every.where(F.lower("path").rlike("[.]ovr$")).select(stem(F.col("path")).alias("of"), F.col("content").alias("ovr"))
-    own = ovrs.where(F.lower("of").rlike("[.]tiff?$")).select(F.col("of").alias("path"), F.col("ovr").alias("own"))
+    worlds = files(spark, paths, "*.[tT][fF][wW]").select(stem(F.col("path")).alias("stem"), F.col("content").alias("world"))
+    ovrs = every.where(F.lower("path").rlike("[.]ovr$")).select(stem(F.col("path")).alias("of"), F.struct(F.col("path").alias("ovr"), F.col("content").alias("ovr_content")).alias("beside"))
+    own = ovrs.where(F.lower("of").rlike("[.]tiff?$")).select(F.col("of").alias("path"), F.col("beside").alias("own"))
     plain = ovrs.where(~F.lower("of").rlike("[.]tiff?$")).withColumnRenamed("of", "stem")
-    return tifs.join(worlds, "stem", "left").join(plain, "stem", "left").join(own, "path", "left").select("path", "content", "world", F.coalesce("own", "ovr").alias("ovr"))
+    found = tifs.join(worlds, "stem", "left").join(plain, "stem", "left").join(own, "path", "left").withColumn("beside", F.coalesce("own", "beside"))
+    return found.select("path", "content", "beside.ovr", "beside.ovr_content", "world")
+
+
+def _whole(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether some files are where only Spark's readers can open them. Lists names; reads no content."""
+    return bool(files(spark, paths).select("path").where(~F.col("path").startswith("file:")).head(1))
 
 
 def geotiff_meta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A row for each TIFF: its size, georeference, extent in degrees, greatest zoom, or the error."""
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.int32(), pa.string()]
     names = [c.split()[0] for c in _META.split(", ")]
-    rows = _with_world(spark, paths).mapInArrow(_rows(_meta, ["path", "content", "world", "ovr"], names, types), _META)
+    rows = _with_world(spark, paths).mapInArrow(_rows(_meta, [*_FILE, "world"], names, types), _META)
     extent = crs.raster_extent(F.col("gt"), F.col("width"), F.col("height"), F.col("epsg"))
     degrees = F.col("crs_class") != "Projected"
     return rows.withColumn("extent", extent).withColumn("max_zoom", grid.max_zoom(F.get("gt", F.lit(1)), degrees))
 
 
-def _levels(path: str, content: bytes, ovr: bytes | None) -> Iterator[tuple]:
+def _levels(path: str, *rest) -> Iterator[tuple]:
     try:
-        for i, x in enumerate(_info(content, ovr).levels):
+        for i, x in enumerate(_info(path, *rest).levels):
             yield (path, i, x.width, x.height, "tile" if x.tiled else "strip", x.chunk_w, x.chunk_h, x.external)
-    except (ValueError, IndexError, KeyError):
+    except _BROKEN:
         return
 
 
@@ -116,28 +147,88 @@ def geotiff_levels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     names = ["path", "idx", "width", "height", "chunk_type", "chunk_w", "chunk_h", "external"]
     kinds = ["string", "int", "int", "int", "string", "int", "int", "boolean"]
     types = [pa.string(), *[pa.int32()] * 3, pa.string(), *[pa.int32()] * 2, pa.bool_()]
-    return _with_world(spark, paths).mapInArrow(_rows(_levels, ["path", "content", "ovr"], names, types), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return _with_world(spark, paths).mapInArrow(_rows(_levels, _FILE, names, types), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def geotiff_chunks(spark: SparkSession, paths: str | list[str], level: int = 0) -> DataFrame:
-    """A row for each stored chunk and band of a level: path, band, row0, col0, w, h, values (row by row)."""
+_CHUNK = "path string, band int, row0 long, col0 long, w int, h int, values array<double>"
+_PLACE = "path string, source string, spec string, idx long, offset long, count long"
+
+
+def _decoded(path: str, data, level: tiff.Level, index: int) -> Iterator[tuple]:
+    """Rows of one strip or tile, one for each of its bands."""
+    r, c, band, a = tiff.read_chunk(data, level, index)
+    for b in range(a.shape[2]):
+        yield (path, (b if band is None else band) + 1, r, c, a.shape[1], a.shape[0], np.ascontiguousarray(a[:, :, b]).ravel())
 
-    def parse(path: str, content: bytes, ovr: bytes | None) -> Iterator[tuple]:
-        try:
-            levels = _info(content, ovr).levels
-        except (ValueError, IndexError, KeyError):
-            return
-        if level >= len(levels):
-            return
-        x = levels[level]
-        for i in range(len(x.offsets)):
-            r, c, band, a = tiff.read_chunk(ovr if x.external else content, x, i)
-            for b in range(a.shape[2]):
-                yield (path, (b if band is None else band) + 1, r, c, a.shape[1], a.shape[0], a[:, :, b].ravel().tolist())
 
-    names = ["path", "band", "row0", "col0", "w", "h", "values"]
+def _chunk_batches(parse: Callable[..., Iterator[tuple]], cols: list[str]):
+    """An Arrow function of rows of pixels, in batches of about BATCH_BYTES."""
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
-    return _with_world(spark, paths).mapInArrow(_rows(parse, ["path", "content", "ovr"], names, types), "path string, band int, row0 long, col0 long, w int, h int, values array<double>")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for rb in batches:
+            for i in range(rb.num_rows):
+                for row in parse(*(rb.column(c)[i].as_py() for c in cols)):
+                    held.append(row)
+                    size += row[-1].nbytes
+                    if size >= BATCH_BYTES:
+                        yield _batch(held, names, types)
+                        held, size = [], 0
+        if held:
+            yield _batch(held, names, types)
+
+    return run
+
+
+def geotiff_chunks(spark: SparkSession, paths: str | list[str], level: int = 0, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """A row for each stored chunk and band of a level: path, band, row0, col0, w, h, values (row by row).
+
+    rows, cols: a window (first, end) of the level; only strips or tiles that touch it are read and decoded.
+    Files that tasks can open are listed by their headers first and then dealt by chunks, so a
+    file may be larger than a task.
+    """
+
+    def of_level(path: str, *rest) -> tiff.Level | None:
+        try:
+            levels = _info(path, *rest).levels
+        except _BROKEN:
+            return None
+        return levels[level] if level < len(levels) else None
+
+    def parse(path: str, content: bytes, ovr: str | None, ovr_content: bytes | None) -> Iterator[tuple]:
+        x = of_level(path, content, ovr, ovr_content)
+        for i in tiff.overlapping(x, rows, cols) if x else []:
+            yield from _decoded(path, ovr_content if x.external else content, x, i)
+
+    def places(path: str, content: None, ovr: str | None, ovr_content: None) -> Iterator[tuple]:
+        x = of_level(path, content, ovr, ovr_content)
+        if x:
+            spec = json.dumps({f.name: getattr(x, f.name) for f in fields(x) if f.name not in ("offsets", "counts")})
+            for i in tiff.overlapping(x, rows, cols):
+                yield (path, ovr if x.external else path, spec, i, x.offsets[i], x.counts[i])
+
+    def read(path: str, source: str, spec: str, idx: int, offset: int, count: int) -> Iterator[tuple]:
+        x = tiff.Level(**json.loads(spec), offsets={idx: offset}, counts={idx: count})
+        yield from _decoded(path, _opened(source, None), x, idx)
+
+    inputs = _with_world(spark, paths)
+    if _whole(spark, paths):
+        return inputs.mapInArrow(_chunk_batches(parse, _FILE), _CHUNK)
+    names = [c.split()[0] for c in _PLACE.split(", ")]
+    found = inputs.mapInArrow(_rows(places, _FILE, names, [*[pa.string()] * 3, *[pa.int64()] * 3]), _PLACE)
+    total = found.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    # Neighbours in a file go to one task. The number is given, as adaptive execution sees places, not pixels.
+    dealt = found.repartition(int(total // TASK_BYTES) + spark.sparkContext.defaultParallelism, "path", F.expr(f"offset div {TASK_BYTES // 16}"))
+    return dealt.mapInArrow(_chunk_batches(read, names), _CHUNK)
+
+
+def geotiff_window(spark: SparkSession, paths: str | list[str], rows: tuple[int, int], cols: tuple[int, int], level: int = 0) -> DataFrame:
+    """Pixels (path, band, row, col, v) of a window (first, end) of a level; none outside the image."""
+    inside = (F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1])
+    return pixels(geotiff_chunks(spark, paths, level, rows, cols)).where(inside)
 
 
 def pixels(chunks: DataFrame) -> DataFrame:

@@ -73,6 +73,8 @@ class Info:
 
 
 class _Reader:
+    """Directories of a file; data: bytes, or anything whose slices are bytes."""
+
     def __init__(self, data: bytes):
         self.data = data
         order = data[:2]
@@ -86,7 +88,7 @@ class _Reader:
         self.first = self.get("Q", 8)[0] if self.big else self.get("I", 4)[0]
 
     def get(self, fmt: str, at: int) -> tuple:
-        return struct.unpack_from(self.e + fmt, self.data, at)
+        return struct.unpack(self.e + fmt, self.data[at : at + struct.calcsize(self.e + fmt)])
 
     def directory(self, at: int) -> tuple[dict[int, list], int]:
         """Tags of a directory and the place of the next."""
@@ -240,6 +242,20 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def overlapping(level: Level, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> list[int]:
+    """Numbers of the strips or tiles, of all bands, that touch a window of rows and columns (first, end)."""
+    across = -(-level.width // level.chunk_w)
+    down = -(-level.height // level.chunk_h)
+    r0, r1 = rows or (0, level.height)
+    c0, c1 = cols or (0, level.width)
+    r0, r1, c0, c1 = max(r0, 0), min(r1, level.height), max(c0, 0), min(c1, level.width)
+    if r0 >= r1 or c0 >= c1:
+        return []
+    places = [r * across + c for r in range(r0 // level.chunk_h, -(-r1 // level.chunk_h)) for c in range(c0 // level.chunk_w, -(-c1 // level.chunk_w))]
+    every = [plane * across * down + p for plane in range(level.bands if level.planar else 1) for p in places]
+    return [i for i in every if i < len(level.offsets)]
+
+
 def read_chunk(data: bytes, level: Level, index: int) -> tuple[int, int, int | None, np.ndarray]:
     """One strip or tile as float64: first row, first column, band (None if all), array (rows, columns, bands)."""
     across = -(-level.width // level.chunk_w)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrel.sources import png, readers, shapefile, tiff
+from quadrel.sources import png, ranges, readers, shapefile, tiff
 
 
 @pytest.mark.parametrize("kind", ["uint8", "uint16", "int32", "float32", "float64"])
@@ -85,6 +85,63 @@ def test_geotiff(spark, folder):
     assert readers.pixels(readers.geotiff_chunks(spark, folder, 1)).count() == 300
 
 
+def test_ranges_read_what_is_asked(tmp_path):
+    a = np.random.default_rng(3).integers(0, 255, (2048, 1024, 1)).astype("uint8")
+    path = tmp_path / "big.tif"
+    path.write_bytes(tiff.write([a], tile=256))
+    data = ranges.Ranged(str(path))
+    level = tiff.read_info(data).levels[0]
+    found = tiff.overlapping(level, (300, 310), (250, 260))
+    assert found == [4, 5]
+    r, c, _, part = tiff.read_chunk(data, level, found[1])
+    assert (part[:, :, 0] == a[r : r + 256, c : c + 256, 0]).all()
+    assert data.bytes_read <= 4 * ranges.PAGE < len(data) // 4
+    whole = path.read_bytes()
+    for start, end in [(0, 10), (ranges.PAGE - 3, ranges.PAGE + 3), (5, 3 * ranges.PAGE), (len(whole) - 4, len(whole) + 9), (9, 9)]:
+        assert data[start:end] == whole[start:end]
+    for p in range(0, len(whole), ranges.PAGE):
+        assert data[p : p + 5] == whole[p : p + 5]
+    assert len(data.pages) <= ranges.KEPT
+
+
+def test_local_paths():
+    assert [ranges.local_path(p) for p in ("/a/b c.tif", "file:/a/b.tif", "file:///a/b.tif", "hdfs://h/a.tif", "s3a://b/a.tif")] == ["/a/b c.tif", "/a/b.tif", "/a/b.tif", None, None]
+
+
+@pytest.mark.parametrize("options", [{}, {"tile": 64}, {"tile": 64, "planar": True, "compress": True}])
+def test_windows_of_files(spark, tmp_path, options, monkeypatch):
+    a = np.random.default_rng(4).integers(0, 60000, (300, 200, 2)).astype("uint16")
+    (tmp_path / "a b.tif").write_bytes(tiff.write([a], **options))
+    (tmp_path / "a b.tif.ovr").write_bytes(tiff.write([a[::2, ::2]], **options))
+    (tmp_path / "cut.tif").write_bytes(tiff.write([a])[:6] + b"\xff")
+    (tmp_path / "a b.TFW").write_text("0.5\n0\n0\n-0.5\n10\n50\n")
+
+    def window(level, rows, cols):
+        px = readers.geotiff_window(spark, str(tmp_path), rows, cols, level).collect()
+        return {(p.band, p.row, p.col): p.v for p in px}
+
+    def expected(image, rows, cols):
+        return {(b + 1, r, c): float(image[r, c, b]) for b in range(2) for r in range(max(rows[0], 0), min(rows[1], image.shape[0])) for c in range(max(cols[0], 0), min(cols[1], image.shape[1]))}
+
+    for whole in (False, True):
+        monkeypatch.setattr(readers, "_whole", lambda *_, whole=whole: whole)
+        for rows, cols in [((60, 70), (120, 135)), ((-5, 3), (190, 400)), ((300, 310), (0, 5)), ((9, 9), (0, 5))]:
+            assert window(0, rows, cols) == expected(a, rows, cols)
+        assert window(1, (60, 70), (30, 70)) == expected(a[::2, ::2], (60, 70), (30, 70))
+        assert window(2, (0, 9), (0, 9)) == {}
+        meta = {m.path.rsplit("/", 1)[-1]: m for m in readers.geotiff_meta(spark, str(tmp_path)).collect()}
+        assert meta["cut.tif"].error and (meta["a b.tif"].n_levels, meta["a b.tif"].gt[0]) == (2, 10.0)
+        assert readers.geotiff_levels(spark, str(tmp_path)).count() == 2
+    few = readers.geotiff_chunks(spark, str(tmp_path), 0, (60, 63), (120, 125)).count()
+    assert few < readers.geotiff_chunks(spark, str(tmp_path)).count()
+
+
+def test_headers_are_read_without_contents(spark, folder):
+    plan = readers.geotiff_meta(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    reads = [p.split(">")[0] for p in plan.split("ReadSchema: struct<")[1:]]
+    assert reads and all("content" not in r for r in reads if "path" in r and "length" in r) and sum("content" in r for r in reads) <= 1
+
+
 def test_vector_files(spark, folder):
     rows = readers.vector(spark, folder).collect()
     by = {}
