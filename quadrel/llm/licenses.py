@@ -6,8 +6,8 @@ SHINGLE + WINDOW - 1 words has one. Templates' shingles are the inverted index;
 document's fingerprints find (template, place) hits in it. Templates too short for that
 promise are looked up at each shingle. Hits near one diagonal are a candidate, which a local alignment within a
 band around the diagonal scores. Matches covering at least `min_coverage` of a
-template are reported with their spans; of overlapping ones the one with more
-matched words.
+template are reported with their spans, if the span has all words of the template that belong to a
+license's name or version; of overlapping ones the one with more matched words.
 
 The index holds the templates of this file or those given; it is built on the driver
 and sent to the tasks, so templates are bounded by `MAX_TEMPLATE_BYTES`; more raise ValueError. Documents
@@ -58,14 +58,46 @@ TEMPLATES = [
         "header",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    ("GPL-2.0", "notice", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "header",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "header",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "header",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     (
         "BSD-2-Clause",
         "text",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     (
         "ISC",
         "text",
@@ -75,6 +107,10 @@ TEMPLATES = [
     ("proprietary", "notice", "All rights reserved."),
 ]
 
+# Words of licenses' names; with versions they tell licenses of one wording apart.
+_NAMES = {"mit", "apache", "mozilla", "gnu", "lesser", "affero", "cc"}
+_VARIANT = re.compile(r"v?[0-9]+([.][0-9]+)*|attribution(-[a-z]+)*|by(-[a-z]+)+")
+
 _EDGES = re.compile(r"^[^a-z0-9]+|[^a-z0-9]+$")
 
 
@@ -83,6 +119,11 @@ def _plain(word: str) -> str:
     return word if word.isalnum() else _EDGES.sub("", word)
 
 
+def decisive(word: str) -> bool:
+    """Whether a plain word belongs to a license's name or version."""
+    return word in _NAMES or _VARIANT.fullmatch(word) is not None
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions that hold the smallest hash (the last of equals) of a window; all windows of a short sequence are one."""
     n = len(hashes)
@@ -131,11 +172,13 @@ class Index:
         self.names = [t[:2] for t in templates]
         self.number: dict[str, int] = {}
         self.texts: list[list[int]] = []
+        self.decisive: list[set[int]] = []
         marks: list[tuple[int, int, int]] = []
         for n, (_, _, text) in enumerate(templates):
             words = [p for w in text.lower().split() if (p := _plain(w))]
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
             self.texts.append(ids)
+            self.decisive.append({i for i, w in zip(ids, words, strict=True) if decisive(w)})
             hashes = common.windows(np.array(ids, np.uint64), SHINGLE)
             # All shingles, so that any fingerprint of a document inside a match finds it.
             marks += [(int(h), n, i) for i, h in enumerate(hashes)]
@@ -196,7 +239,7 @@ def _matches(index: Index, text: list[int], hashes: np.ndarray, marks: np.ndarra
         for k in range(1, len(diagonals) + 1):
             if k == len(diagonals) or diagonals[k] - diagonals[start] > BAND:
                 n, a, b = align(index.texts[t], text, (diagonals[start] + diagonals[k - 1]) // 2)
-                if n >= min_coverage * len(index.texts[t]):
+                if n >= min_coverage * len(index.texts[t]) and index.decisive[t] <= set(text[a:b]):
                     found.append((-n, a, b, t))
                 start = k
     out: list[tuple] = []

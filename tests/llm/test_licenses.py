@@ -120,7 +120,7 @@ def test_like_full_alignment_with_each_template(spark):
         t = " ".join([*rng.choices(other, k=rng.randrange(0, 60)), *words, *rng.choices(other, k=rng.randrange(0, 60))])
         docs.append(row(i, t))
         text = [p for w in t.lower().split() if (p := li._plain(w))]
-        full = [(local(p, text)[1], n) for n, p in enumerate(plain)]
+        full = [(local(p, text)[1], n) for n, p in enumerate(plain) if {w for w in p if li.decisive(w)} <= set(text)]
         ok = [(m / len(plain[n]), m, n) for m, n in full if m >= li.MIN_COVERAGE * len(plain[n]) and len(plain[n]) >= li.SHINGLE]
         if ok:
             want.add((i, max(ok, key=lambda x: (x[1], -x[2]))[1]))
@@ -130,6 +130,15 @@ def test_like_full_alignment_with_each_template(spark):
     assert len(want) > 25 and set(best.items()) == want
 
 
+def test_neighbours_are_told_apart(spark):
+    names = [t[0] for t in li.TEMPLATES]
+    got = {r.doc_id: (r.license, r.coverage) for r in li.scan(fx.frame(spark, [row(i, "before " + t[2] + " after") for i, t in enumerate(li.TEMPLATES)])).collect()}
+    assert got == {i: (n, 1.0) for i, n in enumerate(names)}
+    none = [t[2].replace("version 3", "version 4").replace("Version 2.0", "Version 9").replace("4.0", "2.5") for t in li.TEMPLATES if t[0] in ("GPL-3.0", "Apache-2.0", "CC-BY-4.0", "CC-BY-NC-ND-4.0")]
+    assert li.scan(fx.frame(spark, [row(i, t) for i, t in enumerate(none)])).collect() == []
+    assert [li.decisive(w) for w in ("2.0", "v2", "http://x/license-2.0", "by", "by-nc", "lesser", "license")] == [True, True, False, False, True, True, False]
+
+
 def test_bounded_templates():
     with pytest.raises(ValueError):
         li.Index([("x", "y", "word " * (li.MAX_TEMPLATE_BYTES // 5 + 1))])
