@@ -15,7 +15,7 @@ SQL_TY = "cast(floor((1-asinh(tan(radians(lat)))/pi())/2*power(cast(2 as double)
 ACROSS = 25
 SQL_PX = "select label, vec_id, (pos-1)//8 as r, (pos-1)%8 as c, cast(embedding[pos] as double) as v from (select label, vec_id, embedding, unnest(range(1,65)) as pos from embeddings)"
 SQL_MOSAIC = f"select cast(8*(vec_id//{ACROSS})+r as bigint) as row, cast(8*(vec_id%{ACROSS})+c as bigint) as col, v from ({SQL_PX})"
-SQL_BANDS3 = f"select vec_id//3 as chunk, cast(vec_id%3+1 as int) as band, r, c, v from ({SQL_PX}) where vec_id//3 < (select (count(*))//3 from embeddings)"
+SQL_BANDS3 = f"select vec_id//3 as chunk, cast(vec_id%3+1 as int) as band, r, c, v from (select vec_id, r, c, v from ({SQL_PX}) union all select vec_id+(select count(*) from embeddings), r, c, v from ({SQL_PX}) where vec_id < (select (3-count(*)%3)%3 from embeddings))"
 SQL_BOXES = f"select event_id, lng as xmin, lat as ymin, lng+cast((event_id*31)%100 as double)/cast(100 as double) as xmax, lat+cast((event_id*31)%100 as double)/cast(100 as double) as ymax from ({SQL_PTS})"
 SQL_REQS = f"select event_id, ts, event_type as layer, cast(event_id%12 as int) as z, {SQL_TX.format(z='event_id%12')} as x, {SQL_TY.format(z='event_id%12')} as y from ({SQL_PTS})"
 EXTS = ["tif", "tiff", "geojson", "json", "shp", "wkt", "kml", "kmz", "txt"]
@@ -49,9 +49,12 @@ def mosaic_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 
 def bands3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three chunks as the bands of one: chunk, band, r, c, v."""
+    """Three chunks as the bands of one: chunk, band, r, c, v. The first chunks fill up the last."""
     n = table(spark, sf_dir, "embeddings").count()
-    return px(spark, sf_dir).select(F.expr("vec_id div 3").alias("chunk"), F.expr("cast(vec_id % 3 + 1 as int)").alias("band"), "r", "c", "v").where(F.col("chunk") < n // 3)
+    rows = px(spark, sf_dir).select("vec_id", "r", "c", "v")
+    if n % 3:
+        rows = rows.union(rows.where(F.col("vec_id") < 3 - n % 3).withColumn("vec_id", F.col("vec_id") + n))
+    return rows.select(F.expr("vec_id div 3").alias("chunk"), F.expr("cast(vec_id % 3 + 1 as int)").alias("band"), "r", "c", "v")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
