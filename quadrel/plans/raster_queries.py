@@ -296,7 +296,7 @@ def _window_sql() -> str:
     lng, lat = "({v}*180/cast(" + C + " as double))", LAT.replace("{y}", "{v}")
     col = lambda v: f"cast(round(({lng.format(v=v)}+10)/20*{w - 1}) as bigint)"
     row = lambda v: f"cast(round((1-({lat.format(v=v)}+8)/16)*{h - 1}) as bigint)"
-    tiles = "select distinct z, x, y from (" + fixtures.SQL_REQS + ") where z between 3 and 8"
+    tiles = "select distinct z, x, y from (" + fixtures.SQL_REQS + ")"
     return f"""select z, x, y, col_off, row_off, src_w, src_h, cast(case when src_w*src_h > 1048576 then ceil(sqrt(src_w*src_h/cast(1048576 as double))) else 1 end as int) as step from (
     select z, x, y, col_off, row_off, least(greatest(c1-c0+20,1),{w}-col_off) as src_w, least(greatest(r1-r0+20,1),{h}-row_off) as src_h from (
     select *, least(greatest(c0-10,0),{w - 1}) as col_off, least(greatest(r0-10,0),{h - 1}) as row_off from (
@@ -305,7 +305,7 @@ def _window_sql() -> str:
 
 @query("tile_window", _window_sql())
 def tile_window(spark, sf_dir):
-    tiles = fixtures.reqs(spark, sf_dir).where("z between 3 and 8").select("z", "x", "y").distinct()
+    tiles = fixtures.reqs(spark, sf_dir).select("z", "x", "y").distinct()
     return raster.window(tiles, PLACE, *BIG)
 
 
