@@ -1,33 +1,26 @@
 """Coordinate reference systems as column expressions.
 
-Known: 4326, 3857, UTM on WGS84 (32601-32660, 32701-32760) and transverse Mercator with
-parameters. Anything else is null, never a guess.
+Known: 3857, the codes of `systems` and transverse Mercator with parameters. Anything else is
+null, never a guess.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid
+from quadrel.functions import grid, systems
+from quadrel.functions.ellipsoid import ALPHA, BETA, DELTA, E2, RECTIFYING
 
-# The WGS84 ellipsoid and UTM.
-A_AXIS = 6378137.0
-FLATTENING = 1 / 298.257223563
+# UTM.
 UTM_SCALE = 0.9996
 FALSE_EAST = 500000.0
 FALSE_NORTH = 10000000.0
 
-N = FLATTENING / (2 - FLATTENING)
-E2 = 2 * math.sqrt(N) / (1 + N)
-RECTIFYING = A_AXIS / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
-# Published series of Krueger in the third flattening, to its third power.
-ALPHA = [N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240]
-BETA = [N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480]
-DELTA = [2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15]
-
 
 def _d(x: float) -> Column:
     return F.lit(float(x))
@@ -46,9 +39,11 @@ def parse(name: Column) -> Column:
     zone = F.regexp_extract(c, "UTM[^0-9]{0,16}([0-9]{1,2})[^0-9NS][^NS]{0,15}[NS]|UTM[^0-9]{0,16}([0-9]{1,2})[NS]", 0)
     number = F.regexp_extract(zone, "([0-9]{1,2})[^0-9]*$", 1).try_cast("int")
     north = zone.endswith("N")
-    code = F.regexp_extract(c, "^EPSG:*([0-9]{1,5})$", 1).try_cast("int")
+    titled = F.try_element_at(_literal({_compact(name): code for code, name, _ in systems.names()}, "map<string, int>"), c)
+    code = F.regexp_extract(c, "(?:^|[^A-Z0-9])EPSG:*(?:[0-9]+[.][0-9.]*:)?([0-9]{1,5})$", 1).try_cast("int")
     return (
         F.when(c.rlike("EPSG:*3857|WEBMERCATOR|PSEUDOMERCATOR|AUXILIARYSPHERE|EPSG:*900913"), 3857)
+        .when(titled.isNotNull(), titled)
         .when(number.between(1, 60), F.when(north, 32600).otherwise(32700) + number)
         .when(c.rlike("EPSG:*4326|CRS84|WGS84|WGS1984"), 4326)
         .when(known(code), code)
@@ -57,7 +52,17 @@ def parse(name: Column) -> Column:
 
 
 def known(code: Column) -> Column:
-    return code.isin(4326, 3857) | code.between(32601, 32660) | code.between(32701, 32760)
+    """Whether coordinates of a code can be moved."""
+    return code.isin([c for c, _, _ in systems.names()])
+
+
+def _literal(value: dict, kind: str) -> Column:
+    """A constant map, as one literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _compact(name: str) -> str:
+    return name.upper().translate(str.maketrans("", "", " _-"))
 
 
 def prj(text: Column) -> Column:
@@ -110,20 +115,47 @@ def _utm(code: Column) -> tuple[Column, Column, Column]:
     return north | south, (zone * 6 - 183).cast("double"), F.when(south, _d(FALSE_NORTH)).otherwise(_d(0))
 
 
-def from_wgs84(lng: Column, lat: Column, code: Column) -> tuple[Column, Column]:
-    """Coordinates in a known CRS, null in others."""
+def from_wgs84(lng: Column, lat: Column, code: Column | int, others: Iterable[int] = ()) -> tuple[Column, Column]:
+    """Coordinates in a known CRS, null in others.
+
+    A number gives the expression of that system alone. A column may hold systems in degrees,
+    3857, UTM on WGS84, and those of `others`: each of them adds its formula to the plan.
+    """
+    if isinstance(code, int):
+        return _one(lng, lat, code, grid.lng_merc, grid.lat_merc, systems.forward)
     utm, lon0, fn = _utm(code)
     e, n = tm_forward(lng, lat, lon0, fn=fn)
-    x = F.when(code == 4326, lng).when(code == 3857, grid.lng_merc(lng)).when(utm, e)
-    y = F.when(code == 4326, lat).when(code == 3857, grid.lat_merc(lat)).when(utm, n)
-    return x, y
+    flat = code.isin(list(systems.GEOGRAPHIC))
+    x = F.when(flat, lng).when(code == 3857, grid.lng_merc(lng)).when(utm, e)
+    y = F.when(flat, lat).when(code == 3857, grid.lat_merc(lat)).when(utm, n)
+    return _with_others(x, y, lng, lat, code, others, from_wgs84)
 
 
-def to_wgs84(x: Column, y: Column, code: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of coordinates in a known CRS, null in others."""
+def to_wgs84(x: Column, y: Column, code: Column | int, others: Iterable[int] = ()) -> tuple[Column, Column]:
+    """Longitude and latitude of coordinates in a known CRS, null in others; `code` and `others` as in `from_wgs84`."""
+    if isinstance(code, int):
+        return _one(x, y, code, grid.merc_lng, grid.merc_lat, systems.inverse)
     utm, lon0, fn = _utm(code)
     lng, lat = tm_inverse(x, y, lon0, fn=fn)
-    return F.when(code == 4326, x).when(code == 3857, grid.merc_lng(x)).when(utm, lng), F.when(code == 4326, y).when(code == 3857, grid.merc_lat(y)).when(utm, lat)
+    flat = code.isin(list(systems.GEOGRAPHIC))
+    lng, lat = F.when(flat, x).when(code == 3857, grid.merc_lng(x)).when(utm, lng), F.when(flat, y).when(code == 3857, grid.merc_lat(y)).when(utm, lat)
+    return _with_others(lng, lat, x, y, code, others, to_wgs84)
+
+
+def _one(x: Column, y: Column, code: int, merc_x, merc_y, move) -> tuple[Column, Column]:
+    if code in systems.GEOGRAPHIC:
+        return x, y
+    if code == 3857:
+        return merc_x(x), merc_y(y)
+    system = systems.known().get(code)
+    return move(systems.COLUMNS, x, y, system) if system else (F.lit(None).cast("double"), F.lit(None).cast("double"))
+
+
+def _with_others(x: Column, y: Column, a: Column, b: Column, code: Column, others: Iterable[int], move) -> tuple[Column, Column]:
+    for other in others:
+        u, v = move(a, b, int(other))
+        x, y = x.when(code == other, u), y.when(code == other, v)
+    return x, y
 
 
 def corners(gt: Column, width: Column, height: Column) -> list[tuple[Column, Column]]:
@@ -158,13 +190,16 @@ def guess(points: list[tuple[Column, Column]]) -> Column:
     return F.when(degrees, 4326).when(metres, 3857)
 
 
-def raster_extent(gt: Column, width: Column, height: Column, code: Column) -> Column:
-    """Extent in degrees by the declared code, else by the guess."""
+def raster_extent(gt: Column, width: Column, height: Column, code: Column, others: Iterable[int] = ()) -> Column:
+    """Extent in degrees by the declared code, else by the guess; `others` as in `from_wgs84`.
+
+    Null for systems that are known and not among these: `projection.extent` takes them all.
+    """
     points = corners(gt, width, height)
     use = F.coalesce(F.when(known(code), code), guess(points))
 
     def moved(p: Column) -> Column:
-        x, y = to_wgs84(p["x"], p["y"], p["code"])
+        x, y = to_wgs84(p["x"], p["y"], p["code"], others)
         return F.struct(x.alias("x"), y.alias("y"))
 
     def every(code: Column) -> Column:
@@ -180,6 +215,11 @@ def name_table(names: DataFrame) -> DataFrame:
     return ok.groupBy("code").agg(F.min_by("name", "ord").alias("name"))
 
 
+def names(spark) -> DataFrame:
+    """(code, name, ord) of the known systems, for `name_table`."""
+    return spark.createDataFrame(systems.names(), "code int, name string, ord int")
+
+
 def named(rows: DataFrame, names: DataFrame, code: str = "epsg") -> DataFrame:
     """Adds crs_name: the code's name, else EPSG:n, else unknown."""
     joined = rows.join(names.select(F.col("code").alias(code), F.col("name").alias("_name")), code, "left")

@@ -4,44 +4,61 @@ from __future__ import annotations
 
 import numpy as np
 
-from quadrel.functions import crs, grid
+from quadrel.functions import grid, systems
 
 
 def forward(lng: np.ndarray, lat: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates in a known CRS; ValueError for another."""
-    if code == 4326:
+    if code in systems.GEOGRAPHIC:
         return lng, lat
     if code == 3857:
         phi = np.radians(np.clip(lat, -grid.LAT_EXTENT, grid.LAT_EXTENT))
         return lng * grid.HALF / 180, grid.RADIUS * np.log(np.tan(np.pi / 4 + phi / 2))
-    lon0, north = _zone(code)
-    phi, lam = np.radians(lat), np.radians(lng - lon0)
-    t = np.sinh(np.arctanh(np.sin(phi)) - crs.E2 * np.arctanh(crs.E2 * np.sin(phi)))
-    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
-    east = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(crs.ALPHA, 1))
-    up = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(crs.ALPHA, 1))
-    k = crs.UTM_SCALE * crs.RECTIFYING
-    return crs.FALSE_EAST + k * east, north + k * up
+    system = _system(code)
+    with np.errstate(divide="ignore", invalid="ignore"):  # the poles
+        return systems.forward(systems.ARRAYS, lng, lat, system)
 
 
 def inverse(x: np.ndarray, y: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
     """Longitude and latitude of coordinates in a known CRS; ValueError for another."""
-    if code == 4326:
+    if code in systems.GEOGRAPHIC:
         return x, y
     if code == 3857:
         return x * 180 / grid.HALF, np.degrees(2 * (np.arctan(np.exp(y / grid.RADIUS)) - np.pi / 4))
-    lon0, north = _zone(code)
-    k = crs.UTM_SCALE * crs.RECTIFYING
-    xi, eta = (y - north) / k, (x - crs.FALSE_EAST) / k
-    xi1 = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(crs.BETA, 1))
-    eta1 = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(crs.BETA, 1))
-    chi = np.arcsin(np.sin(xi1) / np.cosh(eta1))
-    phi = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(crs.DELTA, 1))
-    return lon0 + np.degrees(np.arctan2(np.sinh(eta1), np.cos(xi1))), np.degrees(phi)
-
-
-def _zone(code: int) -> tuple[float, float]:
-    """Central meridian and false northing of a UTM code."""
-    if not (32601 <= code <= 32660 or 32701 <= code <= 32760):
+    system = _system(code)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return systems.inverse(systems.ARRAYS, x, y, system)
+
+
+def _system(code: int) -> systems.System:
+    if code not in systems.known():
         raise ValueError(f"unknown CRS {code}")
-    return code % 100 * 6 - 183, crs.FALSE_NORTH if code > 32700 else 0.0
+    return systems.known()[code]
+
+
+def corners(gt: list[float], width: int, height: int) -> tuple[float, float, float, float]:
+    """min x, min y, max x, max y of a raster (north up; rotation is not used)."""
+    x0, y0 = gt[0], gt[3]
+    x1, y1 = x0 + gt[1] * width, y0 + gt[5] * height
+    return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+
+
+def guess(box: tuple[float, float, float, float]) -> int | None:
+    """4326 or 3857 by the range of the corners."""
+    xs, every = (abs(box[0]), abs(box[2])), [abs(v) for v in box]
+    if max(xs) <= 180 and max(every[1], every[3]) <= 90:
+        return 4326
+    return 3857 if min(xs) > 180 and max(every) <= 20037508.34 else None
+
+
+def extent(gt: list[float] | None, width: int, height: int, code: int | None) -> list[float] | None:
+    """[west, south, east, north] of a raster's corners, by the declared code if it is known, else by the guess."""
+    if not gt:
+        return None
+    box = corners(gt, width, height)
+    code = code if code == 3857 or code in systems.GEOGRAPHIC or code in systems.known() else guess(box)
+    if code is None:
+        return None
+    lng, lat = inverse(np.array([box[0], box[2], box[0], box[2]]), np.array([box[1], box[1], box[3], box[3]]), code)
+    out = [float(v) for v in (lng.min(), lat.min(), lng.max(), lat.max())]
+    return out if np.isfinite(out).all() else None

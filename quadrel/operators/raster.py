@@ -261,7 +261,7 @@ def window(tiles: DataFrame, corners: tuple[float, float, float, float], width:
     x0, y0, x1, y1 = grid.tile_bounds(F.col("z"), F.col("x"), F.col("y"))
     w, s, e, n = corners
     out = tiles.withColumns({"_x0": grid.merc_lng(x0), "_y0": grid.merc_lat(y0), "_x1": grid.merc_lng(x1), "_y1": grid.merc_lat(y1)})
-    points = {f"_p{i}": F.struct(*crs.from_wgs84(F.col(x), F.col(y), F.lit(code))) for i, (x, y) in enumerate((("_x0", "_y1"), ("_x1", "_y1"), ("_x0", "_y0"), ("_x1", "_y0")))}
+    points = {f"_p{i}": F.struct(*(c.alias(f"col{j}") for j, c in enumerate(crs.from_wgs84(F.col(x), F.col(y), code), 1))) for i, (x, y) in enumerate((("_x0", "_y1"), ("_x1", "_y1"), ("_x0", "_y0"), ("_x1", "_y0")))}
     out = out.withColumns(points)
     cols = [F.round((F.col(f"_p{i}.col1") - w) / (e - w) * (width - 1.0)).cast("long") for i in range(4)]
     rows = [F.round((1.0 - (F.col(f"_p{i}.col2") - s) / (n - s)) * (height - 1.0)).cast("long") for i in range(4)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: All that an image depends on: two requests that differ in any of these are two tiles.
@@ -24,6 +24,17 @@ def dedupe(requests: DataFrame, key: list[str]) -> DataFrame:
     return requests.groupBy(*key).agg(F.count(F.lit(1)).alias("n_requests"))
 
 
+def priority(z: Column, x: Column, y: Column) -> Column:
+    """The order of render jobs, least first: the coarsest zoom, then columns, then rows (bits may overlap beyond 2^20 tiles)."""
+    return F.shiftleft(z.cast("long"), 40).bitwiseOR(F.shiftleft(x.cast("long"), 20)).bitwiseOR(y.cast("long"))
+
+
+def queue(requests: DataFrame, key: list[str]) -> DataFrame:
+    """The jobs of a render farm: each tile once, with how many wait for it and its priority, in that order."""
+    jobs = dedupe(requests, key).withColumn("priority", priority(F.col("z"), F.col("x"), F.col("y")))
+    return jobs.orderBy("priority", *key)
+
+
 def outcomes(requests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Adds outcome: the first request of a tile is a miss, others hit.
 

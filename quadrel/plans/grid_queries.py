@@ -67,18 +67,18 @@ def wmts_matrix(spark, sf_dir):
     return spark.range(23).select(F.col("id").cast("int").alias("z")).select("z", grid.pow2(z).cast("long").alias("matrix_width"), F.round(grid.resolution(z), 6).alias("resolution"), F.round(grid.scale_denominator(z), 4).alias("scale"))
 
 
-NAMES = ["EPSG:4326", "epsg:3857", "urn:ogc:def:crs:EPSG::3857", "urn:ogc:def:crs:OGC:1.3:CRS84", "WGS 84", "WGS_1984_UTM_Zone_33N", "WGS 84 / UTM zone 19S", "UTM 7 N", "UTM zone 61N", "WGS_1984_Web_Mercator_Auxiliary_Sphere", "Popular Visualisation Pseudo-Mercator", "EPSG:32633", "EPSG:32761", "EPSG:27700", "EPSG32701", "", "local"]
+NAMES = ["EPSG:4326", "epsg:3857", "urn:ogc:def:crs:EPSG::3857", "urn:ogc:def:crs:OGC:1.3:CRS84", "WGS 84", "WGS_1984_UTM_Zone_33N", "WGS 84 / UTM zone 19S", "UTM 7 N", "UTM zone 61N", "WGS_1984_Web_Mercator_Auxiliary_Sphere", "Popular Visualisation Pseudo-Mercator", "EPSG:32633", "EPSG:32761", "EPSG:2154", "urn:ogc:def:crs:EPSG::3035", "WGS 84 / World Mercator", "EPSG:27700", "EPSG32701", "", "local"]
 COMPACT = "replace(replace(replace(upper(name),' ',''),'_',''),'-','')"
 _ZONE = "regexp_extract(c,'UTM[^0-9]{0,16}([0-9]{1,2})[^0-9NS][^NS]{0,15}[NS]|UTM[^0-9]{0,16}([0-9]{1,2})[NS]',0)"
-_KNOWN = "(code in (4326,3857) or code between 32601 and 32660 or code between 32701 and 32760)"
+_KNOWN = "(code in (4326,3857,2154,3035) or code between 32601 and 32661 or code between 32701 and 32761)"
 
 
 @query(
     "crs_parse",
     f"""select name, cast(case when regexp_matches(c,'EPSG:*3857|WEBMERCATOR|PSEUDOMERCATOR|AUXILIARYSPHERE|EPSG:*900913') then 3857
-    when number between 1 and 60 then case when zone like '%N' then 32600 else 32700 end + number
+    when c = 'WGS84/WORLDMERCATOR' then 3395 when number between 1 and 60 then case when zone like '%N' then 32600 else 32700 end + number
     when regexp_matches(c,'EPSG:*4326|CRS84|WGS84|WGS1984') then 4326 when {_KNOWN} then code end as int) as epsg
-    from (select *, try_cast(regexp_extract(zone,'([0-9]{{1,2}})[^0-9]*$',1) as int) as number, try_cast(regexp_extract(c,'^EPSG:*([0-9]{{1,5}})$',1) as int) as code
+    from (select *, try_cast(regexp_extract(zone,'([0-9]{{1,2}})[^0-9]*$',1) as int) as number, try_cast(regexp_extract(c,'(?:^|[^A-Z0-9])EPSG:*([0-9]{{1,5}})$',1) as int) as code
     from (select name, {COMPACT} as c, {_ZONE.replace("c,", COMPACT + ",", 1)} as zone from (select unnest({NAMES!r}) as name)))""",
 )
 def crs_parse(spark, sf_dir):
@@ -125,6 +125,35 @@ def reproject_points(spark, sf_dir):
     return fixtures.pts(spark, sf_dir).select("event_id", (F.col("event_id") % 2).cast("int").alias("kind"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
+# Textbook formulas in SQL, with the published parameters of four systems.
+_PHI = {"t": "(tan(pi()/4-({p})/2)/pow((1-e*sin({p}))/(1+e*sin({p})),e/2))", "m": "(cos({p})/sqrt(1-e*e*sin({p})*sin({p})))", "q": "((1-e*e)*(sin({p})/(1-e*e*sin({p})*sin({p}))-ln((1-e*sin({p}))/(1+e*sin({p})))/(2*e)))"}
+
+
+def _at(kind: str, lat: str) -> str:
+    return _PHI[kind].format(p=f"radians({lat})")
+
+
+_NATIONAL = [2154, 5070, 3031, 6933]
+_CONES = f"""select event_id, code, lat, e, radians(d-360*floor((d+180)/360)) as lam,
+    (ln({_at("m", "49e0")})-ln({_at("m", "44e0")}))/(ln({_at("t", "49e0")})-ln({_at("t", "44e0")})) as n,
+    (pow({_at("m", "29.5e0")},2)-pow({_at("m", "45.5e0")},2))/({_at("q", "45.5e0")}-{_at("q", "29.5e0")}) as g,
+    {_at("m", "71e0")}/{_at("t", "71e0")} as s, {_at("m", "30e0")} as k, {_at("t", "lat")} as t, {_at("t", "-lat")} as t_south, {_at("q", "lat")} as q
+    from (select event_id, lat, sqrt(2/298.257223563e0-1/pow(298.257223563e0,2)) as e, [2154,5070,3031,6933][event_id%4+1] as code, lng-[3e0,-96e0,0e0,0e0][event_id%4+1] as d from ({PTS}) where abs(lat) < 80)"""
+_RADII = f"""select *, {_at("m", "49e0")}/(n*pow({_at("t", "49e0")},n)) as f, pow({_at("m", "29.5e0")},2)+g*{_at("q", "29.5e0")} as c from ({_CONES})"""
+NATIONAL_SQL = f"""select event_id, cast(code as int) as code,
+    round(case code when 2154 then 700000+a*f*pow(t,n)*sin(n*lam) when 5070 then a*sqrt(c-g*q)/g*sin(g*lam) when 3031 then a*s*t_south*sin(lam) else a*k*lam end,2) as x,
+    round(case code when 2154 then 6600000+a*f*(pow({_at("t", "46.5e0")},n)-pow(t,n)*cos(n*lam)) when 5070 then a*(sqrt(c-g*{_at("q", "23e0")})-sqrt(c-g*q)*cos(g*lam))/g when 3031 then a*s*t_south*cos(lam) else a*q/(2*k) end,2) as y
+    from (select *, 6378137e0 as a from ({_RADII}))"""
+
+
+@query("national_grids", NATIONAL_SQL)
+def national_grids(spark, sf_dir):
+    code = F.element_at(F.array(*map(F.lit, _NATIONAL)), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = fixtures.pts(spark, sf_dir).where("abs(lat) < 80").select("event_id", "lng", "lat", code.alias("code"))
+    x, y = crs.from_wgs84(F.col("lng"), F.col("lat"), F.col("code"), _NATIONAL)
+    return rows.select("event_id", "code", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
 #: Rasters of 100x50 pixels at the points: in degrees, in metres, or in neither.
 _GT = {"x0": f"case event_id%3 when 0 then lng when 1 then lng*cast({C} as double)/180 else lng*cast(1000000 as double) end", "px": "case event_id%3 when 0 then cast(0.001 as double) else cast(30 as double) end"}
 _YT = f"case event_id%3 when 0 then lat when 1 then {MY} else lat*cast(1000000 as double) end"
@@ -167,15 +196,19 @@ def bbox_zoom(spark, sf_dir):
     return rows.select("name", grid.bbox_zoom(F.col("x0"), F.col("x1"), F.lit(800.0)).alias("z"))
 
 
-_CODES = [(4326, "WGS 84", 0), (3857, "WGS 84 / Pseudo-Mercator", 0), (3857, "another name", 1), (32633, "WGS 84 / UTM zone 33N", 0), (900913, "too large", 0)]
+# Names beside the library's own; the first of a code counts.
+_MORE = [(3857, "another name", 1), (27700, "OSGB36 / British National Grid", 0), (900913, "too large", 0)]
+_EPSG = "case p_partkey % 9 when 0 then 4326 when 1 then 3857 when 2 then 32633 when 3 then 32719 when 4 then 2154 when 5 then 25831 when 6 then 27700 when 7 then 2000 end"
 
 
 @query(
     "crs_names",
-    f"""select p_partkey, epsg, coalesce(name, 'EPSG:' || epsg, 'unknown') as crs_name from (select p_partkey, case p_partkey % 5 when 0 then 4326 when 1 then 3857 when 2 then 32633 when 3 then 32719 end as epsg from part)
-    left join (select code, arg_min(name, ord) as name from (values {", ".join(map(str, _CODES))}) t(code, name, ord) where code <= 65535 group by code) on code = epsg""",
+    f"""select p_partkey, epsg, case when epsg is null then 'unknown' when epsg = 4326 then 'WGS 84' when epsg = 3857 then 'WGS 84 / Pseudo-Mercator'
+    when epsg between 32601 and 32660 then 'WGS 84 / UTM zone ' || (epsg - 32600) || 'N' when epsg between 32701 and 32760 then 'WGS 84 / UTM zone ' || (epsg - 32700) || 'S'
+    when epsg between 25828 and 25838 then 'ETRS89 / UTM zone ' || (epsg - 25800) || 'N' when epsg = 2154 then 'RGF93 v1 / Lambert-93'
+    when epsg = 27700 then 'OSGB36 / British National Grid' else 'EPSG:' || epsg end as crs_name from (select p_partkey, {_EPSG} as epsg from part)""",
 )
 def crs_names(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, 4326).when(k == 1, 3857).when(k == 2, 32633).when(k == 3, 32719).alias("epsg"))
-    return crs.named(rows, crs.name_table(spark.createDataFrame(_CODES, "code int, name string, ord int")))
+    rows = fixtures.table(spark, sf_dir, "part").select("p_partkey", F.expr(_EPSG).alias("epsg"))
+    more = spark.createDataFrame(_MORE, "code int, name string, ord int")
+    return crs.named(rows, crs.name_table(crs.names(spark).unionByName(more)))

@@ -148,6 +148,11 @@ def request_dedupe(spark, sf_dir):
     return tilestore.dedupe(fixtures.reqs(spark, sf_dir), _KEY)
 
 
+@query("render_queue", f"select layer, z, x, y, count(*) as n_requests, (cast(z as bigint) << 40) | (cast(x as bigint) << 20) | cast(y as bigint) as priority from ({REQS}) group by layer, z, x, y order by priority, layer")
+def render_queue(spark, sf_dir):
+    return tilestore.queue(fixtures.reqs(spark, sf_dir), _KEY)
+
+
 _FILES = "select event_id || '.png' as path, ts as mtime, event_id % 997 + 100 as size from events"
 
 

@@ -54,20 +54,11 @@ class Raster:
     @property
     def code(self) -> int | None:
         """CRS of the transform: declared, or told by the range of the corners."""
-        x0, dx, _, y0, _, dy = self.meta["gt"]
-        xs, ys = (x0, x0 + dx * self.meta["width"]), (y0, y0 + dy * self.meta["height"])
-        if self.meta["epsg"]:
-            return self.meta["epsg"]
-        if all(abs(x) <= 180 for x in xs) and all(abs(y) <= 90 for y in ys):
-            return 4326
-        mercator = all(180 < abs(x) <= 20037508.34 for x in xs) and all(abs(y) <= 20037508.34 for y in ys)
-        return 3857 if mercator else None
+        return self.meta["epsg"] or projection.guess(self.corners)
 
     @property
     def corners(self) -> tuple[float, float, float, float]:
-        x0, dx, _, y0, _, dy = self.meta["gt"]
-        x1, y1 = x0 + dx * self.meta["width"], y0 + dy * self.meta["height"]
-        return min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)
+        return projection.corners(self.meta["gt"], self.meta["width"], self.meta["height"])
 
 
 class TileService:
@@ -171,9 +162,7 @@ class TileService:
         code = meta["epsg"]
         native = None
         if meta["gt"]:
-            x0, dx, _, y0, _, dy = meta["gt"]
-            x1, y1 = x0 + dx * meta["width"], y0 + dy * meta["height"]
-            native = [min(x0, x1), min(y0, y1), max(x0, x1), max(y0, y1)]
+            native = list(projection.corners(meta["gt"], meta["width"], meta["height"]))
         return {"name": name, "kind": "raster", "min_zoom": 0, "max_zoom": meta["max_zoom"], "crs": "EPSG:4326", "extent": meta["extent"], "native_crs": f"EPSG:{code}" if code else meta["crs_class"], "native_extent": native, "error": meta["error"]}
 
     def sources(self) -> DataFrame:
