@@ -115,13 +115,13 @@ def _utm(code: Column) -> tuple[Column, Column, Column]:
     return north | south, (zone * 6 - 183).cast("double"), F.when(south, _d(FALSE_NORTH)).otherwise(_d(0))
 
 
-def from_wgs84(lng: Column, lat: Column, code: Column | int, others: Iterable[int] = ()) -> tuple[Column, Column]:
+def from_wgs84(lng: Column, lat: Column, code: Column | int | systems.System, others: Iterable[int] = ()) -> tuple[Column, Column]:
     """Coordinates in a known CRS, null in others.
 
-    A number gives the expression of that system alone. A column may hold systems in degrees,
+    A number, or a system itself, gives the expression of that system alone. A column may hold systems in degrees,
     3857, UTM on WGS84, and those of `others`: each of them adds its formula to the plan.
     """
-    if isinstance(code, int):
+    if isinstance(code, int | systems.System):
         return _one(lng, lat, code, grid.lng_merc, grid.lat_merc, systems.forward)
     utm, lon0, fn = _utm(code)
     e, n = tm_forward(lng, lat, lon0, fn=fn)
@@ -131,9 +131,9 @@ def from_wgs84(lng: Column, lat: Column, code: Column | int, others: Iterable[in
     return _with_others(x, y, lng, lat, code, others, from_wgs84)
 
 
-def to_wgs84(x: Column, y: Column, code: Column | int, others: Iterable[int] = ()) -> tuple[Column, Column]:
+def to_wgs84(x: Column, y: Column, code: Column | int | systems.System, others: Iterable[int] = ()) -> tuple[Column, Column]:
     """Longitude and latitude of coordinates in a known CRS, null in others; `code` and `others` as in `from_wgs84`."""
-    if isinstance(code, int):
+    if isinstance(code, int | systems.System):
         return _one(x, y, code, grid.merc_lng, grid.merc_lat, systems.inverse)
     utm, lon0, fn = _utm(code)
     lng, lat = tm_inverse(x, y, lon0, fn=fn)
@@ -142,12 +142,12 @@ def to_wgs84(x: Column, y: Column, code: Column | int, others: Iterable[int] = (
     return _with_others(lng, lat, x, y, code, others, to_wgs84)
 
 
-def _one(x: Column, y: Column, code: int, merc_x, merc_y, move) -> tuple[Column, Column]:
+def _one(x: Column, y: Column, code: int | systems.System, merc_x, merc_y, move) -> tuple[Column, Column]:
     if code in systems.GEOGRAPHIC:
         return x, y
     if code == 3857:
         return merc_x(x), merc_y(y)
-    system = systems.known().get(code)
+    system = code if isinstance(code, systems.System) else systems.known().get(code)
     return move(systems.COLUMNS, x, y, system) if system else (F.lit(None).cast("double"), F.lit(None).cast("double"))
 
 

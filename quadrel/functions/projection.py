@@ -1,4 +1,7 @@
-"""Projections of numpy arrays: what `crs` does for columns, for the code that works on arrays."""
+"""Projections of numpy arrays: what `crs` does for columns, for the code that works on arrays.
+
+A system is given by its code or, where parameters define it, as such.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ import numpy as np
 from quadrel.functions import grid, systems
 
 
-def forward(lng: np.ndarray, lat: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+def forward(lng: np.ndarray, lat: np.ndarray, code: int | systems.System) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates in a known CRS; ValueError for another."""
     if code in systems.GEOGRAPHIC:
         return lng, lat
@@ -19,7 +22,7 @@ def forward(lng: np.ndarray, lat: np.ndarray, code: int) -> tuple[np.ndarray, np
         return systems.forward(systems.ARRAYS, lng, lat, system)
 
 
-def inverse(x: np.ndarray, y: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+def inverse(x: np.ndarray, y: np.ndarray, code: int | systems.System) -> tuple[np.ndarray, np.ndarray]:
     """Longitude and latitude of coordinates in a known CRS; ValueError for another."""
     if code in systems.GEOGRAPHIC:
         return x, y
@@ -30,7 +33,9 @@ def inverse(x: np.ndarray, y: np.ndarray, code: int) -> tuple[np.ndarray, np.nda
         return systems.inverse(systems.ARRAYS, x, y, system)
 
 
-def _system(code: int) -> systems.System:
+def _system(code: int | systems.System) -> systems.System:
+    if isinstance(code, systems.System):
+        return code
     if code not in systems.known():
         raise ValueError(f"unknown CRS {code}")
     return systems.known()[code]
@@ -51,12 +56,18 @@ def guess(box: tuple[float, float, float, float]) -> int | None:
     return 3857 if min(xs) > 180 and max(every) <= 20037508.34 else None
 
 
-def extent(gt: list[float] | None, width: int, height: int, code: int | None) -> list[float] | None:
+def declared(code: int | None, tm: list[float] | None) -> int | systems.System | None:
+    """A raster's system by its code, else by its transverse Mercator parameters (lon0, lat0, k, fe, fn)."""
+    return code or (systems.transverse("", *tm) if tm else None)
+
+
+def extent(gt: list[float] | None, width: int, height: int, code: int | systems.System | None) -> list[float] | None:
     """[west, south, east, north] of a raster's corners, by the declared code if it is known, else by the guess."""
     if not gt:
         return None
     box = corners(gt, width, height)
-    code = code if code == 3857 or code in systems.GEOGRAPHIC or code in systems.known() else guess(box)
+    if not (isinstance(code, systems.System) or code == 3857 or code in systems.GEOGRAPHIC or code in systems.known()):
+        code = guess(box)
     if code is None:
         return None
     lng, lat = inverse(np.array([box[0], box[2], box[0], box[2]]), np.array([box[1], box[1], box[3], box[3]]), code)

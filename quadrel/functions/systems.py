@@ -1,6 +1,6 @@
 """Projected systems by EPSG code, on WGS84 or an ellipsoid that is the same to a millimetre.
 
-A code is known if its datum needs no shift from WGS84 at the metre (ETRS89, NAD83, GDA94,
+A code is known if its datum's usual shift from WGS84 is null (ETRS89, NAD83, GDA94,
 GDA2020, SIRGAS 2000, CGCS2000, JGD, Korea 2000, NZGD2000) and its method is below. The
 formulas are written once, over a namespace of functions, for columns and for numpy arrays.
 A point that a system cannot show (the other pole) is infinite or NaN, not an error.

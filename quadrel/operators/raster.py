@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.functions import crs, grid, paths
+from quadrel.functions import crs, grid, paths, systems
 
 #: Pixels of a region read beyond which the nearest mode skips rows and columns.
 MAX_READ = 1024 * 1024
@@ -253,7 +253,7 @@ def locate(points: DataFrame, corners: tuple[float, float, float, float], width:
     return points.withColumn("col", u * F.lit(width - 1.0)).withColumn("row", (F.lit(1.0) - v) * F.lit(height - 1.0))
 
 
-def window(tiles: DataFrame, corners: tuple[float, float, float, float], width: int, height: int, code: int = 4326) -> DataFrame:
+def window(tiles: DataFrame, corners: tuple[float, float, float, float], width: int, height: int, code: int | systems.System = 4326) -> DataFrame:
     """Adds the window of image pixels that tiles (z, x, y) can touch, and the step to read it with.
 
     corners: west, south, east, north in the CRS `code`; the tile's corners are moved there.

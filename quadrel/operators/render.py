@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid, projection
+from quadrel.functions import grid, projection, systems
 from quadrel.operators import raster
 from quadrel.sources import png, webp
 
@@ -38,7 +38,7 @@ class Image:
     limits: list[tuple[float, float]]
     sentinel: float | None = None
     bands: list[int] = field(default_factory=lambda: [1, 2, 3])
-    code: int = 4326
+    code: int | systems.System = 4326
     affine: bool = False
 
     def place(self, lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

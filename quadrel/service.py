@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.functions import grid, paths, projection
+from quadrel.functions import grid, paths, projection, systems
 from quadrel.operators import catalog, ogc, raster, render, tilestore, vector
 from quadrel.sources import readers
 
@@ -52,9 +52,9 @@ class Raster:
             table.unpersist()
 
     @property
-    def code(self) -> int | None:
-        """CRS of the transform: declared, or told by the range of the corners."""
-        return self.meta["epsg"] or projection.guess(self.corners)
+    def code(self) -> int | systems.System | None:
+        """CRS of the transform: declared by code or parameters, or told by the range of the corners."""
+        return projection.declared(self.meta["epsg"], self.meta["tm"]) or projection.guess(self.corners)
 
     @property
     def corners(self) -> tuple[float, float, float, float]:

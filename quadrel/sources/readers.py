@@ -64,7 +64,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 # ---------------------------------------------------------------- rasters
 
-_META = "path string, width int, height int, bands int, dtype string, nodata string, gt array<double>, crs_class string, epsg int, n_levels int, error string, extent array<double>"
+_META = "path string, width int, height int, bands int, dtype string, nodata string, gt array<double>, crs_class string, epsg int, n_levels int, error string, tm array<double>, extent array<double>"
 
 
 #: What broken files raise.
@@ -97,9 +97,9 @@ def _meta(path: str, content: bytes | None, ovr: str | None, ovr_content: bytes
     try:
         x = _info(path, content, ovr, ovr_content, world)
         b = x.levels[0]
-        yield (path, b.width, b.height, b.bands, b.dtype[1:], x.nodata, x.transform, x.crs_class, x.epsg, len(x.levels), None, projection.extent(x.transform, b.width, b.height, x.epsg))
+        yield (path, b.width, b.height, b.bands, b.dtype[1:], x.nodata, x.transform, x.crs_class, x.epsg, len(x.levels), None, x.tm, projection.extent(x.transform, b.width, b.height, projection.declared(x.epsg, x.tm)))
     except Exception as e:  # noqa: BLE001  the file's fault is its row's error
-        yield (path, *[None] * 9, f"{type(e).__name__}: {e}", None)
+        yield (path, *[None] * 9, f"{type(e).__name__}: {e}", None, None)
 
 
 def _with_world(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -126,7 +126,7 @@ def _whole(spark: SparkSession, paths: str | list[str]) -> bool:
 
 def geotiff_meta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A row for each TIFF: its size, georeference, extent in degrees, greatest zoom, or the error."""
-    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64())]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())]
     names = [c.split()[0] for c in _META.split(", ")]
     rows = _with_world(spark, paths).mapInArrow(_rows(_meta, [*_FILE, "world"], names, types), _META)
     degrees = F.col("crs_class") != "Projected"

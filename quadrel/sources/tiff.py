@@ -15,12 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from quadrel.functions import systems
+
 # TIFF and GeoTIFF tags, field types and geo keys.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, SUB_IFDS, SAMPLE_FORMAT = 322, 323, 324, 325, 330, 339
 PIXEL_SCALE, TIEPOINT, GEO_KEYS, GEO_DOUBLES, NODATA = 33550, 33922, 34735, 34736, 42113
 FIELDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 KEYS = {1024: "model_type", 2048: "geographic", 3072: "projected", 3075: "coord_trans", 3080: "lon0", 3081: "lat0", 3082: "fe", 3083: "fn", 3092: "k"}
+# Fixed value: the code of what parameters define.
+USER_DEFINED = 32767
 
 
 class Unsupported(ValueError):
@@ -59,7 +63,7 @@ class Info:
     def epsg(self) -> int | None:
         """Code of the declared CRS; None for one defined by parameters."""
         k = self.geokeys
-        if k.get("projected"):
+        if k.get("projected") and k["projected"] != USER_DEFINED:
             return int(k["projected"])
         if k.get("model_type") == 2:
             return int(k.get("geographic", 4326))
@@ -67,6 +71,14 @@ class Info:
             return None
         return int(k["geographic"]) if k.get("geographic") else None
 
+    @property
+    def tm(self) -> list[float] | None:
+        """Transverse Mercator by parameters, if that is what is declared: lon0, lat0, k, fe, fn."""
+        k = self.geokeys
+        if self.epsg is not None or k.get("coord_trans") != 1 or "lon0" not in k or "lat0" not in k:
+            return None
+        return [float(k["lon0"]), float(k["lat0"]), float(k.get("k", 1.0)), float(k.get("fe", 0.0)), float(k.get("fn", 0.0))]
+
     @property
     def crs_class(self) -> str:
         return {1: "Projected", 2: "Geographic"}.get(int(self.geokeys.get("model_type", 0)), "Unknown")
@@ -294,7 +306,7 @@ def read_image(data: bytes, level: Level) -> np.ndarray:
     return out
 
 
-def write(images: list[np.ndarray], transform: list[float] | None = None, epsg: int | None = None, nodata: str | None = None, tile: int | None = None, planar: bool = False, compress: bool = False, predictor: bool = False, order: str = "<") -> bytes:
+def write(images: list[np.ndarray], transform: list[float] | None = None, epsg: int | None = None, nodata: str | None = None, tile: int | None = None, planar: bool = False, compress: bool = False, predictor: bool = False, order: str = "<", tm: list[float] | None = None) -> bytes:
     """A TIFF of images (rows, columns, bands), the base first; overviews follow as directories."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
@@ -327,8 +339,13 @@ def write(images: list[np.ndarray], transform: list[float] | None = None, epsg:
         if n == 0 and transform:
             tags += [(PIXEL_SCALE, 12, [transform[1], -transform[5], 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, transform[0], transform[3], 0.0])]
         if n == 0 and epsg:
-            keys = [1024, 0, 1, 2, 2048, 0, 1, epsg] if epsg == 4326 else [1024, 0, 1, 1, 3072, 0, 1, epsg]
+            keys = [1024, 0, 1, 2, 2048, 0, 1, epsg] if epsg in systems.GEOGRAPHIC else [1024, 0, 1, 1, 3072, 0, 1, epsg]
             tags.append((GEO_KEYS, 3, [1, 1, 0, 2, *keys]))
+        elif n == 0 and tm:
+            keys = [1024, 0, 1, 1, 3072, 0, 1, USER_DEFINED, 3075, 0, 1, 1]
+            for at, key in enumerate((3080, 3081, 3092, 3082, 3083)):
+                keys += [key, GEO_DOUBLES, 1, at]
+            tags += [(GEO_KEYS, 3, [1, 1, 0, 8, *keys]), (GEO_DOUBLES, 12, list(tm))]
         if n == 0 and nodata is not None:
             tags.append((NODATA, 2, nodata.encode("latin-1") + b"\0"))
         link = _directory(out, sorted(tags, key=lambda t: t[0]), link, order)

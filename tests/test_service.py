@@ -209,3 +209,38 @@ def test_batch_takes_paths_below_its_bases(service):
         service.batch([folder], "../rgb.tif", [(0, 0, 0)])
     with pytest.raises(FileNotFoundError):
         service.batch([folder], "none.tif", [(0, 0, 0)])
+
+
+@pytest.mark.parametrize("code", [2154, None])
+def test_rasters_in_national_grids(spark, tmp_path, code):
+    """By code, and by the parameters of the British grid on this ellipsoid."""
+    tm = None if code else [-2.0, 49.0, 0.9996012717, 400000.0, -100000.0]
+    place = (2.4, 47.0) if code else (-1.5, 52.0)
+    system = code or projection.declared(None, tm)
+    e0, n0 = (round(float(v), -3) for v in projection.forward(*map(np.float64, place), system))
+    grey = np.add.outer(np.arange(200.0), np.arange(240.0))[:, :, None].astype("float32")
+    (tmp_path / "grid.tif").write_bytes(tiff.write([grey], [e0, 100.0, 0.0, n0, 0.0, -100.0], code, tm=tm))
+    service = TileService(spark, [str(tmp_path)])
+    info = service.info("grid.tif")
+    west, south, east, north = info["extent"]
+    assert info["error"] is None and west < place[0] + 0.02 < east and south < place[1] - 0.05 < north
+    z, x, y = tile_of(place[0] + 0.15, place[1] - 0.1, 11)
+    picture = png.decode(service.raster_tiles("grid.tif", [(z, x, y)]).first().data)
+    side, at = 2 * grid.HALF / 2**z, (np.arange(256) + 0.5) / 256
+    mx, my = np.broadcast_arrays((-grid.HALF + (x + at) * side)[None, :], (grid.HALF - (y + at) * side)[:, None])
+    e, n = projection.forward(*projection.inverse(mx, my, 3857), system)
+    col, r = (e - e0) / 24000 * 239, (1 - (n - n0 + 20000) / 20000) * 199
+    ok = (col >= 1) & (r >= 1) & (col < 238) & (r < 198)
+    assert ok.any() and np.array_equal(picture[:, :, 0][ok], np.floor((np.floor(r) + np.floor(col))[ok] / 438 * 255))
+
+
+def test_features_in_any_known_system(spark, tmp_path):
+    places = {"a": ("urn:ogc:def:crs:EPSG::2154", 2154, (2.35, 48.85)), "b": ("EPSG:3035", 3035, (5.0, 50.0)), "c": ("EPSG:4258", 4258, (5.5, 50.5)), "d": ("EPSG:27700", None, (1.0, 1.0))}
+    for name, (crs, code, place) in places.items():
+        x, y = projection.forward(*map(np.float64, place), code) if code else place
+        feature = {"type": "Feature", "geometry": {"type": "Point", "coordinates": [float(x), float(y)]}, "properties": {}}
+        (tmp_path / f"{name}.geojson").write_text(json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": crs}}, "features": [feature]}))
+    service = TileService(spark, [str(tmp_path)])
+    for name, (_, code, place) in places.items():
+        got = [json.loads(r.geometry)["coordinates"] for r in service.features(f"{name}.geojson").collect()]
+        assert got == ([pytest.approx(place, abs=1e-7)] if code else [])  # never a guess
