@@ -138,9 +138,18 @@ def choose_level(levels: DataFrame, tiles: DataFrame, by: list[str]) -> DataFram
 
     levels: by, idx, width, base_width, metres (of a base pixel). tiles: by, z. First level wins ties.
     """
-    res = F.col("metres") * F.col("base_width") / F.col("width")
-    diff = F.when(F.col("metres") > 0, F.abs(res - grid.resolution(F.col("z")))).otherwise(F.lit(0.0))
-    return tiles.join(levels, by).groupBy(*by, "z").agg(F.min_by("idx", F.struct(diff, F.col("idx"))).alias("idx"))
+    # One row for each raster on either side, so that the join grows with the rasters only. The sizes that Spark
+    # expects behind an explode are far too low, hence the hint: it would broadcast what no driver holds.
+    shapes = levels.groupBy(*by).agg(F.collect_set(F.struct("idx", "width", "base_width", "metres")).alias("_levels"))
+    zooms = tiles.groupBy(*by).agg(F.collect_set(F.struct("z")).alias("_zooms"))
+    each = zooms.join(shapes.hint("merge"), by).select(*by, "_levels", F.explode("_zooms.z").alias("z"))
+
+    def ranked(level: Column) -> Column:
+        res = level["metres"] * level["base_width"] / level["width"]
+        diff = F.when(level["metres"] > 0, F.abs(res - grid.resolution(F.col("z")))).otherwise(F.lit(0.0))
+        return F.struct(diff.alias("diff"), level["idx"].alias("idx"))
+
+    return each.select(*by, "z", F.array_min(F.transform("_levels", ranked))["idx"].alias("idx"))
 
 
 # ---------------------------------------------------------------- sampling

@@ -136,3 +136,14 @@ def test_first_n(spark, n):
     rows = [(b, r, c, float(r * 10 + c)) for b in (1, 2) for r in range(7) for c in range(9) if (r + c + b) % 5]
     got = raster.first_n(spark.createDataFrame(rows, "band int, row long, col long, v double"), ["band"], ["row", "col"], n).collect()
     assert sorted(map(tuple, got)) == sorted(x for b in (1, 2) for x in sorted(y for y in rows if y[0] == b)[:n])
+
+
+def test_level_choice_broadcasts_nothing(spark):
+    """The sizes expected behind an explode are too low: a broadcast of levels or tiles does not fit a driver."""
+    one = spark.range(3).select(F.col("id").alias("raster"), (F.col("id") * 100.0).alias("metres"), F.lit(4).alias("base_width"))
+    levels = one.withColumn("l", F.explode(F.array(*(F.struct(F.lit(i).alias("idx"), F.lit(4 >> i).alias("width")) for i in range(3))))).select("raster", "metres", "base_width", "l.*")
+    tiles = one.select("raster", F.explode(F.array(*map(F.lit, (0, 10, 10, 9, 9)))).alias("z"))
+    got = raster.choose_level(levels, tiles.union(tiles.where("raster = 1")), ["raster"])
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == [(0, 0, 0), (0, 9, 0), (0, 10, 0), (1, 0, 2), (1, 9, 2), (1, 10, 1), (2, 0, 2), (2, 9, 1), (2, 10, 0)]
