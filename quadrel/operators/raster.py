@@ -188,7 +188,8 @@ def resample(px: DataFrame, targets: DataFrame, on: list[str], keep: list[str],
     at = targets.where(inside)
     if mode == "nearest":
         at = at.select(*keep, *[c for c in on if c not in keep], F.floor("row").cast("long").alias("row"), F.floor("col").cast("long").alias("col"))
-        return at.join(px, [*on, "row", "col"]).select(*keep, "v")
+        # Targets are mostly exploded, and Spark expects far too few of them: it would broadcast them.
+        return at.join(px.hint("merge"), [*on, "row", "col"]).select(*keep, "v")
     at = at.withColumn("_r", F.floor("row").cast("long")).withColumn("_c", F.floor("col").cast("long"))
     at = at.withColumn("_ty", _taps(F.col("row") - F.col("_r"), mode)).withColumn("_tx", _taps(F.col("col") - F.col("_c"), mode))
     at = at.withColumn("_y", F.explode("_ty")).withColumn("_x", F.explode("_tx"))

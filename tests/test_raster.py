@@ -147,3 +147,11 @@ def test_level_choice_broadcasts_nothing(spark):
     assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
     rows = sorted(map(tuple, got.collect()))
     assert rows == [(0, 0, 0), (0, 9, 0), (0, 10, 0), (1, 0, 2), (1, 9, 2), (1, 10, 1), (2, 0, 2), (2, 9, 1), (2, 10, 0)]
+
+
+def test_nearest_broadcasts_no_targets(spark, picture):
+    h, w = picture.shape
+    targets = spark.range(h).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("j")).select("i", "j", (F.col("i") + 0.75).alias("row"), (F.col("j") + 0.25).alias("col"))
+    got = raster.resample(table(spark, picture), targets, [], ["i", "j"], "nearest", w, h)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
+    assert {(r.i, r.j): r.v for r in got.collect()} == {(i, j): picture[i, j] for i in range(h) for j in range(w)}
