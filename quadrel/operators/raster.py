@@ -9,9 +9,13 @@ bounds have one row for each band; adaptive execution broadcasts them if they ar
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrel.functions import crs, grid, paths, systems
 
@@ -177,29 +181,96 @@ def _taps(at: Column, mode: str) -> Column:
     return F.array(*(F.struct(F.lit(d).alias("d"), w.cast("double").alias("w")) for d, w in pairs))
 
 
+#: Rows and columns of a cell, the unit in which pixels meet targets.
+CELL = 16
+#: Taps before and behind a target's own pixel.
+REACH = {"bilinear": (0, 1), "bicubic": (1, 2), "lanczos3": (2, 3)}
+
+
+def _dense(side: int):
+    """Lists of (place, value) as arrays of side * side: the sums of the values (0 where there are none) and, unless each
+    place has one value, the pixels and the values of each place."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = side * side
+        for rb in batches:
+            lists = rb.column("_pixels")
+            ends = lists.offsets.to_numpy()
+            flat = lists.flatten()
+            place, v = (flat.field(f) for f in ("p", "v"))
+            at = np.repeat(np.arange(rb.num_rows, dtype=np.int64) * n, np.diff(ends)) + place.to_numpy(zero_copy_only=False)
+            there = v.is_valid().to_numpy(zero_copy_only=False)
+            cells = rb.num_rows * n
+            # Not bincount's weights: they would do as well, but sums of one value must be that value, NaN and -0.0 included.
+            sums = np.zeros(cells)
+            np.add.at(sums, at[there], v.drop_null().to_numpy(zero_copy_only=False))
+            pixels, values = np.bincount(at, minlength=cells), np.bincount(at[there], minlength=cells)
+            whole = (pixels == 1).reshape(-1, n).all(axis=1) & (values == 1).reshape(-1, n).all(axis=1)
+            starts = pa.array(np.arange(rb.num_rows + 1, dtype=np.int32) * n)
+            counts = [pa.ListArray.from_arrays(starts, pa.array(c.astype(np.int32)), mask=pa.array(whole)) for c in (pixels, values)]
+            rest = [(c, rb.column(c)) for c in rb.schema.names if c != "_pixels"]
+            done = [*rest, ("_v", pa.ListArray.from_arrays(starts, pa.array(sums))), *zip(("_n", "_m"), counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([c for _, c in done], names=[name for name, _ in done])
+
+    return run
+
+
+def cells(px: DataFrame, on: list[str], before: int, behind: int) -> DataFrame:
+    """Cells of an image with what their targets' taps reach: on, _cr, _cc, and dense arrays _v, _n, _m of `_dense`.
+
+    A pixel near an edge is in both cells beside it, so each target needs one cell.
+    """
+    side = CELL + before + behind
+    over = lambda c: F.explode(F.sequence(F.floor((F.col(c) - behind) / F.lit(float(CELL))), F.floor((F.col(c) + before) / F.lit(float(CELL)))))
+    each = px.select(*on, "row", "col", F.col("v").cast("double").alias("v")).withColumn("_cr", over("row")).withColumn("_cc", over("col"))
+    place = (F.col("row") - F.col("_cr") * CELL + before) * side + F.col("col") - F.col("_cc") * CELL + before
+    packed = each.groupBy(*on, "_cr", "_cc").agg(F.collect_list(F.struct(place.cast("int").alias("p"), "v")).alias("_pixels"))
+    kinds = [*packed.drop("_pixels").schema.fields, *T.StructType.fromDDL("_v array<double>, _n array<int>, _m array<int>").fields]
+    return packed.mapInArrow(_dense(side), T.StructType(kinds))
+
+
 def resample(px: DataFrame, targets: DataFrame, on: list[str], keep: list[str], mode: str, width: int, height: int) -> DataFrame:
     """Sample an image of width x height at the targets' fractional row and col.
 
     on: key columns that px and targets share; keep: the targets' own columns. nearest cuts
     off the fraction. Taps beyond the edge are the edge's pixels, but lanczos3 leaves them
-    out and divides by the weights that are left. Targets outside the image have no row.
+    out and divides by the weights that are left. Taps without a pixel are left out; a target
+    without any has no row. Targets outside the image have no row.
+
+    Pixels are packed into cells that hold all taps of their targets, so a target is one row of one
+    equi-join, whatever its taps are, and no aggregate follows; adaptive execution may split the targets of a cell.
     """
     inside = (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < height) & (F.col("col") < width)
     at = targets.where(inside)
+    ons = [c for c in on if c not in keep]
+    # Targets are mostly exploded, and Spark expects far too few of them: it would broadcast them.
     if mode == "nearest":
-        at = at.select(*keep, *[c for c in on if c not in keep], F.floor("row").cast("long").alias("row"), F.floor("col").cast("long").alias("col"))
-        # Targets are mostly exploded, and Spark expects far too few of them: it would broadcast them.
+        at = at.select(*keep, *ons, F.floor("row").cast("long").alias("row"), F.floor("col").cast("long").alias("col"))
         return at.join(px.hint("merge"), [*on, "row", "col"]).select(*keep, "v")
-    at = at.withColumn("_r", F.floor("row").cast("long")).withColumn("_c", F.floor("col").cast("long"))
-    at = at.withColumn("_ty", _taps(F.col("row") - F.col("_r"), mode)).withColumn("_tx", _taps(F.col("col") - F.col("_c"), mode))
-    at = at.withColumn("_y", F.explode("_ty")).withColumn("_x", F.explode("_tx"))
-    row, col = F.col("_r") + F.col("_y.d"), F.col("_c") + F.col("_x.d")
-    if mode != "lanczos3":
-        row, col = (F.greatest(F.least(x, F.lit(n - 1)), F.lit(0)) for x, n in ((row, height), (col, width)))
-    at = at.select(*keep, *[c for c in on if c not in keep], (F.col("_y.w") * F.col("_x.w")).alias("_w"), row.cast("long").alias("row"), col.cast("long").alias("col"))
-    hit = at.join(px, [*on, "row", "col"])
-    total = F.sum(F.col("_w") * F.col("v"))
-    return hit.groupBy(*keep).agg((total / F.sum("_w") if mode == "lanczos3" else total).alias("v"))
+    before, behind = REACH[mode]
+    side, taps = CELL + before + behind, F.array(*map(F.lit, range(before + behind + 1)))
+    at = at.withColumn("_r", F.floor("row")).withColumn("_c", F.floor("col"))
+    at = at.withColumns({"_wy": _taps(F.col("row") - F.col("_r"), mode), "_wx": _taps(F.col("col") - F.col("_c"), mode), "_cr": F.floor(F.col("_r") / F.lit(float(CELL))), "_cc": F.floor(F.col("_c") / F.lit(float(CELL)))})
+
+    def places(pixel: str, cell: str, size: int) -> Column:
+        """The taps' rows or columns, counted from the cell's first."""
+        tap = lambda i: F.col(pixel) + i - before
+        cut = tap if mode == "lanczos3" else lambda i: F.greatest(F.least(tap(i), F.lit(size - 1)), F.lit(0))
+        return F.transform(taps, lambda i: (cut(i) - F.col(cell) * CELL + before).cast("int"))
+
+    at = at.select(*keep, *ons, "_cr", "_cc", F.col("_wy.w").alias("_wy"), F.col("_wx.w").alias("_wx"), F.transform(places("_r", "_cr", height), lambda y: y * side).alias("_y"), places("_c", "_cc", width).alias("_x"))
+    hit = at.join(cells(px, on, before, behind).hint("merge"), [*on, "_cr", "_cc"])
+    all_taps = F.sequence(F.lit(0), F.lit(before + behind))
+
+    def fold(value: str) -> Column:
+        """Sum over the taps of weight * value; value is SQL of the place p."""
+        inner = f"aggregate(_t, 0D, (b, j) -> b + _wx[j] * {value.format(p='_y[i] + _x[j]')})"
+        return F.expr(f"aggregate(_t, 0D, (a, i) -> a + _wy[i] * {inner})")
+
+    some = lambda c: F.expr(f"{c} is null or exists(_y, y -> exists(_x, x -> {c}[y + x] > 0))")
+    hit = hit.withColumn("_t", all_taps).where(some("_n"))
+    total = F.when(some("_m"), fold("_v[{p}]"))
+    return hit.select(*keep, (total / fold("if(_n is null, 1, _n[{p}])") if mode == "lanczos3" else total).alias("v"))
 
 
 def decimation(pixels: Column) -> Column:

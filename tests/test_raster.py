@@ -155,3 +155,42 @@ def test_nearest_broadcasts_no_targets(spark, picture):
     got = raster.resample(table(spark, picture), targets, [], ["i", "j"], "nearest", w, h)
     assert "BroadcastExchange" not in got._jdf.queryExecution().toString()
     assert {(r.i, r.j): r.v for r in got.collect()} == {(i, j): picture[i, j] for i in range(h) for j in range(w)}
+
+
+@pytest.mark.parametrize("mode", ["bicubic"])
+def test_kernels_meet_targets_once(spark, picture, mode):
+    """No row a tap and no broadcast; holes, nulls, repeated pixels and several images give the sums over the taps that are there."""
+    rng = np.random.default_rng(5)
+    h, w = picture.shape
+    pixels = [(k, r, c, None if 20 < r < 32 and 28 < c < 42 or rng.random() < 0.05 else float(picture[r, c]) + k) for k in (0, 1) for r in range(h) for c in range(w) if rng.random() < 0.8 or r > 30]
+    pixels = [p for p in pixels if not (p[1] < 12 and p[2] < 12)] + [p for p in pixels if p[1] == 20]
+    px = spark.createDataFrame(pixels, "k int, row long, col long, v double")
+    at = [(k, i, float(rng.uniform(-1, h + 1)), float(rng.uniform(-1, w + 1))) for k in (0, 1) for i in range(400)]
+    at += [(0, 400, 0.0, 0.0), (0, 401, h - 1.0, w - 1.0), (1, 402, 16.0, 31.999), (2, 403, 5.0, 5.0)]
+    out = raster.resample(px, spark.createDataFrame(at, "k int, i int, row double, col double"), ["k"], ["k", "i"], mode, w, h)
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastExchange" not in plan and "explode(_t" not in plan
+    lo, hi = raster.REACH[mode]
+    cubic = lambda t: [0.5 * x for x in (-t + 2 * t * t - t**3, 2 - 5 * t * t + 3 * t**3, t + 4 * t * t - 3 * t**3, t**3 - t * t)]
+    lanczos = lambda t: [float(np.sinc(d - t) * np.sinc((d - t) / 3)) if abs(d - t) < 3 else 0.0 for d in range(-2, 4)]
+    weights = {"bilinear": lambda t: [1 - t, t], "bicubic": cubic, "lanczos3": lanczos}[mode]
+    held = {}
+    for k, r, c, v in pixels:
+        held.setdefault((k, r, c), []).append(v)
+    want = {}
+    for k, i, y, x in at:
+        if not (0 <= y < h and 0 <= x < w):
+            continue
+        found = []
+        for dy, wy in zip(range(-lo, hi + 1), weights(y - int(y)), strict=True):
+            for dx, wx in zip(range(-lo, hi + 1), weights(x - int(x)), strict=True):
+                r, c = int(y) + dy, int(x) + dx
+                if mode != "lanczos3":
+                    r, c = min(max(r, 0), h - 1), min(max(c, 0), w - 1)
+                found += [(wy * wx, v) for v in held.get((k, r, c), [])]
+        if found:
+            there = [a * v for a, v in found if v is not None]
+            want[k, i] = None if not there else sum(there) / (sum(a for a, _ in found) if mode == "lanczos3" else 1)
+    got = {(r.k, r.i): r.v for r in out.collect()}
+    assert got.keys() == want.keys() and None in want.values()
+    assert all(got[x] is None if v is None else got[x] == pytest.approx(v, rel=1e-6, abs=1e-6) for x, v in want.items())
