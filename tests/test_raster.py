@@ -157,7 +157,7 @@ def test_nearest_broadcasts_no_targets(spark, picture):
     assert {(r.i, r.j): r.v for r in got.collect()} == {(i, j): picture[i, j] for i in range(h) for j in range(w)}
 
 
-@pytest.mark.parametrize("mode", ["bicubic", "bilinear"])
+@pytest.mark.parametrize("mode", ["bicubic", "bilinear", "lanczos3"])
 def test_kernels_meet_targets_once(spark, picture, mode):
     """No row a tap and no broadcast; holes, nulls, repeated pixels and several images give the sums over the taps that are there."""
     rng = np.random.default_rng(5)
