@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ def first_n(px: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame
 
 #: Equal parts of a band's value range; only the parts that hold a percentile are ranked.
 PARTS = 1024
+#: Distinct values of a band, or up to twice as many, from which the parts' range is taken.
+CUT_VALUES = 10_000
 
 
 def percentiles(px: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98, sample_cap: int | None = None, order: list[str] | None = None) -> DataFrame:
@@ -66,19 +70,29 @@ def percentiles(px: DataFrame, by: list[str], low: float = 0.02, high: float = 0
     if sample_cap is not None:
         px = first_n(px, by, order or ["row", "col"], sample_cap)
     counts = px.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("_n"))
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Inner join in which nulls are equal: a band without a name is a band."""
+        right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+        return left.join(right, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))).drop(*(f"_on_{c}" for c in on))
+
     # The parts divide what lies between two quantiles of the distinct values, so that a few far values do not
-    # widen them; the first and the last part take the rest. Any ascending parts give the exact rank.
-    cut = F.percentile_approx("v", F.array(F.lit(0.001), F.lit(0.999)), F.lit(10_000))
-    bands = counts.groupBy(*by).agg(cut.alias("_cut"), F.sum("_n").alias("_all")).select(*by, F.get("_cut", F.lit(0)).alias("_lo"), F.get("_cut", F.lit(1)).alias("_hi"), "_all")
+    # widen them; the first and the last part take the rest. Any ascending parts give the exact rank, but the plan
+    # reads the parts twice and Spark may compute them twice: they must depend on the values only, not on the order in
+    # which rows arrive, as percentile_approx does. So the quantiles are exact ones of the values with small hashes.
+    sizes = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_all"))
+    some = meet(counts, sizes, by).where(F.pmod(F.xxhash64("v"), F.greatest(F.expr(f"_m div {CUT_VALUES}"), F.lit(1))) == 0)
+    cuts = some.groupBy(*by).agg(F.percentile("v", F.array(F.lit(0.001), F.lit(0.999))).alias("_cut"), F.first("_all").alias("_all"))
+    bands = cuts.select(*by, F.get("_cut", F.lit(0)).alias("_lo"), F.get("_cut", F.lit(1)).alias("_hi"), "_all")
     span = F.col("_hi") - F.col("_lo")
     scaled = F.greatest(F.least((F.col("v") - F.col("_lo")) / span * F.lit(float(PARTS - 2)), F.lit(float(PARTS - 2))), F.lit(-1.0))
     part = F.when(span > 0, F.floor(scaled) + 1).otherwise(F.when(F.col("v") < F.col("_lo"), 0).when(F.col("v") == F.col("_lo"), 1).otherwise(2))
-    parted = counts.join(bands, by).withColumn("_part", part.cast("int"))
+    parted = meet(counts, bands, by).withColumn("_part", part.cast("int"))
     sums = parted.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"), F.first("_all").alias("_all"))
     sums = sums.withColumn("_start", F.expr(f"sum(_in) over (partition by {keys} order by _part) - _in"))
     rank = lambda p: F.floor(F.lit(p) * (F.col("_all") - 1))
     holds = lambda p: (F.col("_start") <= rank(p)) & (rank(p) < F.col("_start") + F.col("_in"))
-    near = parted.select(*by, "_part", "v", "_n").join(sums.where(holds(low) | holds(high)), [*by, "_part"])
+    near = meet(parted.select(*by, "_part", "v", "_n"), sums.where(holds(low) | holds(high)), [*by, "_part"])
     near = near.withColumn("_upto", F.col("_start") + F.expr(f"sum(_n) over (partition by {keys}, _part order by v)"))
     pick = lambda p: F.min(F.when(holds(p) & (F.col("_upto") > rank(p)), F.col("v")))
     return near.groupBy(*by).agg(pick(low).alias("lo"), pick(high).alias("hi"))
