@@ -12,12 +12,13 @@ rest is confirmed on the full sets.
 Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
 so a bucket of n gives n - 1 pairs. What this star leaves open are members of
-different components in one bucket. Such members meet in blocks of `BLOCK`, as sketches;
-the bucket's largest component meets the others, never itself. In buckets above one block,
-each component's most similar hopeful pair is verified first, as in a step of Boruvka's
-algorithm, so that groups join by their centre. Then blocks meet with their texts and
-decide what is left, the most similar first, until no pair joins two components; they return
-links only, never pairs. A pair that shares several bands is taken in the first. Nothing is capped.
+different components in one bucket. In buckets above `BLOCK` members, rounds deal each member
+into one block, anew each time, and verify each component's most similar hopeful pair there, as in
+a step of Boruvka's algorithm, so that a large group joins while rows grow with its size only.
+What is left in several components then meets in blocks of `BLOCK`, as sketches;
+the bucket's largest component meets the others, never itself. Members of hopeful pairs
+go on with their texts, and their blocks decide, the most similar first, until no pair joins two
+components; they return links only, never pairs. A pair that shares several bands is taken in the first. Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
@@ -49,6 +50,8 @@ BATCH_BYTES = 2 << 20
 #: Members of an open bucket, and about as many shingles, that one task compares with as many others.
 BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
+#: Rounds in which each member of a large open bucket is in one block, before all its blocks meet.
+ROUNDS = 3
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +227,20 @@ def _best_rows(least: float):
     return run
 
 
+def _hopeful_rows(least: float):
+    """The members of two blocks that are in a hopeful pair, without their sketches."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, _ = _hopeful_pairs(table, least)
+        return table.select(_MET_COLUMNS).take(pa.array(np.unique(np.concatenate((x, y)))))
+
+    return run
+
+
+_MET = "key long, band int, rep long, comp long, block int, low long, p int, q int"
+_MET_COLUMNS = [c.split()[0] for c in _MET.split(", ")]
+
+
 def _decide_rows(least: float, k: int, percent: int):
     """Links that join components of two blocks, by the full sets."""
 
@@ -325,21 +342,38 @@ class NearDuplicates:
         meets = "if(inner, transform(sequence(0, others - 1), i -> struct(i as p, block as q)), transform(sequence(0, others + own - 1), i -> struct(least(i, block) as p, greatest(i, block) as q)))"
         return rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "low", "meets.p", "meets.q")
 
+    def dealt(self, rows: DataFrame, turn: int) -> DataFrame:
+        """The rows, each in one block of its bucket, by the turn."""
+        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("many"))
+        block = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("many")).cast("int")
+        return rows.join(sizes, "key").select("key", "band", "rep", "comp", block.alias("block"), "low", block.alias("p"), block.alias("q"))
+
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """The rows with their sketches; few ids go to the sketches, so that only those are shuffled."""
+        ids = common.small(rows.select("rep").distinct())
+        return rows.join(self.classes.select("rep", "sketch", "n_shingles").join(ids, "rep", "left_semi").hint("merge"), "rep")
+
     def undecided(self, rows: DataFrame) -> DataFrame:
         """Links (a, b) that join components, among hopeful members of the open buckets."""
-        ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-        full = self.classes.select("rep", "sketch", "n_shingles").join(self.texts(ids).withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
-        links = self.blocks(rows).join(full, "rep").groupBy("key", "p", "q").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
+        met = self.sketched(self.blocks(rows)).groupBy("key", "p", "q").applyInArrow(_hopeful_rows(self.least), _MET)
+        met = common.store(met, "met", few=True)  # only these need their texts
+        texts = self.texts(met.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+        links = self.sketched(met).join(texts.hint("merge"), "rep").groupBy("key", "p", "q").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
         return common.store(links.distinct(), "more", few=True)
 
     def components(self) -> DataFrame:
         links = self.verified(self.star()).union(self.tied)
         comps = common.store(common.components(links), "components", few=True)
         rows = self.open_buckets(comps)
-        large = rows.where(F.col("n") > BLOCK)
-        if large.head(1):
-            pairs = self.blocks(large).join(self.classes.select("rep", "sketch", "n_shingles"), "rep").groupBy("key", "p", "q").applyInArrow(_best_rows(self.least), "a long, b long")
-            links = links.union(self.verified(pairs.distinct()))
+        for turn in range(ROUNDS):
+            large = rows.where(F.col("n") > BLOCK)
+            if not large.head(1):
+                break
+            pairs = self.sketched(self.dealt(large, turn)).groupBy("key", "p", "q").applyInArrow(_best_rows(self.least), "a long, b long")
+            found = self.verified(pairs.distinct())
+            if not found.head(1):
+                break
+            links = links.union(found)
             comps = common.store(common.components(links), "components", few=True)
             rows = self.open_buckets(comps)
         more = self.undecided(rows)

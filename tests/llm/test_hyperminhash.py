@@ -120,3 +120,21 @@ def test_shingles_of_slices():
     u, starts = hm.shingle_sets(texts, 4)
     want = [len(fx.words(t)) for t in texts.to_pylist()]
     assert [int(n) for n in np.diff(starts)] == [max(w - 3, min(w, 1)) for w in want]
+
+
+def test_rounds_join_a_large_group_by_rows_of_its_size(spark, monkeypatch):
+    """Each member is in one block a round."""
+    rng = random.Random(11)
+    base = fx.prose(rng, 100).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(w), "en", "src0", 1))
+    monkeypatch.setattr(hm, "BLOCK", 12)
+    sent = []
+    dealt = hm.NearDuplicates.dealt
+    monkeypatch.setattr(hm.NearDuplicates, "dealt", lambda self, r, turn: sent.append((r.count(), (d := dealt(self, r, turn)).count())) or d)
+    assert run(spark, rows) == brute(rows, 4, 80)
+    assert sent and all(a == b for a, b in sent)
