@@ -207,3 +207,14 @@ def test_percentile_parts_do_not_depend_on_the_order_of_rows(spark):
         s = np.sort(v[0::2] if r.raster else v[1::2])
         assert (r.lo, r.hi) == (s[int(0.02 * (s.size - 1))], s[int(0.98 * (s.size - 1))])
     assert got.count() == 2
+
+
+def test_stretch_by_percentiles_of_bands_with_many_values(spark):
+    v = np.random.default_rng(10).normal(size=40_000)
+    px = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "raster string, i long, v double").repartition(5)
+    limits = raster.bounds(px, ["raster"], "percentile", percentile=raster.percentiles(px, ["raster"]))
+    s = np.sort(v)
+    lo, hi = s[int(0.02 * (s.size - 1))], s[int(0.98 * (s.size - 1))]
+    got = {r.i: r.byte for r in raster.stretch(px, limits, ["raster"]).collect()}
+    want = np.floor(np.clip((v - lo) / (hi - lo) * 255.0, 0, 255)).astype(int)
+    assert [got[i] for i in range(v.size)] == want.tolist()
