@@ -11,12 +11,13 @@ rest is confirmed on the full sets.
 
 Hot groups: documents with equal sets form one class, and only its smallest id
 goes on. In a band's bucket every member is paired with the smallest member only,
-so a bucket of n gives n - 1 pairs. What this star leaves open are members of
-different components in one bucket. In buckets above `BLOCK` members, rounds deal each member
-into one block, anew each time, and verify each component's most similar hopeful pair there, as in
-a step of Boruvka's algorithm, so that a large group joins while rows grow with its size only.
-What is left in several components then meets in blocks of `BLOCK`, as sketches;
-the bucket's largest component meets the others, never itself. Members of hopeful pairs
+so a bucket of n gives n - 1 pairs, which are stored; the smallest member is done with. What this star
+leaves open are the others, where they lie in different components. Rounds deal each member of a bucket above
+`BLOCK` once, into a block of its largest bucket, anew each time, and verify each component's most similar
+hopeful pair there, as in a step of Boruvka's algorithm, so that a large group joins while rows grow with its size only.
+What is left in several components then meets in blocks, as sketches;
+the bucket's largest component meets the others, never itself. A bucket has `MOST_BLOCKS` blocks at most, unless
+its texts need more memory, so its rows grow with its size and not with the square. Members of hopeful pairs
 go on with their texts, and their blocks decide, the most similar first, until no pair joins two
 components; they return links only, never pairs. A pair that shares several bands is taken in the first. Nothing is capped.
 
@@ -48,10 +49,16 @@ SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
 BATCH_BYTES = 2 << 20
 #: Members of an open bucket, and about as many shingles, that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
+#: Blocks of a bucket's members; above so many times `BLOCK` members the blocks grow. All of them meet.
+MOST_BLOCKS = 8
+#: Hopeful pairs that a task holds at a time.
+PAIRS = 1 << 20
 #: Rounds in which each member of a large open bucket is in one block, before all its blocks meet.
 ROUNDS = 3
+#: A round that links less than this share of the pairs that it tests is the last one.
+LEAST_LINKED = 0.1
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,15 +191,18 @@ def _verify_rows(k: int, percent: int):
     return run
 
 
-def _hopeful_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows x, y of hopeful pairs of different components in two blocks, and their estimates, the most similar first."""
-    rep, comp, block, low = (table.column(c).to_numpy() for c in ("rep", "comp", "block", "low"))
+def _hopeful_pairs(table: pa.Table, least: float, once: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows x, y of hopeful pairs of different components in two blocks, and their estimates: about `PAIRS` at a time, the most similar first.
+
+    once: only the pairs whose first shared band is that of the bucket, so that no other bucket gives them too.
+    """
+    rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
     band, p, q = (table.column(c)[0].as_py() for c in ("band", "p", "q"))
     size = table.column("n_shingles").to_numpy().astype(float)
     regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
-    # The star has tested the pairs of the bucket's smallest member.
-    one, two = np.flatnonzero((rep != low) & (block == p)), np.flatnonzero((rep != low) & (block == q))
-    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    found: list[tuple[np.ndarray, ...]] = []
+    held = 0
     step = max(1, (8 << 20) // (K * max(1, len(two))))
     for i in range(0, len(one), step):
         part = one[i : i + step]
@@ -200,14 +210,19 @@ def _hopeful_pairs(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarra
         x, y = np.nonzero((same >= least) & (comp[part][:, None] != comp[two][None, :]))
         same, x, y = same[x, y], part[x], two[y]
         keep = rep[x] < rep[y] if p == q else np.ones(len(x), bool)
-        shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
         chance = collision_rate(size[x], size[y])
         est = (same - chance) / (1 - chance)
-        keep &= (est >= least) & (shared.argmax(axis=1) == band) if len(x) else True
+        keep &= est >= least
+        if once and len(x):
+            shared = (regs[x, : BANDS * ROWS] == regs[y, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+            keep &= shared.argmax(axis=1) == band
         found.append((x[keep], y[keep], est[keep]))
-    x, y, est = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((rep[y], rep[x], -est))
-    return x[order], y[order], est[order]
+        held += int(keep.sum())
+        if held and (held >= PAIRS or i + step >= len(one)):
+            x, y, est = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((rep[y], rep[x], -est))
+            yield x[order], y[order], est[order]
+            found, held = [], 0
 
 
 def _links(a: Iterable[int], b: Iterable[int]) -> pa.Table:
@@ -215,14 +230,18 @@ def _links(a: Iterable[int], b: Iterable[int]) -> pa.Table:
 
 
 def _best_rows(least: float):
-    """The most similar hopeful pair of each component in two blocks."""
+    """The most similar hopeful pair of each component in a block."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, _ = _hopeful_pairs(table, least)
         rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
-        first = np.concatenate([np.unique(comp[side], return_index=True)[1] for side in (x, y)])
-        at = np.unique(first)
-        return _links(rep[x[at]], rep[y[at]])
+        best: dict[int, tuple[float, int, int]] = {}
+        for x, y, est in _hopeful_pairs(table, least, once=False):
+            for side in (x, y):
+                for c, i in zip(*(v.tolist() for v in np.unique(comp[side], return_index=True)), strict=True):
+                    new = (-float(est[i]), int(rep[x[i]]), int(rep[y[i]]))
+                    best[c] = min(best.get(c, new), new)
+        pairs = sorted({b[1:] for b in best.values()})
+        return _links([b[0] for b in pairs], [b[1] for b in pairs])
 
     return run
 
@@ -231,13 +250,15 @@ def _hopeful_rows(least: float):
     """The members of two blocks that are in a hopeful pair, without their sketches."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, _ = _hopeful_pairs(table, least)
-        return table.select(_MET_COLUMNS).take(pa.array(np.unique(np.concatenate((x, y)))))
+        hit = np.zeros(table.num_rows, bool)
+        for x, y, _ in _hopeful_pairs(table, least):
+            hit[x] = hit[y] = True
+        return table.select(_MET_COLUMNS).filter(pa.array(hit))
 
     return run
 
 
-_MET = "key long, band int, rep long, comp long, block int, low long, p int, q int"
+_MET = "key long, band int, rep long, comp long, block int, p int, q int"
 _MET_COLUMNS = [c.split()[0] for c in _MET.split(", ")]
 
 
@@ -245,15 +266,13 @@ def _decide_rows(least: float, k: int, percent: int):
     """Links that join components of two blocks, by the full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, _ = _hopeful_pairs(table, least)
         rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
-        sets: dict[int, np.ndarray] = {}
+        sets: list[np.ndarray] = []
         links: list[tuple[int, int]] = []
-        need = np.unique(np.concatenate((x, y)))
         texts = table.column("text").combine_chunks()
-        for i in range(0, len(need), 64):
-            u, s = shingle_sets(texts.take(pa.array(need[i : i + 64])), k)
-            sets.update({int(n): u[s[j] : s[j + 1]].copy() for j, n in enumerate(need[i : i + 64])})
+        for i in range(0, len(texts), 64):  # all are in a hopeful pair
+            u, s = shingle_sets(texts.slice(i, 64), k)
+            sets += [u[m:n].copy() for m, n in zip(s[:-1], s[1:], strict=True)]
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -262,11 +281,12 @@ def _decide_rows(least: float, k: int, percent: int):
                 c = p
             return c
 
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b and linked(sets[i], sets[j], percent):
-                parent[max(a, b)] = min(a, b)
-                links.append((int(rep[j]), int(rep[i])))
+        for x, y, _ in _hopeful_pairs(table, least):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = root(int(comp[i])), root(int(comp[j]))
+                if a != b and linked(sets[i], sets[j], percent):
+                    parent[max(a, b)] = min(a, b)
+                    links.append((int(rep[j]), int(rep[i])))
         del sets, texts, table
         common.trim()
         return _links([p[0] for p in links], [p[1] for p in links])
@@ -313,40 +333,48 @@ class NearDuplicates:
 
     def star(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest member, if the estimate allows."""
-        low = self.bands.groupBy("key").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pairs = self.bands.join(low, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+        low = self.bands.groupBy("key").agg(F.min("rep").alias("b"), (F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+        self.shared = common.store(self.bands.join(low, "key").where("rep <> b").select("band", "key", "rep", "size", "b", "n"), "shared", few=True)
+        pairs = self.shared.select(F.col("rep").alias("a"), "b").distinct()
         one = self.classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
         two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_rows(self.least), "a long, b long").distinct()
 
-    def open_buckets(self, comps: DataFrame) -> DataFrame:
-        """Members (band, key, rep, comp) of buckets that lie in several components; n, shingles, low: of the bucket."""
+    def named(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """The rows (band, key, rep, size, n) with their components."""
         comps = comps.select(F.col("id").alias("rep"), "component")
-        named = self.bands.join(comps, "rep", "left").select("band", "key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-        sized = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        # Of two members, the star has tested the pair.
-        return common.store(named.join(sized.where("n > 2 and lo <> hi").select("key", "n", "low"), "key"), "open", few=True)
+        return rows.join(comps, "rep", "left").select("band", "key", "rep", "size", "n", F.coalesce("component", "rep").alias("comp"))
+
+    def open_buckets(self, comps: DataFrame) -> DataFrame:
+        """Members (band, key, rep, size, comp) of buckets that lie in several components, but for the smallest, whose pairs the star has tested; n: of these."""
+        named = self.named(self.shared.where("n > 1"), comps)
+        keys = common.store(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "keys", few=True)
+        return common.store(named.join(common.small(keys), "key", "left_semi"), "open", few=True)
 
     def blocks(self, rows: DataFrame) -> DataFrame:
         """The rows once for each two blocks (p, q) of their bucket in which they meet others."""
         each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
         most = each.groupBy("key").agg(F.max(F.struct("m", "comp", "s")).alias("most"), F.sum("m").alias("members"), F.sum("s").alias("shingles"))
-        need = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-        # Blocks of the other components, then those of the largest one; a small bucket is one block.
-        most = most.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES))
+        need = lambda n, s: F.greatest(F.least(F.ceil(n / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        # Blocks of the other components, then those of the largest one; a small bucket is one block. Rounds may have closed a bucket.
+        most = most.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES) | (F.col("members") == F.col("most.m")))
         most = most.select("key", F.col("most.comp").alias("largest"), need(F.col("most.m"), F.col("most.s")).alias("own"), need(F.col("members") - F.col("most.m"), F.col("shingles") - F.col("most.s")).alias("others"))
         rows = rows.join(most, "key", "left").withColumn("inner", F.coalesce(F.col("comp") == F.col("largest"), F.lit(False)))
-        rows = rows.withColumns({"others": F.coalesce("others", F.lit(1)), "own": F.coalesce("own", F.lit(0))})
+        rows = rows.withColumns({"others": F.coalesce("others", F.lit(1)), "own": F.coalesce("own", F.lit(0))}).where("others > 0")
         place = F.xxhash64("rep")
         rows = rows.withColumn("block", F.when(F.col("inner"), F.col("others") + F.pmod(place, F.col("own"))).otherwise(F.pmod(place, F.col("others"))).cast("int"))
         meets = "if(inner, transform(sequence(0, others - 1), i -> struct(i as p, block as q)), transform(sequence(0, others + own - 1), i -> struct(least(i, block) as p, greatest(i, block) as q)))"
-        return rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "low", "meets.p", "meets.q")
+        return rows.withColumn("meets", F.explode(F.expr(meets))).select("key", "band", "rep", "comp", "block", "meets.p", "meets.q")
+
+    def once(self, rows: DataFrame) -> DataFrame:
+        """One row for each member: that of its largest bucket."""
+        return rows.groupBy("rep").agg(F.max(F.struct("n", "key", "band", "size", "comp")).alias("r")).select("rep", "r.*")
 
     def dealt(self, rows: DataFrame, turn: int) -> DataFrame:
         """The rows, each in one block of its bucket, by the turn."""
         sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("many"))
         block = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("many")).cast("int")
-        return rows.join(sizes, "key").select("key", "band", "rep", "comp", block.alias("block"), "low", block.alias("p"), block.alias("q"))
+        return rows.join(sizes, "key").select("key", "band", "rep", "comp", block.alias("block"), block.alias("p"), block.alias("q"))
 
     def sketched(self, rows: DataFrame) -> DataFrame:
         """The rows with their sketches; few ids go to the sketches, so that only those are shuffled."""
@@ -369,13 +397,17 @@ class NearDuplicates:
             large = rows.where(F.col("n") > BLOCK)
             if not large.head(1):
                 break
-            pairs = self.sketched(self.dealt(large, turn)).groupBy("key", "p", "q").applyInArrow(_best_rows(self.least), "a long, b long")
-            found = self.verified(pairs.distinct())
-            if not found.head(1):
+            pairs = self.sketched(self.dealt(self.once(large), turn)).groupBy("key", "p", "q").applyInArrow(_best_rows(self.least), "a long, b long")
+            pairs = common.store(pairs.distinct(), "best", few=True)
+            found = self.verified(pairs)
+            linked_pairs = found.count()
+            if not linked_pairs:
                 break
             links = links.union(found)
             comps = common.store(common.components(links), "components", few=True)
-            rows = self.open_buckets(comps)
+            rows = common.store(self.named(rows.drop("comp"), comps), "open", few=True)
+            if linked_pairs < LEAST_LINKED * pairs.count():
+                break
         more = self.undecided(rows)
         return common.store(common.components(links.union(more)), "components", few=True) if more.head(1) else comps
 

@@ -138,3 +138,23 @@ def test_rounds_join_a_large_group_by_rows_of_its_size(spark, monkeypatch):
     monkeypatch.setattr(hm.NearDuplicates, "dealt", lambda self, r, turn: sent.append((r.count(), (d := dealt(self, r, turn)).count())) or d)
     assert run(spark, rows) == brute(rows, 4, 80)
     assert sent and all(a == b for a, b in sent)
+
+
+def test_rows_of_a_large_bucket_grow_with_its_size(spark, monkeypatch):
+    """Texts that look similar and mostly are not linked: a member is dealt once a round, and its bucket has few blocks."""
+    rng = random.Random(12)
+    base = fx.prose(rng, 100).split()
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((1000 - i, " ".join(w), "en", "src0", 1))
+    monkeypatch.setattr(hm, "BLOCK", 4)
+    dealt, met = [], []
+    deal, blocks = hm.NearDuplicates.dealt, hm.NearDuplicates.blocks
+    monkeypatch.setattr(hm.NearDuplicates, "dealt", lambda self, r, turn: dealt.append((r.count(), r.select("rep").distinct().count())) or deal(self, r, turn))
+    monkeypatch.setattr(hm.NearDuplicates, "blocks", lambda self, r: met.append(((d := blocks(self, r)).groupBy("key", "rep").count().agg({"count": "max"}).first()[0], r.groupBy("key").count().agg({"count": "max"}).first()[0])) or d)
+    assert run(spark, rows) == brute(rows, 4, 80)
+    assert dealt and all(a == b for a, b in dealt)
+    assert all(most <= 16 < members / 4 for most, members in met)
