@@ -15,11 +15,12 @@ so a bucket of n gives n - 1 pairs, which are stored; the smallest member is don
 leaves open are the others, where they lie in different components. Rounds deal each member of a bucket above
 `BLOCK` once, into a block of its largest bucket, anew each time, and verify each component's most similar
 hopeful pair there, as in a step of Boruvka's algorithm, so that a large group joins while rows grow with its size only.
-What is left in several components then meets in blocks, as sketches;
-the bucket's largest component meets the others, never itself. A bucket has `MOST_BLOCKS` blocks at most, unless
-its texts need more memory, so its rows grow with its size and not with the square. Members of hopeful pairs
-go on with their texts, and their blocks decide, the most similar first, until no pair joins two
-components; they return links only, never pairs. A pair that shares several bands is taken in the first. Nothing is capped.
+What is left in several components then meets as sketches, of 512 bytes a member: a bucket of up to `BLOCK`
+members in one task, with one row for each. A larger one is dealt into blocks, `MOST_BLOCKS` at most of its largest
+component and as many of the others; the largest meets the others, never itself. So rows grow with its size and not
+with the square. Members of hopeful pairs go on with their texts, cut further only where texts need the memory, and
+are decided, the most similar first, until no pair joins two components; tasks return links only, never pairs.
+A pair that shares several bands is taken in the first. Nothing is capped.
 
 Defined results. Null or empty text: empty set, linked with nothing. Null id:
 `component_id` is null, `kept` is true, linked with nothing. Rows that repeat an
@@ -48,8 +49,9 @@ BANDS = 32
 SIGMAS = 4.5
 #: Bytes of text that a Python worker holds at a time.
 BATCH_BYTES = 2 << 20
-#: Members of an open bucket, and about as many shingles, that one task compares with as many others.
-BLOCK = 512
+#: Members of an open bucket whose sketches one task compares with as many others.
+BLOCK = 4096
+#: Shingles of hopeful members, about, whose texts one task compares with as many others.
 BLOCK_SHINGLES = 2_000_000
 #: Blocks of a bucket's members; above so many times `BLOCK` members the blocks grow. All of them meet.
 MOST_BLOCKS = 8
@@ -201,6 +203,10 @@ def _hopeful_pairs(table: pa.Table, least: float, once: bool = True) -> Iterator
     size = table.column("n_shingles").to_numpy().astype(float)
     regs = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, K)
     one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    if p == q:  # the largest component meets the others, as in blocks of its own
+        names, counts = np.unique(comp[one], return_counts=True)
+        largest = names[counts.argmax()]
+        one = one[comp[one] != largest]
     found: list[tuple[np.ndarray, ...]] = []
     held = 0
     step = max(1, (8 << 20) // (K * max(1, len(two))))
@@ -209,8 +215,9 @@ def _hopeful_pairs(table: pa.Table, least: float, once: bool = True) -> Iterator
         same = (regs[part, None, :] == regs[None, two, :]).mean(axis=2)
         x, y = np.nonzero((same >= least) & (comp[part][:, None] != comp[two][None, :]))
         same, x, y = same[x, y], part[x], two[y]
-        keep = rep[x] < rep[y] if p == q else np.ones(len(x), bool)
-        chance = collision_rate(size[x], size[y])
+        keep = (comp[y] == largest) | (rep[x] < rep[y]) if p == q else np.ones(len(x), bool)
+        sizes, which = np.unique(size[x] + 1j * size[y], return_inverse=True)  # copies have few sizes
+        chance = collision_rate(sizes.real, sizes.imag)[which]
         est = (same - chance) / (1 - chance)
         keep &= est >= least
         if once and len(x):
@@ -247,18 +254,45 @@ def _best_rows(least: float):
 
 
 def _hopeful_rows(least: float):
-    """The members of two blocks that are in a hopeful pair, without their sketches."""
+    """The members of two blocks that are in a hopeful pair, without their sketches.
+
+    Where their texts are too many for one task, each block is cut, and two cuts meet if a hopeful pair lies in them; `cut` then names the two blocks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        size, block = (table.column(c).to_numpy() for c in ("n_shingles", "block"))
         hit = np.zeros(table.num_rows, bool)
         for x, y, _ in _hopeful_pairs(table, least):
             hit[x] = hit[y] = True
-        return table.select(_MET_COLUMNS).filter(pa.array(hit))
+        rows = table.append_column("cut", pa.array(np.zeros(table.num_rows, np.int64)))
+        if size[hit].sum() <= 2 * BLOCK_SHINGLES:
+            return rows.select(_MET_COLUMNS).filter(pa.array(hit))
+        p, q = (table.column(c)[0].as_py() for c in ("p", "q"))
+        cuts = np.full(table.num_rows, -1)
+        for b in sorted({p, q}):
+            own = np.flatnonzero(hit & (block == b))
+            cuts[own] = cuts.max() + 1 + (np.cumsum(size[own]) - size[own]) // BLOCK_SHINGLES
+        many = int(cuts.max()) + 1
+        meets: dict[int, np.ndarray] = {}
+        for x, y, _ in _hopeful_pairs(table, least):
+            both = np.minimum(cuts[x], cuts[y]) * many + np.maximum(cuts[x], cuts[y])
+            for m in np.unique(both).tolist():
+                members = meets.setdefault(m, np.zeros(table.num_rows, bool))
+                members[x[both == m]] = members[y[both == m]] = True
+        out = []
+        for m, members in sorted(meets.items()):
+            at = np.flatnonzero(members)
+            new = {"block": cuts[at], "p": np.full(len(at), m // many), "q": np.full(len(at), m % many), "cut": np.full(len(at), 1 + (p << 32) + q)}
+            part = rows.select(_MET_COLUMNS).take(pa.array(at))
+            for c, v in new.items():
+                part = part.set_column(_MET_COLUMNS.index(c), c, pa.array(v, part.schema.field(c).type))
+            out.append(part)
+        return pa.concat_tables(out)
 
     return run
 
 
-_MET = "key long, band int, rep long, comp long, block int, p int, q int"
+_MET = "key long, band int, rep long, comp long, block int, p int, q int, cut long"
 _MET_COLUMNS = [c.split()[0] for c in _MET.split(", ")]
 
 
@@ -268,26 +302,43 @@ def _decide_rows(least: float, k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
         sets: list[np.ndarray] = []
-        links: list[tuple[int, int]] = []
         texts = table.column("text").combine_chunks()
+        size = np.zeros(len(texts), np.int64)
         for i in range(0, len(texts), 64):  # all are in a hopeful pair
             u, s = shingle_sets(texts.slice(i, 64), k)
-            sets += [u[m:n].copy() for m, n in zip(s[:-1], s[1:], strict=True)]
-        parent: dict[int, int] = {}
+            sets.append(u)
+            size[i : i + 64] = np.diff(s)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)  # a number for each shingle
+        del sets, texts
+        ends = np.cumsum(size)
+        starts = ends - size
+        marked = np.zeros(len(ids), bool)
+        comp = comp.copy()
+        links: list[tuple[int, int]] = []
 
-        def root(c: int) -> int:
-            while (p := parent.get(c, c)) != c:
-                parent[c] = parent.get(p, p)
-                c = p
-            return c
+        def shared(ys: np.ndarray) -> np.ndarray:
+            """Marked shingles of each of the sets ys; none is empty."""
+            at = np.cumsum(size[ys]) - size[ys]
+            return np.add.reduceat(marked[ids[np.repeat(starts[ys] - at, size[ys]) + np.arange(size[ys].sum())]], at, dtype=np.int64)
 
         for x, y, _ in _hopeful_pairs(table, least):
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = root(int(comp[i])), root(int(comp[j]))
-                if a != b and linked(sets[i], sets[j], percent):
-                    parent[max(a, b)] = min(a, b)
-                    links.append((int(rep[j]), int(rep[i])))
-        del sets, texts, table
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            for ys in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1):
+                i, ys = int(x[ys[0]]), y[ys]
+                own = ids[starts[i] : ends[i]]
+                marked[own] = True
+                step = 16
+                while len(ys := ys[comp[ys] != comp[i]]):
+                    some, ys = ys[:step], ys[step:]
+                    step *= 4
+                    inter = shared(some)
+                    for j in some[(inter > 0) & (100 * inter >= percent * (size[i] + size[some] - inter))].tolist():
+                        if comp[i] != comp[j]:
+                            links.append((int(rep[j]), int(rep[i])))
+                            comp[comp == comp[j]] = comp[i]
+                marked[own] = False
+        del ids, marked, table
         common.trim()
         return _links([p[0] for p in links], [p[1] for p in links])
 
@@ -295,9 +346,9 @@ def _decide_rows(least: float, k: int, percent: int):
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, key, rep, size): a 64-bit key for each band of registers; size: shingles."""
+    """(band, key, rep): a 64-bit key for each band of registers."""
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {2 * ROWS} + 1, {2 * ROWS})))")
-    return classes.select(F.posexplode(key).alias("band", "key"), "rep", F.col("n_shingles").alias("size"))
+    return classes.select(F.posexplode(key).alias("band", "key"), "rep")
 
 
 class NearDuplicates:
@@ -334,31 +385,31 @@ class NearDuplicates:
     def star(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest member, if the estimate allows."""
         low = self.bands.groupBy("key").agg(F.min("rep").alias("b"), (F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
-        self.shared = common.store(self.bands.join(low, "key").where("rep <> b").select("band", "key", "rep", "size", "b", "n"), "shared", few=True)
+        self.shared = common.store(self.bands.join(low, "key").where("rep <> b").select("band", "key", "rep", "b", "n"), "shared", few=True)
         pairs = self.shared.select(F.col("rep").alias("a"), "b").distinct()
         one = self.classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
         two = self.classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_estimate_rows(self.least), "a long, b long").distinct()
 
     def named(self, rows: DataFrame, comps: DataFrame) -> DataFrame:
-        """The rows (band, key, rep, size, n) with their components."""
+        """The rows (band, key, rep, n) with their components."""
         comps = comps.select(F.col("id").alias("rep"), "component")
-        return rows.join(comps, "rep", "left").select("band", "key", "rep", "size", "n", F.coalesce("component", "rep").alias("comp"))
+        return rows.join(comps, "rep", "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
 
     def open_buckets(self, comps: DataFrame) -> DataFrame:
-        """Members (band, key, rep, size, comp) of buckets that lie in several components, but for the smallest, whose pairs the star has tested; n: of these."""
+        """Members (band, key, rep, comp) of buckets that lie in several components, but for the smallest, whose pairs the star has tested; n: of these."""
         named = self.named(self.shared.where("n > 1"), comps)
         keys = common.store(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "keys", few=True)
         return common.store(named.join(common.small(keys), "key", "left_semi"), "open", few=True)
 
     def blocks(self, rows: DataFrame) -> DataFrame:
         """The rows once for each two blocks (p, q) of their bucket in which they meet others."""
-        each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
-        most = each.groupBy("key").agg(F.max(F.struct("m", "comp", "s")).alias("most"), F.sum("m").alias("members"), F.sum("s").alias("shingles"))
-        need = lambda n, s: F.greatest(F.least(F.ceil(n / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        each = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        most = each.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("members"))
+        need = lambda n: F.least(F.ceil(n / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
         # Blocks of the other components, then those of the largest one; a small bucket is one block. Rounds may have closed a bucket.
-        most = most.where((F.col("members") > BLOCK) | (F.col("shingles") > BLOCK_SHINGLES) | (F.col("members") == F.col("most.m")))
-        most = most.select("key", F.col("most.comp").alias("largest"), need(F.col("most.m"), F.col("most.s")).alias("own"), need(F.col("members") - F.col("most.m"), F.col("shingles") - F.col("most.s")).alias("others"))
+        most = most.where((F.col("members") > BLOCK) | (F.col("members") == F.col("most.m")))
+        most = most.select("key", F.col("most.comp").alias("largest"), need(F.col("most.m")).alias("own"), need(F.col("members") - F.col("most.m")).alias("others"))
         rows = rows.join(most, "key", "left").withColumn("inner", F.coalesce(F.col("comp") == F.col("largest"), F.lit(False)))
         rows = rows.withColumns({"others": F.coalesce("others", F.lit(1)), "own": F.coalesce("own", F.lit(0))}).where("others > 0")
         place = F.xxhash64("rep")
@@ -368,11 +419,11 @@ class NearDuplicates:
 
     def once(self, rows: DataFrame) -> DataFrame:
         """One row for each member: that of its largest bucket."""
-        return rows.groupBy("rep").agg(F.max(F.struct("n", "key", "band", "size", "comp")).alias("r")).select("rep", "r.*")
+        return rows.groupBy("rep").agg(F.max(F.struct("n", "key", "band", "comp")).alias("r")).select("rep", "r.*")
 
     def dealt(self, rows: DataFrame, turn: int) -> DataFrame:
         """The rows, each in one block of its bucket, by the turn."""
-        sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("many"))
+        sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("many"))
         block = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("many")).cast("int")
         return rows.join(sizes, "key").select("key", "band", "rep", "comp", block.alias("block"), block.alias("p"), block.alias("q"))
 
@@ -383,10 +434,11 @@ class NearDuplicates:
 
     def undecided(self, rows: DataFrame) -> DataFrame:
         """Links (a, b) that join components, among hopeful members of the open buckets."""
-        met = self.sketched(self.blocks(rows)).groupBy("key", "p", "q").applyInArrow(_hopeful_rows(self.least), _MET)
+        blocks = common.store(self.blocks(rows), "blocks", few=True)  # read twice
+        met = self.sketched(blocks).groupBy("key", "p", "q").applyInArrow(_hopeful_rows(self.least), _MET)
         met = common.store(met, "met", few=True)  # only these need their texts
         texts = self.texts(met.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
-        links = self.sketched(met).join(texts.hint("merge"), "rep").groupBy("key", "p", "q").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
+        links = self.sketched(met).join(texts.hint("merge"), "rep").groupBy("key", "cut", "p", "q").applyInArrow(_decide_rows(self.least, self.k, self.percent), "a long, b long")
         return common.store(links.distinct(), "more", few=True)
 
     def components(self) -> DataFrame:

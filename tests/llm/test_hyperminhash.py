@@ -158,3 +158,43 @@ def test_rows_of_a_large_bucket_grow_with_its_size(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 4, 80)
     assert dealt and all(a == b for a, b in dealt)
     assert all(most <= 16 < members / 4 for most, members in met)
+
+
+def test_a_bucket_that_fits_a_task_is_not_multiplied(spark, monkeypatch):
+    """Buckets of 600 to 4,000 members, of which some are in a large component, give a row for each member; the rows are made once."""
+    rows = spark.range(4000).selectExpr("0 as band", "id as rep", "explode(array(600L, 1400L, 4000L)) as key", "147L as size", "if(id % 4 = 0, id, 1L) as comp").where("rep < key").selectExpr("*", "key as n")
+    got = {r[0]: r[1] for r in hm.NearDuplicates.blocks(None, rows).groupBy("key").count().collect()}
+    assert got == {600: 600, 1400: 1400, 4000: 4000}
+    plans = []
+    sketched = hm.NearDuplicates.sketched
+    monkeypatch.setattr(hm.NearDuplicates, "sketched", lambda self, r: plans.append(r._jdf.queryExecution().optimizedPlan().toString()) or sketched(self, r))
+    rng = random.Random(13)
+    base = fx.prose(rng, 100).split()
+    docs = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        docs.append((1000 - i, " ".join(w), "en", "src0", 1))
+    assert run(spark, docs) == brute(docs, 4, 80)
+    assert plans and not any("explode(" in p for p in plans)
+
+
+@pytest.mark.parametrize("block", [4096, 20])
+def test_texts_of_a_bucket_are_cut_where_they_need_the_memory(spark, monkeypatch, block):
+    """Each cut meets the others; no link is lost."""
+    rng = random.Random(14)
+    base = fx.prose(rng, 100).split()
+    docs = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(2, 6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        docs.append((1000 - i, " ".join(w), "en", "src0", 1))
+    monkeypatch.setattr(hm, "BLOCK", block)
+    monkeypatch.setattr(hm, "BLOCK_SHINGLES", 500)
+    met = []
+    store = hm.common.store
+    monkeypatch.setattr(hm.common, "store", lambda df, tag, few=False: (d := store(df, tag, few)) if tag != "met" else met.append(d := store(df, tag, few)) or d)
+    assert run(spark, docs) == brute(docs, 4, 80)
+    assert met and met[0].where("cut > 0").count()
